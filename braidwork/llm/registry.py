@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from braidwork.llm import mixing
+from braidwork.llm import mixing, packing
 
 QUERIES = {
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
