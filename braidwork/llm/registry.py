@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from braidwork.llm import mixing, packing
+from braidwork.llm import chat, mixing, packing
 
 QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLES = {
+    "op8_chat_formatting": chat.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
