@@ -85,7 +85,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     body_start = F.col("at") + F.length(F.substring_index("piece", "\n", 1)) + 1
     body = F.struct(body_start.alias("start"), (F.col("at") + length - len(END) - body_start).alias("length"))
     by = placed.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "piece", "role", "text", F.when(F.col("role") == "assistant", body).alias("span")))).alias("turns_"),
+        F.sort_array(F.collect_list(F.struct("nth", "piece", "role", "text", F.when(F.col("role") == "assistant", body).alias("span")))).alias("turns_"),
         F.sum(F.col("escaped").cast("int")).alias("n_escaped"),
     )
     made = by.withColumn("formatted", F.array_join(F.col("turns_.piece"), ""))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chat, mixing, packing
+from braidwork.llm import chat, mixing, packing, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_mix_sources": mixing.op9_mix_sources,
