@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.plans.scratch import materialize, partitions  # noqa: F401
+
 #: The only separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -47,29 +46,6 @@ def held_out(key: str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(key, modulus) == rest, F.lit(False))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Only where none is named, as in tests, a local one is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="braidwork-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once to a table in the shared folder and read from there: lineage ends here, and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that df does not have (case folded), each as close to the wanted one as can be."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chat, mixing, packing, quality_rules
+from braidwork.llm import chat, mixing, packing, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {
