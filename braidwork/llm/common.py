@@ -31,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words(F.coalesce(text, F.lit("")))), F.lit(0)).cast("long")
 
 
+def chars_of(text: Column, kind: str) -> Column:
+    """How many code points of a non-null text are of a kind, a regular expression for one character."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where lambdas of body use it many times."""
     return F.transform(F.array(value), body)[0]
