@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chat, langid, minhash, mixing, packing, quality_rules, rule_ensemble, simhash
+from braidwork.llm import chat, langid, minhash, mixing, packing, quality_rules, rule_ensemble, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_language_id": langid.op2_language_id,
     "op3_quality_classifier": rule_ensemble.op3_quality_classifier,
     "op4_document_fingerprints": minhash.op4_document_fingerprints,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_mix_sources": mixing.op9_mix_sources,
