@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chat, langid, minhash, mixing, packing, quality_rules, rule_ensemble, simhash, suffix_dedup
+from braidwork.llm import chat, ef_trie, langid, minhash, mixing, packing, quality_rules, rule_ensemble, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": rule_ensemble.op3_quality_classifier,
     "op4_document_fingerprints": minhash.op4_document_fingerprints,
     "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
+    "op6_lm_scoring": ef_trie.op6_lm_scoring,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_mix_sources": mixing.op9_mix_sources,
