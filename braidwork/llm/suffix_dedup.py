@@ -418,8 +418,10 @@ def spans(stretches: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), hi[np.r_[new[1:], len(lo)] - 1].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with kept (binary: the bytes that stay), n_bytes, n_removed, n_spans. Columns of docs with these names give way.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with kept (the bytes that stay), n_bytes, n_removed, n_spans. Columns of docs with these names give way.
+
+    kept is binary; decoded makes it a string, without the bytes of characters that were cut in two.
 
     A null text is empty, texts under the width keep all. Repeated rows repeat each other's text. A row's key may be null or
     repeat. No rows give none.
@@ -430,7 +432,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = materialize(repeated_stretches(read.select("row_key", "text_")), "suffix-stretches").withColumnRenamed("row_key", "k_")
     joined = read.join(found, F.col("row_key") == F.col("k_"), "left").select(*own, "text_", "stretches")
     types = dict(docs.dtypes)
-    fields = ", ".join([*(f"`{c}` {types[c]}" for c in own), "kept binary, n_bytes long, n_removed long, n_spans long"])
+    fields = ", ".join([*(f"`{c}` {types[c]}" for c in own), f"kept {'string' if decoded else 'binary'}, n_bytes long, n_removed long, n_spans long"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -440,11 +442,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for raw, stretches in zip(batch.column(len(own)), batch.column(len(own) + 1), strict=True):
                 raw, cut = raw.as_py(), spans(stretches.as_py() or [])
                 edges = [0, *(x for span in cut for x in span), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                stays = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(stays)
                 sizes.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
+                removed.append(len(raw) - len(stays))
                 runs.append(len(cut))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own))), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=[*own, "kept", "n_bytes", "n_removed", "n_spans"])
+            kept = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own))), kept, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=[*own, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return joined.select(*own, F.col("text_").cast("binary"), "stretches").mapInArrow(run, fields)
 

@@ -33,7 +33,7 @@ def base(text):
     n = Counter(windows)
     repeated = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(5)}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), sum(c in Q.SYMBOLS for c in text or ""), len(lines) - len(set(lines)), len(repeated)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
 
 
 def buckets(text):
