@@ -74,7 +74,7 @@ def numeric_runs(df: DataFrame, by: Names, number: str) -> DataFrame:
 
 
 def conserved_runs(df: DataFrame, by: Names, number: str, least: int) -> DataFrame:
-    """numeric_runs of at least so many numbers, the first and the last run of each group kept at any length."""
+    """numeric_runs of at least so many numbers, the first and last run of each group kept at any length."""
     w = W.partitionBy(*_list(by))
     runs = numeric_runs(df, by, number)
     return runs.withColumn("a_", F.min("lo").over(w)).withColumn("b_", F.max("hi").over(w)).where((F.col("n") >= least) | (F.col("lo") == F.col("a_")) | (F.col("hi") == F.col("b_"))).drop("a_", "b_")

@@ -1,0 +1,126 @@
+"""Kernels and alignments: golden cases and random ones against plain dynamic programmes."""
+
+import random
+
+import numpy as np
+import pytest
+
+from braidwork.operators import align as A
+from braidwork.operators import haplotypes as H
+from braidwork.operators import kernels as K
+
+
+def plain_edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def plain_affine(a, b, x=4, o=6, e=2):
+    inf = float("inf")
+    m = [[inf] * (len(b) + 1) for _ in range(len(a) + 1)]
+    d = [[inf] * (len(b) + 1) for _ in range(len(a) + 1)]
+    r = [[inf] * (len(b) + 1) for _ in range(len(a) + 1)]
+    m[0][0] = 0
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i:
+                d[i][j] = min(min(m[i - 1][j], r[i - 1][j]) + o, d[i - 1][j]) + e
+            if j:
+                r[i][j] = min(min(m[i][j - 1], d[i][j - 1]) + o, r[i][j - 1]) + e
+            if i and j:
+                m[i][j] = min(m[i - 1][j - 1], d[i - 1][j - 1], r[i - 1][j - 1]) + (0 if a[i - 1] == b[j - 1] else x)
+    return min(m[-1][-1], d[-1][-1], r[-1][-1])
+
+
+def words(seed, n, longest=14, letters="ACGT"):
+    rng = random.Random(seed)
+    return [("".join(rng.choice(letters) for _ in range(rng.randint(0, longest))), "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))) for _ in range(n)]
+
+
+def test_distances_against_plain_programmes():
+    for a, b in words(7, 400) + words(8, 60, 40, "AC"):
+        assert K.edit_distance(a, b) == plain_edit(a, b)
+        assert K.affine_cost(a, b) == plain_affine(a, b), (a, b)
+        assert K.semi_global(a, b) == min(plain_edit(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+        cigar = K.align(a, b)
+        x, y = K.aligned_rows(a, b, cigar)
+        assert (x.replace("-", ""), y.replace("-", "")) == (a, b)
+        assert sum(p != q for p, q in zip(x, y, strict=True)) == plain_edit(a, b)
+
+
+def test_dag_distance_against_all_walks():
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(1, 6)
+        nodes = ["".join(rng.choice("AC") for _ in range(rng.randint(1, 3))) for _ in range(n)]
+        edges = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
+        query = "".join(rng.choice("AC") for _ in range(rng.randint(0, 8)))
+
+        def walks(v):
+            if v == n - 1:
+                yield [v]
+            for s, d in edges:
+                if s == v:
+                    yield from ([v, *w] for w in walks(d))
+
+        found = [plain_edit("".join(nodes[i] for i in w), query) for w in walks(0)]
+        got = K.dag_distance(query, nodes, edges, [0], [n - 1])
+        if not found:
+            assert got is None
+            continue
+        assert got[0] == min(found)
+        assert plain_edit("".join(nodes[i] for i in got[1]), query) == got[0]
+        assert all(e in edges for e in zip(got[1], got[1][1:], strict=False))
+
+
+def test_gap_normalisation_golden_cases():
+    rows = ["ACGTACGTAA", "ACGT----AA"]
+    assert A.normalise(rows) == (["ACGTACGTAA", "----ACGTAA"], 4)
+    assert A.normalise(["ACGTACGTAA", "----ACGTAA"], left=False)[0] == ["ACGTACGTAA", "ACGTA----A"]
+    three = [*rows, "ACCT----AA"]
+    assert A.normalise_joint(three)[0][1:] == ["ACG----TAA", "ACC----TAA"]
+    assert A.normalise(three)[0][1:] == ["----ACGTAA", "ACC----TAA"]
+
+
+def test_trees_and_medoids_golden_cases():
+    points = np.array([0, 0.1, 0.2, 10, 10.1, 10.3, 10.35, 13])
+    assert K.kmedoids(np.abs(points[:, None] - points), 2, [2]) == ([2, 5], [0, 0, 0, 1, 1, 1, 1, 1])
+    d = np.array([[0, 4, 1], [4, 0, 3], [1, 3, 0]])
+    assert K.spanning_tree(d, 0) == [(0, None), (2, 0), (1, 2)]
+    assert [m[:2] for m in K.average_linkage(d)] == [(0, 2), (1, 3)]
+
+
+def test_insertion_places_golden_cases():
+    assert A.place_insertion("ACG", [{c} for c in "ACGTTT"]) == [0, 1, 2]
+    assert A.place_insertion("A", [{"A"}, {"A"}]) == [0]
+    assert A.place_insertion("GA", [{"A"}]) == [-1, 0]
+
+
+@pytest.mark.parametrize("method", ["star", "threaded"])
+def test_alignments_spell_their_sequences(method):
+    rng = random.Random(2)
+    for _ in range(25):
+        base = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 25)))
+        group = ["".join(c for c in base if rng.random() > 0.15) + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 6))]
+        status, rows = A.realigned(group, A.METHODS[method])
+        assert status == "ok"
+        assert [r.replace("-", "") for r in rows] == group
+        assert len({len(r) for r in rows}) == 1
+    assert A.realigned(["A"], lambda s: s[:0])[0].startswith("error")
+    assert A.realigned(["A"], lambda s: 1 / 0)[0] == "error: ZeroDivisionError"
+
+
+def test_phase_search_is_exact():
+    rng = random.Random(4)
+    reference = "".join(rng.choice("ACGT") for _ in range(30))
+    for _ in range(20):
+        blocks = [[((p, 1, rng.choice("ACGT")), None)] for p in rng.sample(range(30), rng.randint(0, 5))]
+        side = [rng.random() < 0.5 for _ in blocks]
+        truth = tuple(H.spelled(reference, [b[0][0] for b, s in zip(blocks, side, strict=True) if s == which]) for which in (False, True))
+        assert H.best_phase(reference, blocks, truth)[0] == 0
+        assert H.best_phase(reference, blocks, truth, most=0)[0] <= 2 * len(blocks)
