@@ -67,7 +67,7 @@ def anchors(data, bounds, width: int = WIDTH, anchor: int = ANCHOR):
     import numpy as np
 
     span = width - anchor + 1
-    found, first = [], []
+    found = []
     starts, ends = bounds[:-1], bounds[1:]
     for s in range(0, max(0, len(data) - width + 1), CHUNK):
         t = data[s : s + CHUNK + width - 1]
@@ -85,13 +85,15 @@ def anchors(data, bounds, width: int = WIDTH, anchor: int = ANCHOR):
             valid[max(0, max(starts[i], ends[i] - width + 1) - s) : max(0, ends[i] - s)] = False
             i += 1
         window = np.flatnonzero(valid)
-        found.append(place[window])
-        first.append(window + s)
-    if not found or not sum(map(len, found)):
+        if len(window):
+            place = place[window]
+            new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            found.append((place[new], window[new] + s, window[np.r_[new[1:], len(place)] - 1] + s))
+    if not found:
         return (np.zeros(0, np.int64),) * 3
-    place, window = np.concatenate(found), np.concatenate(first)
-    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return place[new], window[new], window[np.r_[new[1:], len(place)] - 1]
+    place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # an anchor of windows of two chunks
+    return place[new], first[new], last[np.r_[new[1:], len(place)] - 1]
 
 
 class Suffixes:
