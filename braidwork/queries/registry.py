@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.queries import compare, events, graphs, intervals, kernels, paths, sequences  # noqa: F401
+from braidwork.queries import compare, events, graphs, intervals, kernels, paths, sequences, walks  # noqa: F401
 from braidwork.queries.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "path_size_metrics"
