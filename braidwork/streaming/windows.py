@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _watermarked(df: DataFrame, ts: str, late: str | None) -> DataFrame:
-    return df.withWatermark(ts, late) if late and df.isStreaming else df
+    """df with a watermark if it is a stream; times without a zone are taken as the session's there."""
+    if not (late and df.isStreaming):
+        return df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
 def tumbling(df: DataFrame, ts: str, by: list[str], width: str, late: str | None = None) -> DataFrame:
@@ -31,7 +34,7 @@ def sessions(df: DataFrame, ts: str, by: list[str], gap: str, late: str | None =
 
 def first_seen(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     """The first row of each key: over a stream, duplicates within the watermark are dropped."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return _watermarked(df, ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
 def running_runs(df: DataFrame, key: str, value: str) -> DataFrame:
