@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.operators.windows import Names, _list, average_rank, midpoints
+from braidwork.operators.windows import Names, _list, midpoints, running_sums
 
 
 def summary(df: DataFrame, by: Names, value: str, most: bool = True) -> DataFrame:
@@ -51,20 +51,34 @@ def complete(df: DataFrame, key: str, method: str, methods: list[str]) -> DataFr
 
 
 def auc(df: DataFrame, score: str, positive: str, by: Names = ()) -> DataFrame:
-    """(by, auc): by the rank sum, ties counting half; null without both classes."""
+    """(by, auc): pairs of a positive and a negative in the right order, ties counting half; null without both classes.
+
+    Rows are first counted by score, so what is ordered is a row for each distinct score; without groups, by ranges of it.
+    """
     keys = _list(by)
-    ranked = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).withColumn("rank_", average_rank(score, keys))
-    n, p = F.count("*"), F.count_if(F.col(positive))
-    return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col(positive), F.col("rank_")).otherwise(0.0)) - p * (p + 1) / 2.0, (p * (n - p)).cast("double")).alias("auc"))
+    known = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    counts = known.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    if keys:
+        below = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+        placed = counts.withColumn("before_q", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    else:
+        placed = running_sums(counts, score, ["q"])
+    wins = F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2.0))
+    return placed.groupBy(*keys).agg(F.try_divide(wins, (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 
 def threshold_counts(df: DataFrame, feature: str, positive: str) -> DataFrame:
-    """(cut, tp, fp, fn, tn) of the rule feature > cut, for each midpoint: one row a distinct value and running sums."""
-    by = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    lower = W.orderBy(feature).rowsBetween(W.unboundedPreceding, 0)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    made = by.select(((F.col(feature) + F.lead(feature).over(W.orderBy(feature))) / 2.0).alias("cut"), F.sum("p").over(lower).alias("fn"), F.sum("q").over(lower).alias("tn"), F.sum("p").over(every).alias("ps"), F.sum("q").over(every).alias("qs"))
-    return made.where("cut IS NOT NULL").select("cut", (F.col("ps") - F.col("fn")).alias("tp"), (F.col("qs") - F.col("tn")).alias("fp"), "fn", "tn")
+    """(cut, tp, fp, fn, tn) of the rule feature > cut, for each midpoint between neighbouring values.
+
+    Rows are first counted by value; running sums and neighbours go by ranges of it.
+    """
+    by = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("v")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"), F.lit(1).alias("one"))
+    placed = running_sums(by, "v", ["p", "q", "one"])
+    whole = by.agg(F.sum("p"), F.sum("q")).first()
+    above = placed.select((F.col("before_one") - 1).alias("n_"), F.col("v").alias("next_"))
+    pairs = placed.join(above, F.col("before_one") == F.col("n_"))
+    fn, tn = F.col("before_p") + F.col("p"), F.col("before_q") + F.col("q")
+    return pairs.select(((F.col("v") + F.col("next_")) / 2.0).alias("cut"), (F.lit(whole[0]) - fn).alias("tp"), (F.lit(whole[1]) - tn).alias("fp"), fn.alias("fn"), tn.alias("tn"))
 
 
 def balanced_accuracy(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:

@@ -114,6 +114,26 @@ def midpoints(df: DataFrame, value: str, by: Names = ()) -> DataFrame:
     return one.withColumn("cut", (F.col(value) + F.lead(value).over(window(keys, value))) / 2.0).where("cut IS NOT NULL").select(*keys, "cut")
 
 
+def running_sums(df: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """df with before_<value>: the sums over all rows of lesser order, for a whole table and without one task for all of it.
+
+    Rows are dealt by ranges of order and written; sums run within ranges, and the ranges' totals, a row each, are added.
+    Orders must not repeat, or rows of one order get sums in any order among them.
+    """
+    from braidwork.plans.scratch import materialize, partitions
+
+    n = partitions(df.sparkSession)
+    dealt = materialize(df.repartitionByRange(n, order).withColumn("part_", F.spark_partition_id()), "ranges")
+    lower = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy("part_").agg(*(F.sum(v).alias(v) for v in values)).select(F.col("part_").alias("p_"), *(F.coalesce(F.sum(v).over(lower), F.lit(0)).alias(f"t_{v}") for v in values))
+    w = W.partitionBy("part_").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = dealt
+    for v in values:
+        local = local.withColumn(f"l_{v}", F.coalesce(F.sum(v).over(w), F.lit(0)))
+    joined = local.join(F.broadcast(totals), F.col("part_") == F.col("p_"))  # as many rows as there are partitions
+    return joined.select(*df.columns, *((F.col(f"l_{v}") + F.col(f"t_{v}")).alias(f"before_{v}") for v in values))
+
+
 def depth_changes(df: DataFrame, by: Names, start: str, end: str) -> DataFrame:
     """(by, at, depth): how many half-open intervals cover each stretch from at to the next at, as a difference array summed up."""
     keys = _list(by)
