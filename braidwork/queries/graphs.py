@@ -97,9 +97,9 @@ def decontamination_guard(spark, d):
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "\\s+", " ")), " ")
     grams = lambda w: F.when(F.size(w) >= 7, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5))))).otherwise(F.array().cast("array<bigint>"))
     # a run inside an item: its first and last words may be parts of longer words in a document
-    inner = table(spark, d, "benchmark").select("text", words(F.col("text")).alias("w")).select(F.col("text").alias("item"), F.when(F.size("w") >= 7, F.xxhash64(F.slice("w", 2, 5))).alias("h"))
+    inner = table(spark, d, "benchmark").select(F.col("text").alias("item"), S.let(words(F.col("text")), lambda w: F.when(F.size(w) >= 7, F.xxhash64(F.slice(w, 2, 5)))).alias("h"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.select("doc_id", F.explode(grams(words(F.col("text")))).alias("g")).join(inner.where("h IS NOT NULL"), F.col("g") == F.col("h")).select("doc_id", "item").distinct()
+    hits = docs.select("doc_id", F.explode(S.let(words(F.col("text")), grams)).alias("g")).join(inner.where("h IS NOT NULL"), F.col("g") == F.col("h")).select("doc_id", "item").distinct()
     return hits.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id").distinct()
 
 
