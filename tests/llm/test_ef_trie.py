@@ -59,11 +59,11 @@ def test_scores(spark, monkeypatch, limits):
 
 def test_file_round_trip(tmp_path):
     words = np.array([3, 9, 1 << 60], np.uint64)
-    raw = E.Trie.build(words, np.array([2, 1, 5]), np.array([0, 0, 2]), np.array([4, 7, 1], np.uint64), np.array([1, 1, 3]), 8, 3)
+    raw = E.Trie.build(words, np.array([2, 1, 5]), np.array([0, 0, 2]), np.array([4, 7, 1], np.uint64), np.array([1, 1, 3]), 8, 3, 3.0)
     path = tmp_path / "trie"
     path.write_bytes(raw)
     for trie in (E.Trie.open(str(path)), E.Trie.mapped(raw)):
-        count, top, weight = trie.lookup(np.array([3, 3, 9, 1 << 60, 5], np.uint64), np.array([4, 5, 4, 1, 1], np.uint64), 8, 3)
+        count, top, weight = trie.lookup(np.array([3, 3, 9, 1 << 60, 5], np.uint64), np.array([4, 5, 4, 1, 1], np.uint64), 8, 3, 3.0)
         assert count.tolist() == [2, 2, 1, 5, 0]
         q = lambda c: (c + 1) / 12
         assert top == pytest.approx([math.log10(1 + 3 * q(2)), math.log10(3 * q(2)), math.log10(3 * q(1)), math.log10(3 + 3 * q(5)), math.log10(3 * q(0))], abs=0.0003)
