@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import materialize, partitions, table
 
 WIDTH, ANCHOR = 200, 100
+#: Documents whose anchors are packed together.
+ROWS = 4096
 #: Bytes whose rolling hashes are held at once; stretches of an anchor that one task sorts; bytes sorted together.
 CHUNK, BLOCK, SORTED = 1 << 20, 4096, 1 << 20
 #: Odd bases of the polynomials: modulo 2**32 to choose anchors, 2**64 to compare.
@@ -191,7 +193,7 @@ def _packed_anchors(docs: DataFrame, shards: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).cast(pa.large_binary())
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             raw = memoryview(texts.buffers()[2] or b"")[bounds[0] : bounds[-1]] if len(texts) else memoryview(b"")
@@ -223,6 +225,8 @@ def _packed_anchors(docs: DataFrame, shards: int) -> DataFrame:
                 key = int(keys[doc[x[0]]])
                 rows.append((key % shards, 1, key, np.concatenate([at[x], at[x] + hi[x] - lo[x] + WIDTH]).astype(np.int64).tobytes(), len(x)))
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "kind", "row_key", "data", "n"), r, strict=True)) for r in rows], pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("row_key", pa.int64()), ("data", pa.binary()), ("n", pa.int32())]))
+            del texts, raw
+            pa.default_memory_pool().release_unused()
 
     return docs.select("row_key", F.col("text_").cast("binary")).mapInArrow(run, "shard int, kind int, row_key long, data binary, n int")
 
@@ -439,7 +443,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dec
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             kept, sizes, removed, runs = [], [], [], []
             for raw, stretches in zip(batch.column(len(own)), batch.column(len(own) + 1), strict=True):
                 raw, cut = raw.as_py(), spans(stretches.as_py() or [])
