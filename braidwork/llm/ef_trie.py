@@ -26,7 +26,7 @@ from braidwork.llm.common import held_out, materialize, partitions, table
 #: -3.90 with a mass of 10, -3.77 with 50 and -3.72 with 250.
 MASS = 200.0
 #: Tokens a shard; bytes of text and documents packed together; words looked at for a large share.
-SHARD_TOKENS, CHUNK_BYTES, CHUNK_DOCS, FREQUENT = 2_500_000, 12 << 20, 30_000, 65_536
+SHARD_TOKENS, CHUNK_BYTES, CHUNK_DOCS, FREQUENT = 1_500_000, 12 << 20, 30_000, 65_536
 CONTEXT_BITS = 40
 #: Pairs looked up together, so that the arrays of a search stay in the processor's cache.
 SLICE = 1 << 15
@@ -418,8 +418,11 @@ def _scored(packed: DataFrame, kind: str, shards: int, frequent: dict[int, int],
         extra = [np.searchsorted(name, r[5]).astype(np.uint64) << bits | r[6] for r in read]
         counted = np.concatenate([*(r[4] & ~shared[w] for w, r in zip(word, read, strict=True)), *(r[7] for r in read)]).astype(np.float64)
         pair, inverse = np.unique(np.concatenate(keys + extra), return_inverse=True)
-        del keys, extra
+        blobs = [b[:2] for b in blobs]
+        del keys, extra, word
+        read = [r[3] for r in read]  # of the tokens, only their documents are needed from here on
         pair_count = np.bincount(inverse, counted, len(pair)).astype(np.int64)
+        del counted
         pair_word = (pair >> bits).astype(np.int64)
         word_count = np.bincount(pair_word, pair_count, len(name)).astype(np.int64)
         seen, had = np.flatnonzero(word_count > 0), np.flatnonzero(pair_count > 0)
@@ -432,8 +435,8 @@ def _scored(packed: DataFrame, kind: str, shards: int, frequent: dict[int, int],
         top += np.where(name[pair_word] == np.uint64(special(2)), 0.0, weight)
         known, base = (count > 0).astype(np.float64), np.log10(count + 1.0)
         at_token = 0
-        for b, r in zip(blobs, read, strict=True):
-            doc, own = r[3], inverse[at_token : at_token + len(r[3])]
+        for b, doc in zip(blobs, read, strict=True):
+            own = inverse[at_token : at_token + len(doc)]
             at_token += len(doc)
             if not len(doc):
                 continue
