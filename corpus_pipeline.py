@@ -8,13 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import mixing, packing, rule_ensemble, simhash, suffix_dedup
+from braidwork.llm import mixing, near_copies, packing, rule_ensemble, suffix_dedup
 from braidwork.llm.common import materialize, table
 
-#: Bits that fingerprints of near duplicates may differ in. Five-word shingles shared to 0.8 or more leave, in most pairs,
-#: up to so many bits of the fingerprint over three-word shingles. Documents of fewer words keep the narrow radius.
-RADIUS, FEW_WORDS = 8, 10
-
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the rule ensemble, fitted on the training labels, predicts to be of low quality."""
@@ -24,8 +20,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
-    return simhash.one_of_each(docs, radius=RADIUS, few_words=FEW_WORDS)
+    """One document of each group of near duplicates (0.8 of five-word shingles shared): the one with the least doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
