@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import free_name, materialize, partitions, table, word_count
+from braidwork.llm.common import free_name, materialize, partitions, table
 from braidwork.operators.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -209,22 +209,17 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return found.join(by_fp, F.col("fp") == F.col("fp_")).select(key, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, few_words: int = 0) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs without all but one row of each component: the one with the least key, of rows with that key the first by text.
 
-    few_words: texts of fewer words are linked within RADIUS, and only among themselves; their fingerprints rest on few
-    hashes, so a wider radius would link unlike ones. Rows with a null key count as having very large keys made from their
-    texts, so they stay only where no keyed row of their component does. No rows give none.
+    Rows with a null key count as having very large keys made from their texts, so they stay only where no keyed row of
+    their component does. No rows give none.
     """
     name, nth = free_name(docs, "row_key", "nth")
     made = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1).bitwiseOR(F.lit(1 << 62))
     keyed = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
     narrow = keyed.select(name, F.col(text).alias("text"))
-    if few_words and radius > RADIUS:
-        short = word_count(F.col("text")) < few_words
-        found = components(narrow.where(~short), name, "text", radius=radius).unionByName(components(narrow.where(short), name, "text"))
-    else:
-        found = components(narrow, name, "text", radius=radius)
+    found = components(narrow, name, "text", radius=radius)
     stays = found.where(F.col(name) == F.col("component_id")).select(name).distinct()
     first = W.partitionBy(name).orderBy(F.xxhash64(F.col(text)))
     return keyed.join(stays, name, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)

@@ -72,3 +72,15 @@ def test_many_near_copies_and_many_unlike_texts_on_one_passage(spark):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     assert stays(spark, rows) == brute(rows)
+
+
+def test_short_texts_meet_across_ten_words(spark):
+    rng, rows = random.Random(5), []
+    for n in (3, 4, 5, 7, 8, 9, 10, 11):
+        for _ in range(6):
+            own = words(rng, n)
+            rows += [" ".join(own), " ".join([*own, "more"]), " ".join(["other", *own[1:]])]
+    rows = list(enumerate(rows))
+    got = stays(spark, rows)
+    assert got == brute(rows)
+    assert sum(1 for k in got if k % 3 == 1) == 24  # a word more: 4 of 5 shingles and up are near copies
