@@ -158,7 +158,7 @@ def phase_search(spark, d):
         for pdf in batches:
             found = []
             for ref, a, b in zip(pdf["p_name"], pdf["t1"], pdf["t2"], strict=True):
-                blocks = [[((i, 1, t[i]), None)] for t in (a, b) for i in range(min(len(ref), len(t))) if t[i] != ref[i]][:8]
+                blocks = [[((i, 1, t[i]), None)] for t in (a, b) for i in range(min(len(ref), len(t))) if t[i] != ref[i]]
                 found.append(H.best_phase(ref, blocks, (a, b))[0])
             yield pdf.assign(distance=found)
 
