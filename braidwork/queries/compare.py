@@ -155,8 +155,8 @@ def signed_rank(spark, d):
 
 @query("bootstrap_ratio")
 def bootstrap_ratio(spark, d):
-    """Ratio of sums with its interval."""
-    return C.bootstrap_ratio(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey", 50)
+    """Ratio of sums with its interval over 1000 draws."""
+    return C.bootstrap_ratio(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey")
 
 
 @query("micro_average_by_bin", """WITH x AS (SELECT CASE WHEN n_chars < 1000 THEN 'a' WHEN n_chars < 10000 THEN 'b' ELSE 'c' END AS bin, quality, toxic FROM documents JOIN labels USING (doc_id))

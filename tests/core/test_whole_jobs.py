@@ -2,6 +2,7 @@
 
 from itertools import product
 
+from braidwork.operators import compare as C
 from braidwork.operators import haplotypes as H
 from braidwork.operators.kernels import edit_distance
 from braidwork.queries import registry
@@ -19,3 +20,10 @@ def test_phase_search_takes_every_edit(spark, tmp_path):
         want.append(edit_distance(a, truth[0]) + edit_distance(b, truth[1]))
     got = registry.QUERIES["phase_search"](spark, str(tmp_path)).collect()
     assert [r.distance for r in got] == [min(want)]
+
+
+def test_bootstrap_ratio_takes_a_thousand_draws(spark):
+    d = "/root/testdata/sf0.001"
+    got = sorted(registry.QUERIES["bootstrap_ratio"](spark, d).collect())
+    want = C.bootstrap_ratio(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey", 1000)
+    assert got == sorted(want.collect())
