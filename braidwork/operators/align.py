@@ -177,7 +177,7 @@ def medoid(sequences: list[str], weights: list[float] | None = None) -> int:
 
 
 def realigned(sequences: list[str], method: Callable[[list[str]], list[str]] | None = None) -> tuple[str, list[str]]:
-    """(status, rows): distinct sequences are masked, aligned by the method (a star around the medoid), unmasked and checked.
+    """(status, rows): distinct sequences are aligned by the method (a star around the medoid) and checked; nothing is masked.
 
     A method that raises, or whose rows don't spell their sequences, gives a status that says so and no rows.
     """

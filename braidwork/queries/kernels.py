@@ -80,13 +80,13 @@ def aligned(spark, d, method):
 
 @query("star_alignment")
 def star_alignment(spark, d):
-    """Stars around the medoid."""
+    """Stars around the medoid."""
     return aligned(spark, d, "star")
 
 
 @query("threaded_alignment")
 def threaded_alignment(spark, d):
-    """Threading along a spanning tree."""
+    """Threading along a spanning tree."""
     return aligned(spark, d, "threaded")
 
 
@@ -125,7 +125,7 @@ def medoid_clusters(spark, d):
 
 @query("spanning_trees")
 def spanning_trees(spark, d):
-    """Nearest-first trees of the vectors of each label."""
+    """Nearest-first trees of the vectors of each label."""
 
     def run(pdf):
         pdf = pdf.sort_values("vec_id")
