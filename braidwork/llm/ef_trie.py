@@ -1,43 +1,54 @@
 """A bigram model in Elias-Fano tries, and the scoring of a corpus with it.
 
 The model is sharded by the predicted word, never gathered: each shard is a reversed trie of two levels. The first holds its
-words as a monotone sequence, their smoothed unigram probabilities and context weights quantised to 16 bits, and monotone
-pointers into the second; that holds, for each word, the contexts it was seen after, relative to the word's place, and
-quantised smoothed weights. A lookup is a successor search within the range of the word. All arrays of a trie stand in one
-buffer that can be mapped from a file or from memory.
+words as a monotone sequence, their counts, their smoothed unigram probabilities quantised to 16 bits, and monotone pointers
+into the second; that holds, for each word, the contexts it was seen after, relative to the word's place, and quantised
+smoothed weights. A lookup is a successor search within the range of the word. All arrays of a trie stand in one buffer that
+can be mapped from a file or from memory.
 
 Smoothing is that of a Dirichlet prior: p(w | u) = (c(u w) + mass * q(w)) / (c(u) + mass), with the add-one unigram q. The
-numerator belongs to the word's shard and the denominator to the context's, so each token goes to one shard only, as word
-and as context of the next token, and one exchange of packed tokens both trains and scores. Words with a large share of all
-tokens are dealt over several shards by document; their training counts go to all of those.
+numerator belongs to the word's shard and the denominator to the context's, which each token meets as a word of its own.
+
+Texts are read in chunks. A chunk sends each of its distinct pairs (context, word) once to the pair's shard, with how often
+its training texts have it; shards so build their tries from partial counts and answer with the quantised weights. The lists
+of which documents have a pair go to where the answers of the chunk meet, never to the shards, so no word and no pair is a
+hot key, and what is shuffled is so many bytes a token at any number of shards. Words that many pairs share are dealt over
+all shards by word and context; their counts are known to all tasks.
 """
 
 from __future__ import annotations
 
 import mmap
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import held_out, materialize, partitions, table
 
-#: Mass of the prior, in tokens. On held-out documents of sf0.1 the mean log10 probability of a token is -4.19 by the base,
-#: -3.90 with a mass of 10, -3.77 with 50 and -3.72 with 250.
+#: Mass of the prior, in tokens. Chosen on training rows of sf0.1 alone (those of remainder 3 left out of the counts): the mean
+#: log10 probability of a token is -4.17 by the base, -3.95 with a mass of 10, -3.76 with 200, -3.75 with 400.
 MASS = 200.0
-#: Tokens a shard; bytes of text and documents packed together; words looked at for a large share.
-SHARD_TOKENS, CHUNK_BYTES, CHUNK_DOCS, FREQUENT = 1_500_000, 12 << 20, 30_000, 65_536
+#: Tokens a shard, and shards at most (beyond, shards grow); bytes of text and documents packed together.
+SHARD_TOKENS, MAX_SHARDS, CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 1 << 18, 12 << 20, 4096
 CONTEXT_BITS = 40
 #: Pairs looked up together, so that the arrays of a search stay in the processor's cache.
 SLICE = 1 << 15
-#: Quantised log10 values: steps of 1/2048 from -20.
-STEPS, LEAST = 2048, 20.0
+#: Quantised log10 values: steps of 1/2048 from -16.
+STEPS, LEAST = 2048, 16.0
+
+
+def encode(log10):
+    import numpy as np
+
+    return np.clip(np.rint((log10 + LEAST) * STEPS), 0, 65535).astype(np.uint16)
 
 
 def quantise(x):
     import numpy as np
 
-    return np.clip(np.rint((np.log10(x) + LEAST) * STEPS), 0, 65535).astype(np.uint16)
+    return encode(np.log10(x))
 
 
 def value(code):
@@ -156,7 +167,7 @@ class EliasFano:
 class Trie:
     """A shard's model over one buffer. Words and contexts are hashes: of 64 bits, and their upper CONTEXT_BITS bits."""
 
-    KINDS = ("u1", "u8", "u4") * 3 + ("u4", "u2", "u2", "u2")
+    KINDS = ("u1", "u8", "u4") * 3 + ("u8", "u2", "u2")
 
     def __init__(self, buffer):
         import numpy as np
@@ -170,7 +181,7 @@ class Trie:
         self.words = EliasFano(self.n_words, *arrays[0:3])
         self.pointers = EliasFano(self.n_words + 1, *arrays[3:6])
         self.contexts = EliasFano(self.n_pairs, *arrays[6:9])
-        self.counts, self.unigram, self.weight, self.pair = arrays[9:]
+        self.counts, self.unigram, self.pair = arrays[9:]
 
     @classmethod
     def build(cls, words, counts, pair_word, pair_context, pair_count, total: float, types: float, mass: float = MASS) -> bytes:
@@ -184,9 +195,8 @@ class Trie:
             *EliasFano.arrays(words, 1 << 64),
             *EliasFano.arrays(pointers, len(pair_word) + 1),
             *EliasFano.arrays(relative, max(1, len(words)) << CONTEXT_BITS),
-            np.minimum(counts, (1 << 32) - 1).astype(np.uint32),
+            counts.astype(np.uint64),
             quantise(q),
-            quantise(1.0 / (counts + mass)),
             quantise(pair_count + mass * q[pair_word]) if len(pair_word) else np.zeros(0, np.uint16),
         ]
         out = [np.array([len(words), len(pair_word), *map(len, arrays)], "<i8").tobytes()]
@@ -209,23 +219,21 @@ class Trie:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def lookup(self, word, context, total: float, types: float, mass: float = MASS):
-        """(count of the word, log10 of the numerator of p(word | context), log10 of one over the word's denominator)."""
+        """(count of the word, log10 of the numerator of p(word | context)). Arrays."""
         import numpy as np
 
         at = self.words.find(word)
-        known = at >= 0
-        count = np.zeros(len(word), np.int64)
+        count = np.zeros(len(word), np.uint64)
         top = np.full(len(word), np.log10(mass / (total + types + 1)))
-        weight = np.full(len(word), -np.log10(mass))
-        k = np.flatnonzero(known)
+        k = np.flatnonzero(at >= 0)
         place = at[k]
-        count[k], weight[k] = self.counts[place], value(self.weight[place])
+        count[k] = self.counts[place]
         top[k] = np.log10(mass) + value(self.unigram[place])
         first, after = self.pointers.get(place).astype(np.int64), self.pointers.get(place + 1).astype(np.int64)
         pair = self.contexts.find(place.astype(np.uint64) << np.uint64(CONTEXT_BITS) | context[k], first, after)
         seen = pair >= 0
         top[k[seen]] = value(self.pair[pair[seen]])
-        return count, top, weight
+        return count, top
 
 
 def special(which: int) -> int:
@@ -247,6 +255,72 @@ def token_hashes(raw: bytes):
     return np.append(out, np.uint64(special(2)))
 
 
+class Packed:
+    """Arrays one after another in bytes: numbers of any size, which mostly are small, and fields of a fixed size."""
+
+    def __init__(self, raw: bytes = b""):
+        self.parts, self.raw, self.at = [], raw, 0
+
+    def put(self, a, kind: str) -> Packed:
+        import numpy as np
+
+        self.parts.append(np.ascontiguousarray(a).astype(f"<{kind}").tobytes())
+        return self
+
+    def put_small(self, a) -> Packed:
+        """A byte each; those from 255 on follow as 64-bit numbers."""
+        import numpy as np
+
+        over = a[a >= 255]
+        return self.put([len(over)], "u4").put(np.minimum(a, 255), "u1").put(over, "u8")
+
+    def put_bytes(self, a, width: int) -> Packed:
+        """The low bytes of each number, so many."""
+        import numpy as np
+
+        self.parts.append(np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+        return self
+
+    def put_twelve(self, a) -> Packed:
+        """Numbers below 4096, two in three bytes."""
+        import numpy as np
+
+        x = np.concatenate([a, np.zeros(len(a) % 2, a.dtype)]).astype(np.uint32)
+        return self.put_bytes(x[::2] | x[1::2] << np.uint32(12), 3)
+
+    def bytes(self) -> bytes:
+        return b"".join(self.parts)
+
+    def take(self, kind: str, n: int):
+        import numpy as np
+
+        out = np.frombuffer(self.raw, f"<{kind}", n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def take_small(self, n: int):
+        import numpy as np
+
+        over, out = int(self.take("u4", 1)[0]), self.take("u1", n).astype(np.int64)
+        if over:
+            large = self.take("u8", over).astype(np.int64)
+            out[np.flatnonzero(out == 255)] = large
+        return out
+
+    def take_bytes(self, n: int, width: int):
+        import numpy as np
+
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = self.take("u1", width * n).reshape(n, width)
+        return wide.view("<u8").ravel()
+
+    def take_twelve(self, n: int):
+        import numpy as np
+
+        both = self.take_bytes(-(-n // 2), 3)
+        return np.stack([both & np.uint64(4095), both >> np.uint64(12)], 1).ravel()[:n].astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n_train, n_all) of docs (text_, held_out), the end a word of its own."""
 
@@ -277,71 +351,107 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
-def _packed_tokens(docs: DataFrame, key: str, shards: int, frequent: dict[int, int]) -> DataFrame:
-    """kind 0: a shard's tokens of a chunk of documents, packed; kind 1: a document of a chunk.
+@dataclass
+class Sizes:
+    """What every task knows of a model: counts of the training tokens, and the words that are dealt over all shards."""
 
-    frequent: word hash -> over how many shards, from its own on, it is dealt.
-    """
+    shards: int
+    total: int
+    types: int
+    mass: float
+    #: Sorted hashes and training counts. Fewer than 2 * shards words have so large a share, so this can be sent to tasks.
+    large: tuple = ()
+
+    @classmethod
+    def of(cls, counts: DataFrame, mass: float, shards: int | None = None) -> Sizes:
+        import numpy as np
+
+        total, types, everything = counts.agg(F.sum("n_train"), F.count_if(F.col("n_train") > 0), F.sum("n_all")).first()
+        everything = everything or 0
+        shards = shards or max(partitions(counts.sparkSession), min(MAX_SHARDS, -(-everything // SHARD_TOKENS)))
+        rows = counts.where(F.col("n_all") * 2 * shards > everything).select("word", "n_train").toArrow()
+        word, n = rows["word"].to_numpy().astype(np.int64).view(np.uint64), rows["n_train"].to_numpy().astype(np.int64)
+        order = np.argsort(word)
+        return cls(shards, total or 0, types or 0, mass, (word[order], n[order]))
+
+    def shard(self, word, context):
+        """The shard of each pair: that of its word, or, for words with a large share, one by word and context."""
+        import numpy as np
+
+        names = self.large[0]
+        at = np.searchsorted(names, word)
+        hot = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == word) if len(names) else np.zeros(0, np.int64)
+        mixed = word.copy()
+        mixed[hot] = (mixed[hot] ^ context[hot]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed[hot] ^= mixed[hot] >> np.uint64(29)
+        return (mixed % np.uint64(self.shards)).astype(np.int64)
+
+
+ROW = "kind int, shard int, chunk long, data binary, nth int, held_out boolean, n_tokens long"
+#: Kinds of rows. A chunk's distinct pairs that a shard is asked for, and later its answer; a document; a chunk's lists of
+#: documents by pair; a shard's trie.
+ASKED, DOCUMENT, LISTS, TRIE = range(4)
+
+
+def _rows(kind: int, shard: list, chunk: list, data: list, **more):
+    import pyarrow as pa
+
+    n = len(shard)
+    nothing = {"key_": pa.nulls(n), "nth": [None] * n, "held_out": [None] * n, "n_tokens": [None] * n} | more
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * n, pa.int32()), pa.array(shard, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary()), pa.array(nothing["nth"], pa.int32()), pa.array(nothing["held_out"], pa.bool_()), pa.array(nothing["n_tokens"], pa.int64()), nothing["key_"]],
+        names=[*(f.split()[0] for f in ROW.split(", ")), "key_"],
+    )
+
+
+def _packed(docs: DataFrame, key: str, sizes: Sizes, lists: bool = True) -> DataFrame:
+    """Rows of kind ASKED, and with lists DOCUMENT and LISTS, of docs (key, text_, held_out), chunk by chunk."""
+    kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names = np.array(sorted(frequent), np.uint64)
-        ways = np.array([frequent[int(w)] for w in names], np.int64)
-        begin = np.uint64(special(1))
+        shards, bits = sizes.shards, np.uint64(CONTEXT_BITS)
         chunk = TaskContext.get().partitionId() << 24
-        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("data", pa.binary()), ("nth", pa.int32())])
-
-        def columns(kind, shard, n, m, data, nth, keys, out, size):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array([chunk] * len(kind), pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(data, pa.binary()), pa.array(nth, pa.int32()), keys, pa.array(out, pa.bool_()), pa.array(size, pa.int64())],
-                names=[*schema.names, "key_", "held_out", "n_tokens"],
-            )
 
         def made(parts, keys, out):
-            sizes = np.array(list(map(len, parts)))
+            n_tokens = np.array(list(map(len, parts)))
             word = np.concatenate(parts)
             context = np.empty_like(word)
             context[1:] = word[:-1]
-            context[np.r_[0, np.cumsum(sizes)[:-1]]] = begin
+            context[np.r_[0, np.cumsum(n_tokens)[:-1]]] = np.uint64(special(1))
             context >>= np.uint64(64 - CONTEXT_BITS)
-            doc = np.repeat(np.arange(len(parts)), sizes)
-            train = np.repeat(~np.array(out), sizes)
-            shard = (word % np.uint64(shards)).astype(np.int64)
-            shared: list = [([], [], []) for _ in range(shards)]
-            if len(names):
-                at = np.minimum(np.searchsorted(names, word), len(names) - 1)
-                hot = np.flatnonzero(names[at] == word)
-                salt = (doc[hot] * 7919 + (chunk >> 24) * 104729 + (chunk & 0xFFFFFF) * 1299709) % ways[at[hot]]
-                for i in np.unique(at[hot]):
-                    own = hot[(at[hot] == i) & train[hot]]
-                    c, k = np.unique(context[own], return_counts=True)
-                    for s in range(int(ways[i])):
-                        if len(c):
-                            to = shared[(int(names[i]) % shards + s) % shards]
-                            to[0].append(np.full(len(c), names[i]))
-                            to[1].append(c)
-                            to[2].append(k)
-                shard[hot] = (shard[hot] + salt) % shards
-            order = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows: tuple[list, ...] = ([], [], [], [])
-            for s in range(shards):
-                x = order[cuts[s] : cuts[s + 1]]
-                extra = [np.concatenate(z) for z in shared[s]] if shared[s][0] else [np.zeros(0, np.uint64)] * 3
-                if not len(x) and not len(extra[0]):
-                    continue
-                dictionary, index = np.unique(word[x], return_inverse=True)
-                five = lambda c: np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                blob = [np.array([len(dictionary)], "<i4").tobytes(), dictionary.tobytes(), index.astype("<u4" if len(dictionary) > 65535 else "<u2").tobytes(), five(context[x]), (doc[x] * 2 + train[x]).astype("<u2").tobytes(), extra[0].astype("<u8").tobytes(), five(extra[1]), extra[2].astype("<u4").tobytes()]
-                for out_, v in zip(rows, (s, len(x), len(extra[0]), b"".join(blob)), strict=True):
-                    out_.append(v)
-            n = len(rows[0])
-            yield columns([0] * n, rows[0], rows[1], rows[2], rows[3], [None] * n, pa.nulls(n, keys.type), [None] * n, [None] * n)
-            n = len(parts)
-            yield columns([1] * n, [(chunk + i) % shards for i in range(n)], [None] * n, [None] * n, [None] * n, list(range(n)), keys, out, sizes)
+            doc = np.repeat(np.arange(len(parts)), n_tokens)
+            train = np.repeat(~np.array(out), n_tokens).astype(np.int64)
+            name, pair = np.unique(word, return_inverse=True)
+            pair = pair.astype(np.uint64) << bits | context
+            del word, context
+            order = np.argsort(pair)
+            pair = pair[order]
+            starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            pair, n = pair[starts], np.diff(np.r_[starts, len(pair)])
+            trained = np.add.reduceat(train[order], starts)
+            named, context = (pair >> bits).astype(np.int64), pair & np.uint64((1 << CONTEXT_BITS) - 1)
+            shard = sizes.shard(name[named], context)
+            by = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+            asked: tuple[list, ...] = ([], [])
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                x = by[cuts[s] : cuts[s + 1]]
+                new = np.flatnonzero(np.r_[True, named[x][1:] != named[x][:-1]])
+                blob = Packed().put([len(new), len(x)], "u4").put(name[named[x[new]]], "u8").put_small(np.diff(np.r_[new, len(x)])).put_bytes(context[x], CONTEXT_BITS // 8).put_small(trained[x])
+                asked[0].append(s)
+                asked[1].append(blob.bytes())
+            yield _rows(ASKED, asked[0], [chunk] * len(asked[0]), asked[1], key_=pa.nulls(len(asked[0]), keys.type))
+            if not lists:
+                return
+            n = n[by]
+            token = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[by], n)
+            blob = Packed().put([len(n), len(order)], "u4").put_small(n).put_twelve(doc[order[token]])
+            yield _rows(LISTS, [chunk % shards], [chunk], [blob.bytes()], key_=pa.nulls(1, keys.type))
+            yield _rows(DOCUMENT, [chunk % shards] * len(parts), [chunk] * len(parts), [None] * len(parts), nth=list(range(len(parts))), key_=keys, held_out=out, n_tokens=n_tokens)
 
         parts, kept, out, size = [], [], [], 0
         for batch in batches:
@@ -358,155 +468,193 @@ def _packed_tokens(docs: DataFrame, key: str, shards: int, frequent: dict[int, i
         if parts:
             yield from made(parts, pa.concat_arrays(kept), out)
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.col("text_").cast("binary"), "held_out").mapInArrow(run, f"kind int, shard int, chunk long, n int, m int, data binary, nth int, key_ {kind}, held_out boolean, n_tokens long")
+    return docs.select(key, F.col("text_").cast("binary"), "held_out").mapInArrow(run, f"{ROW}, key_ {kind}")
 
 
-def _scored(packed: DataFrame, kind: str, shards: int, frequent: dict[int, int], total: int, types: int, mass: float) -> DataFrame:
-    """kind 0: a shard's sums for the documents of a chunk, packed; kind 1 as it comes."""
-    fields = f"kind int, shard int, chunk long, data binary, nth int, key_ {kind}, held_out boolean, n_tokens long"
+def _answered(packed: DataFrame, sizes: Sizes, only_tries: bool = False) -> DataFrame:
+    """Each shard answers for the pairs that it is asked for; DOCUMENT and LISTS pass. only_tries: the shards' tries instead.
+
+    A shard's trie is the one among its rows, or, where there is none, made from the training counts of the pairs asked for.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        hot = np.array(sorted(frequent), np.uint64)
-        names = [x.split()[0] for x in fields.split(", ")]
-        blobs, kept = [], None
+        bits, width = np.uint64(CONTEXT_BITS), CONTEXT_BITS // 8
+        asked: dict[int, list] = {}
+        tries: dict[int, bytes] = {}
+        kind = pa.null()
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
-            docs = batch.filter(pc.equal(batch["kind"], 1))
-            kept = batch["key_"].type
-            if docs.num_rows:
-                yield docs.select(names)
-            for k, s, c, n, m, raw in zip(*(batch[x].to_pylist() for x in ("kind", "shard", "chunk", "n", "m", "data")), strict=True):
-                if k == 0:
-                    blobs.append((c, s, n, m, raw))
-        if not blobs:
-            return
-        blobs.sort(key=lambda b: b[0])
-
-        def parts(blob):
-            """(dictionary, each token's place in it, contexts, documents, are they trained on, shared words, contexts, counts)."""
-            _, _, n, m, raw = blob
-            d = int(np.frombuffer(raw, "<i4", 1)[0])
-            at = 4
-
-            def take(kind_, count):
-                nonlocal at
-                out = np.frombuffer(raw, kind_, count, at)
-                at += out.nbytes
-                return out
-
-            def five(count):
-                wide = np.zeros((count, 8), np.uint8)
-                wide[:, :5] = take("u1", 5 * count).reshape(count, 5)
-                return wide.view("<u8").ravel()
-
-            dictionary = take("<u8", d)
-            index, context, doc = take("<u4" if d > 65535 else "<u2", n), five(n), take("<u2", n)
-            return dictionary, index, context, doc >> 1, (doc & 1).astype(bool), take("<u8", m), five(m), take("<u4", m)
-
-        # all distinct (word, context) of the shard, and how often training texts have them: one sort serves both
-        read = [parts(b) for b in blobs]
-        name = np.unique(np.concatenate([x for r in read for x in (r[0], r[5])]))
-        shared = np.isin(name, hot)
-        bits = np.uint64(CONTEXT_BITS)
-        word = [np.searchsorted(name, r[0])[r[1]] for r in read]
-        keys = [w.astype(np.uint64) << bits | r[2] for w, r in zip(word, read, strict=True)]
-        extra = [np.searchsorted(name, r[5]).astype(np.uint64) << bits | r[6] for r in read]
-        counted = np.concatenate([*(r[4] & ~shared[w] for w, r in zip(word, read, strict=True)), *(r[7] for r in read)]).astype(np.float64)
-        pair, inverse = np.unique(np.concatenate(keys + extra), return_inverse=True)
-        blobs = [b[:2] for b in blobs]
-        del keys, extra, word
-        read = [r[3] for r in read]  # of the tokens, only their documents are needed from here on
-        pair_count = np.bincount(inverse, counted, len(pair)).astype(np.int64)
-        del counted
-        pair_word = (pair >> bits).astype(np.int64)
-        word_count = np.bincount(pair_word, pair_count, len(name)).astype(np.int64)
-        seen, had = np.flatnonzero(word_count > 0), np.flatnonzero(pair_count > 0)
-        place = np.cumsum(word_count > 0) - 1  # of a trained word in the trie
-        context = pair & np.uint64((1 << CONTEXT_BITS) - 1)
-        trie = Trie.mapped(Trie.build(name[seen], word_count[seen], place[pair_word[had]], context[had], pair_count[had], total, types, mass))
-        # each distinct pair is looked up once, in the order of the trie
-        looked = [trie.lookup(name[pair_word[i : i + SLICE]], context[i : i + SLICE], total, types, mass) for i in range(0, len(pair), SLICE)]
-        count, top, weight = (np.concatenate(x) for x in zip(*looked, strict=True))
-        top += np.where(name[pair_word] == np.uint64(special(2)), 0.0, weight)
-        known, base = (count > 0).astype(np.float64), np.log10(count + 1.0)
-        at_token = 0
-        for b, doc in zip(blobs, read, strict=True):
-            own = inverse[at_token : at_token + len(doc)]
-            at_token += len(doc)
-            if not len(doc):
-                continue
-            size = int(doc[-1]) + 1
-            at = np.flatnonzero(np.bincount(doc, minlength=size))
-            sums = [np.bincount(doc, x[own], size)[at] for x in (known, base, top)]
-            raw = at.astype("<u2").tobytes() + sums[0].astype("<u4").tobytes() + sums[1].tobytes() + sums[2].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b[1]], pa.int32()), pa.array([b[0]], pa.int64()), pa.array([raw], pa.binary()), pa.array([None], pa.int32()), pa.nulls(1, kept), pa.array([None], pa.bool_()), pa.array([None], pa.int64())], names=names)
-
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(run, fields)
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mass: float = MASS) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs, which has a boolean held_out.
-
-    The model learns from the rows that are not held out. Null texts are empty: one token, the end. Repeated rows are
-    scored each. Other columns are not carried. Without training rows all words are unknown. No rows give none.
-    """
-    spark = docs.sparkSession
-    read = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    counts = materialize(word_counts(read), "word-counts")
-    begins = special(2) - (special(2) >> 63 << 64)
-    total, types, all_tokens, texts = counts.agg(F.sum("n_train"), F.count_if(F.col("n_train") > 0), F.sum("n_all"), F.max(F.when(F.col("word") == begins, F.col("n_train")))).first()
-    total, types, all_tokens, texts = total or 0, types or 0, all_tokens or 0, texts or 0
-    shards = max(partitions(spark), -(-all_tokens // SHARD_TOKENS))
-    large = counts.where(F.col("n_all") * 2 * shards > all_tokens).orderBy(F.desc("n_all"), "word").limit(FREQUENT).collect()
-    frequent = {r["word"] % (1 << 64): min(shards, -(-2 * r["n_all"] * shards // all_tokens)) for r in large}
-    kind = dict(docs.dtypes)[key]
-    scored = _scored(_packed_tokens(read, key, shards, frequent), kind, shards, frequent, total, types, mass)
-    fields = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+            kind = batch["key_"].type
+            passes = pc.or_(pc.equal(batch["kind"], DOCUMENT), pc.equal(batch["kind"], LISTS))
+            if (passed := batch.filter(passes)).num_rows:
+                yield passed
+            own = batch.filter(pc.invert(passes))
+            for k, s, c, raw in zip(*(own[x].to_pylist() for x in ("kind", "shard", "chunk", "data")), strict=True):
+                if k == TRIE:
+                    tries[s] = raw
+                    asked.setdefault(s, [])
+                else:
+                    asked.setdefault(s, []).append((c, raw))
+
+        def answers(s: int, blobs: list) -> Iterator:
+            blobs.sort(key=lambda b: b[0])
+            chunks, read = [c for c, _ in blobs], []
+            for _, raw in blobs:
+                p = Packed(raw)
+                n, m = p.take("u4", 2).tolist()
+                read.append((p.take("u8", n), p.take_small(n), p.take_bytes(m, width), p.take_small(m)))
+            del blobs[:]
+            if s in tries and not read:
+                return
+            # all distinct pairs of the shard, and how often training texts have them: one sort serves training and lookups
+            large, n_large = sizes.large
+            name = np.unique(np.concatenate([large, *(r[0] for r in read)]))
+            places = [np.searchsorted(name, r[0]) for r in read]
+            keys = [np.repeat(p, r[1]).astype(np.uint64) << bits | r[2] for p, r in zip(places, read, strict=True)] or [np.zeros(0, np.uint64)]
+            trained = np.concatenate([r[3] for r in read] or [np.zeros(0, np.int64)])
+            runs = [r[1] for r in read]
+            del read
+            pair, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            pair_word, context = (pair >> bits).astype(np.int64), pair & np.uint64((1 << CONTEXT_BITS) - 1)
+            if s in tries:
+                trie = Trie.mapped(tries.pop(s))
+            else:
+                pair_count = np.zeros(len(pair), np.int64)
+                np.add.at(pair_count, inverse, trained)
+                count = np.zeros(len(name), np.int64)
+                np.add.at(count, pair_word, pair_count)
+                count[np.searchsorted(name, large)] = n_large
+                seen, had = np.flatnonzero(count > 0), np.flatnonzero(pair_count > 0)
+                raw = Trie.build(name[seen], count[seen], (np.cumsum(count > 0) - 1)[pair_word[had]], context[had], pair_count[had], sizes.total, sizes.types, sizes.mass)
+                if only_tries:
+                    yield _rows(TRIE, [s], [None], [raw], key_=pa.nulls(1, kind))
+                    return
+                trie = Trie.mapped(raw)
+                del raw, pair_count, seen, had
+            del trained
+            # each distinct pair is looked up once, in the order of the trie
+            code, count = np.zeros(len(pair), np.uint16), np.zeros(len(name), np.uint64)
+            for i in range(0, len(pair), SLICE):
+                of = slice(i, i + SLICE)
+                own, top = trie.lookup(name[pair_word[of]], context[of], sizes.total, sizes.types, sizes.mass)
+                code[of], count[pair_word[of]] = encode(top), own
+            at = 0
+            for c, place, run_ in zip(chunks, places, runs, strict=True):
+                m = int(run_.sum())
+                own = count[place]
+                size = next(w for w in (1, 2, 4, 8) if w == 8 or own.max() < np.uint64(1 << 8 * w))
+                blob = Packed().put([len(place), m, size], "u4").put(own, f"u{size}").put_small(run_).put(code[inverse[at : at + m]], "u2")
+                at += m
+                yield _rows(ASKED, [s], [c], [blob.bytes()], key_=pa.nulls(1, kind))
+
+        for s in sorted(asked):
+            yield from answers(s, asked[s])
+
+    return packed.repartitionById(sizes.shards, F.col("shard")).mapInArrow(run, f"{ROW}, key_ {dict(packed.dtypes)['key_']}")
+
+
+def _summed(answered: DataFrame, key: str, sizes: Sizes) -> DataFrame:
+    """Each document's sums over its tokens, chunk by chunk."""
+    fields = f"{key} {dict(answered.dtypes)['key_']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        held: list = []
-
         def made(rows):
             rows = pa.Table.from_batches(rows)
-            docs_ = rows.filter(pc.equal(rows["kind"], 1)).sort_by("nth").combine_chunks()
-            n = docs_.num_rows
-            known, base, top = np.zeros(n), np.zeros(n), np.full(n, -np.log10(texts + mass))
-            packed = rows.filter(pc.equal(rows["kind"], 0)).sort_by("shard")
-            for raw in packed["data"].to_pylist():
-                m = len(raw) // 22
-                at = np.frombuffer(raw, "<u2", m)
-                known[at] += np.frombuffer(raw, "<u4", m, 2 * m)
-                base[at] += np.frombuffer(raw, "<f8", m, 6 * m)
-                top[at] += np.frombuffer(raw, "<f8", m, 14 * m)
-            tokens = docs_["n_tokens"].to_numpy()
-            base -= tokens * np.log10(total + types + 1)
-            columns = [docs_["key_"], docs_["held_out"], docs_["n_tokens"], pa.array(known.astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(top)]
+            docs = rows.filter(pc.equal(rows["kind"], DOCUMENT)).sort_by("nth").combine_chunks()
+            n = docs.num_rows
+            p = Packed(rows.filter(pc.equal(rows["kind"], LISTS))["data"][0].as_py())
+            pairs, tokens = p.take("u4", 2).tolist()
+            times = p.take_small(pairs)
+            doc, start, at = p.take_twelve(tokens), 0, 0
+            known, base, top = np.zeros(n), np.zeros(n), np.zeros(n)
+            for raw in rows.filter(pc.equal(rows["kind"], ASKED)).sort_by("shard")["data"].to_pylist():
+                p = Packed(raw)
+                words, m, size = p.take("u4", 3).tolist()
+                count = p.take(f"u{size}", words).astype(np.float64)
+                run_ = p.take_small(words)
+                each = times[at : at + m]
+                at += m
+                own = doc[start : start + int(each.sum())]
+                start += len(own)
+                of_token = np.repeat(np.repeat(count, run_), each)
+                known += np.bincount(own, of_token > 0, n)
+                base += np.bincount(own, np.log10(of_token + 1), n)
+                # each token's denominator is that of the token after it; the end's, a text's each, stands for the beginning's
+                top += np.bincount(own, np.repeat(value(p.take("u2", m)), each) - np.log10(of_token + sizes.mass), n)
+            n_tokens = docs["n_tokens"].to_numpy()
+            base -= n_tokens * np.log10(sizes.total + sizes.types + 1)
+            columns = [docs["key_"], docs["held_out"], docs["n_tokens"], pa.array(known.astype(np.int64)), pa.array(np.full(n, sizes.total, np.int64)), pa.array(base), pa.array(top)]
             yield from pa.table(columns, names=[x.split()[0] for x in fields.split(", ")]).to_batches()
 
+        held: list = []
         for batch in batches:
-            chunk = batch.column(2).to_numpy()
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
+            chunk = batch["chunk"].to_numpy()
             cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if held and held[-1].column(2)[0].as_py() != chunk[a]:
+                if held and held[-1]["chunk"][0].as_py() != chunk[a]:
                     yield from made(held)
                     held = []
                 held.append(batch.slice(a, b - a))
         if held:
             yield from made(held)
 
-    return scored.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(run, fields)
+    return answered.repartition(partitions(answered.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(run, fields)
+
+
+def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
+    held = F.coalesce("held_out", F.lit(False)) if "held_out" in docs.columns else F.lit(False)
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_"), held.alias("held_out"))
+
+
+def fit_score(docs: DataFrame, key: str = "doc_id", text: str = "text", mass: float = MASS) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs, which has a boolean held_out.
+
+    The model learns from the rows that are not held out; one exchange of the pairs of each chunk trains the shards and
+    asks them. Null texts are empty: one token, the end. Repeated rows are scored each. Other columns are not carried.
+    Without training rows all words are unknown. No rows give none.
+    """
+    read = _read(docs, key, text)
+    sizes = Sizes.of(materialize(word_counts(read), "word-counts"), mass)
+    return _summed(_answered(_packed(read, key, sizes), sizes), key, sizes)
+
+
+def fit(docs: DataFrame, path: str, text: str = "text", mass: float = MASS) -> Model:
+    """The model of all rows of docs, kept as tables in a new folder that all executors can read."""
+    read = docs.select(F.lit(0).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"), F.lit(False).alias("held_out"))
+    word_counts(read).write.parquet(f"{path}/words")
+    sizes = Sizes.of(docs.sparkSession.read.parquet(f"{path}/words"), mass)
+    tries = _answered(_packed(read, "key_", sizes, lists=False), sizes, only_tries=True)
+    tries.select("kind", "shard", F.col("data").alias("trie"), F.lit(sizes.shards).alias("shards"), F.lit(mass).alias("mass")).write.parquet(f"{path}/tries")
+    return Model(docs.sparkSession, path)
+
+
+class Model:
+    """A model that fit has kept. Its shards are co-located with what they are asked for, and mapped where they are used."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.tries = spark.read.parquet(f"{path}/tries")
+        shards, mass = self.tries.agg(F.max("shards"), F.max("mass")).first()
+        self.sizes = Sizes.of(spark.read.parquet(f"{path}/words"), mass if shards else MASS, shards or 1)
+
+    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """As fit_score, of any docs; held_out is false where docs has no such column."""
+        packed = _packed(_read(docs, key, text), key, self.sizes)
+        others = {c: F.lit(None).cast(t) for c, t in packed.dtypes}
+        tries = self.tries.select(*((F.col("trie") if c == "data" else F.col(c) if c in ("kind", "shard") else v).alias(c) for c, v in others.items()))
+        return _summed(_answered(packed.unionByName(tries), self.sizes), key, self.sizes)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out")))
+    return fit_score(table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out")))
