@@ -451,7 +451,7 @@ def _packed(docs: DataFrame, key: str, sizes: Sizes, lists: bool = True) -> Data
             token = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[by], n)
             blob = Packed().put([len(n), len(order)], "u4").put_small(n).put_twelve(doc[order[token]])
             yield _rows(LISTS, [chunk % shards], [chunk], [blob.bytes()], key_=pa.nulls(1, keys.type))
-            yield _rows(DOCUMENT, [chunk % shards] * len(parts), [chunk] * len(parts), [None] * len(parts), nth=list(range(len(parts))), key_=keys, held_out=out, n_tokens=n_tokens)
+            yield _rows(DOCUMENT, [(chunk + i) % shards for i in range(len(parts))], [chunk] * len(parts), [None] * len(parts), nth=list(range(len(parts))), key_=keys, held_out=out, n_tokens=n_tokens)
 
         parts, kept, out, size = [], [], [], 0
         for batch in batches:
