@@ -4,8 +4,11 @@ Template, for each turn: <|im_start|>ROLE newline TEXT <|im_end|> newline. A con
 backslash after its first character, after any that stand there, so no escaped text holds a control string and taking one
 backslash away gives the text back: <|im_end|> is written <\\|im_end|>, and <\\|im_end|> is written <\\\\|im_end|>.
 
-Each turn is rendered as it is, parsed again and compared; if it doesn't come back it is rendered escaped, which always
-comes back. The parser is one regular expression and the same for all turns. Rows are shuffled once, by conversation.
+A conversation is rendered as it is and parsed again. The grammar has no unescaped control string inside a turn and only
+doubled backslashes and backslash n inside a role, so the parser gives no text for a turn that breaks it. Turns that don't
+come back as they were are escaped, and the whole is rendered and parsed again; if anything still differs all turns are
+escaped; a conversation that then doesn't come back is an error. The parser is one regular expression and the same for all
+turns. Rows are shuffled once, by conversation.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import table
+from braidwork.llm.common import let, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Fixed control strings: those of the template, and those of other common templates.
@@ -24,6 +27,8 @@ TAILS = "(\\|im_start\\|>|\\|im_end\\|>|s>|/s>|<SYS>>|</SYS>>|INST\\]|/INST\\])"
 #: A control string's first character, backslashes, its rest.
 ESCAPABLE = f"{HEADS}(\\\\*){TAILS}"
 ESCAPED = f"{HEADS}\\\\(\\\\*){TAILS}"
+#: What no turn of the output may hold: a control string as it is.
+BARE = f"{HEADS}{TAILS}"
 #: One turn of the output: role, text.
 TURN = "(?s)<\\|im_start\\|>([^\\n]*)\\n(.*?)<\\|im_end\\|>\\n"
 SAYS = "</s>[INST] ok [/INST]"
@@ -52,47 +57,61 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """The turns of rendered text: array<struct<role, body, text>>, body as it stands, text unescaped."""
+    """The turns of rendered text: array<struct<role, text>>, unescaped; null where a turn breaks the grammar."""
     roles, bodies = F.regexp_extract_all(rendered, F.lit(TURN), F.lit(1)), F.regexp_extract_all(rendered, F.lit(TURN), F.lit(2))
-    return F.zip_with(roles, bodies, lambda r, b: F.struct(unescape_role(r).alias("role"), b.alias("body"), unescape(b).alias("text")))
+    lone = lambda r: F.contains(F.replace(F.replace(unescape(r), F.lit("\\\\"), F.lit("")), F.lit("\\n"), F.lit("")), F.lit("\\"))
+    role = lambda r: F.when(~r.rlike(BARE) & ~lone(r), unescape_role(r))
+    return F.zip_with(roles, bodies, lambda r, b: F.struct(role(r).alias("role"), F.when(~b.rlike(BARE), unescape(b)).alias("text")))
 
 
-def rendered_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, piece, escaped): each turn rendered; raw if it comes back so, else escaped.
+def piece(turn: Column, escaped: Column) -> Column:
+    return F.when(escaped, render(escape_role(turn["role"]), escape(turn["text"]))).otherwise(render(turn["role"], turn["text"]))
 
-    A null role or text is an empty one.
-    """
-    plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    raw = plain.withColumn("raw_", render(F.col("role"), F.col("text"))).withColumn("back_", parse(F.col("raw_")))
-    same = (F.size("back_") == 1) & F.col("back_")[0]["role"].eqNullSafe(F.col("role")) & F.col("back_")[0]["text"].eqNullSafe(F.col("text"))
-    clean = F.coalesce(same, F.lit(False)) & ~F.contains("role", F.lit("\\")) & ~F.concat("role", F.lit("\n"), "text").rlike(ESCAPABLE)
-    piece = F.when(clean, F.col("raw_")).otherwise(render(escape_role(F.col("role")), escape(F.col("text"))))
-    return raw.select("conv_id", "turn", "role", "text", piece.alias("piece"), (~clean).alias("escaped"))
+
+def differing(turns: Column, rendered: Column) -> Column:
+    """For each of turns, whether it doesn't come back from the rendered whole; all differ where their number does not come back."""
+
+    def told(back: Column) -> Column:
+        same = lambda t, i: F.get(back, i)["role"].eqNullSafe(t["role"]) & F.get(back, i)["text"].eqNullSafe(t["text"])
+        found = F.transform(turns, lambda t, i: ~F.coalesce(same(t, i), F.lit(False)))
+        return F.when((F.size(back) == F.size(turns)) | F.exists(found, lambda x: x), found).otherwise(F.transform(turns, lambda _: F.lit(True)))
+
+    return let(parse(rendered), told)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans, n_escaped, round_trip): one row a conversation.
 
-    Turns go by their number, nulls last; ties by role and text. loss_spans: array<struct<start, length>> of assistant
-    texts in formatted, in code points from 0. round_trip: the parsed output equals the source (always true). Rows with a
+    Turns go by their number, nulls last; ties by role and text; a null role or text is an empty one. loss_spans:
+    array<struct<start, length>> of assistant texts in formatted, in code points from 0. n_escaped: turns that are not
+    written as they are. round_trip: the parsed output equals the source; the job fails where it would not. Rows with a
     null conv_id are one conversation. Other columns are not carried. An empty table gives an empty one.
     """
-    pieces = rendered_turns(turns)
-    order = [F.col("turn").asc_nulls_last(), "role", "text", "piece"]
-    w = W.partitionBy("conv_id").orderBy(*order)
-    length = F.length("piece")
-    placed = pieces.withColumn("nth", F.row_number().over(w)).withColumn("at", F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0)) - length)
-    body_start = F.col("at") + F.length(F.substring_index("piece", "\n", 1)) + 1
-    body = F.struct(body_start.alias("start"), (F.col("at") + length - len(END) - body_start).alias("length"))
-    by = placed.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("nth", "piece", "role", "text", F.when(F.col("role") == "assistant", body).alias("span")))).alias("turns_"),
-        F.sum(F.col("escaped").cast("int")).alias("n_escaped"),
+    plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
+    state = plain.groupBy("conv_id").agg(F.sort_array(F.collect_list(own)).alias("turns"))
+    whole = lambda flags: F.array_join(F.zip_with("turns", flags, piece), "")
+    nothing = F.transform("turns", lambda _: F.lit(False))
+    # each round escapes the turns that don't come back from the round before; the second can only be followed by all
+    state = state.withColumn("first", differing(F.col("turns"), whole(nothing)))
+    state = state.withColumn("again", F.when(F.exists("first", lambda x: x), differing(F.col("turns"), whole(F.col("first")))).otherwise(F.col("first")))
+    state = state.withColumn("flags", F.when(F.exists("again", lambda x: x), F.transform("turns", lambda _: F.lit(True))).otherwise(F.col("first")))
+    state = state.withColumn("formatted", whole(F.col("flags")))
+    back = F.exists(differing(F.col("turns"), F.col("formatted")), lambda x: x)
+    state = state.withColumn("round_trip", F.when(~back, F.lit(True)).otherwise(F.raise_error(F.lit("a conversation does not come back from its text")).cast("boolean")))
+    # where each turn stands: sums of lengths along the conversation, whose rows stay where they are
+    turn = lambda t, i: F.struct(t["role"].alias("role"), piece(t, F.get("flags", i)).alias("piece"), render(t["role"], t["text"]).alias("raw"), F.when(i == 0, F.col("formatted")).alias("whole"))
+    each = state.select("conv_id", "round_trip", F.posexplode(F.transform("turns", turn)).alias("nth", "x"))
+    length = F.length("x.piece")
+    at = F.sum(length).over(W.partitionBy("conv_id").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)) - length
+    body_start = F.col("at") + F.length(F.substring_index("x.piece", "\n", 1)) + 1
+    span = F.struct(body_start.alias("start"), (F.col("at") + length - len(END) - body_start).alias("length"))
+    return each.withColumn("at", at).groupBy("conv_id").agg(
+        F.max("x.whole").alias("formatted"),
+        F.sort_array(F.collect_list(F.when(F.col("x.role") == "assistant", span))).alias("loss_spans"),
+        F.count_if(F.col("x.piece") != F.col("x.raw")).alias("n_escaped"),
+        F.bool_and("round_trip").alias("round_trip"),
     )
-    made = by.withColumn("formatted", F.array_join(F.col("turns_.piece"), ""))
-    source = F.transform("turns_", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    back = F.transform(parse(F.col("formatted")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    spans = F.filter(F.col("turns_.span"), lambda s: s.isNotNull())
-    return made.select("conv_id", "formatted", spans.alias("loss_spans"), "n_escaped", (source == back).alias("round_trip"))
 
 
 def masked_texts(formatted: Column, spans: Column) -> Column:
@@ -102,7 +121,8 @@ def masked_texts(formatted: Column, spans: Column) -> Column:
 
 def with_probe(turns: DataFrame) -> DataFrame:
     """turns with conversation -1, whose texts are control strings."""
-    probe = turns.sparkSession.createDataFrame([(-1, 0, "user", SAYS), (-1, 1, "assistant", SAYS)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    probe = turns.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(SAYS).alias("text"))
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
 
 

@@ -60,3 +60,9 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(df with its columns named c0_, c1_, ..., the new name of each): so that no name of a caller's meets one of an operator's."""
+    names = {c: f"c{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ SMOOTHING = 0.1
 #: A further language must raise the log likelihood by so many times the logarithm of the number of trigrams.
 PENALTY = 6.0
 ROUNDS = 12
-MAX_SET = 5
 #: More languages than this are refused: the model is sent to every task.
 MAX_LANGUAGES = 4000
 #: Documents estimated together; bytes of a text hashed together.
@@ -74,11 +74,18 @@ class Model:
     languages: list[str]
     logp: object  # languages x BUCKETS
 
+    @cached_property
+    def p(self):
+        """The probabilities as 32-bit numbers, once a task."""
+        import numpy as np
+
+        return np.exp(self.logp).astype(np.float32)
+
     def shares(self, counts, penalty: float = PENALTY):
         """documents x languages: the estimated proportions, 0 outside of each document's chosen set."""
         import numpy as np
 
-        p = np.exp(self.logp).astype(np.float32)  # L x B
+        p = self.p
         d, n_langs = len(counts), len(self.languages)
         total = counts.sum(1)
         single = counts @ self.logp.T.astype(np.float32)
@@ -88,7 +95,7 @@ class Model:
         likelihood = single.max(1).astype(np.float64)
         price = penalty * np.log(np.maximum(total, 2.0))
         open_ = np.flatnonzero(total > 0)
-        for _ in range(min(MAX_SET, n_langs) - 1):
+        for _ in range(n_langs - 1):
             if not len(open_):
                 break
             c = counts[open_]

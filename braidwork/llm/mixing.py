@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import free_name, materialize, table, word_count
+from braidwork.llm.common import free_name, materialize, numbered, table, word_count
 
 #: A source gives at most so many times its own size, so no document is taken more often.
 MAX_REPEATS = 3
@@ -46,19 +46,22 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     )
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the first 52 bits of the MD5 of seed and key; null counts as the empty key."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+def uniform(key: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of seed and key; a null key gives way to the MD5 of the text."""
+    named = F.coalesce(key.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), named)), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
 def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """docs with size, source_size, target and n_copies (how often the mix takes the document).
 
     Columns of docs with these names give way to the computed ones. Null texts have size 0; a document without words
-    is taken like any other of its source. Repeated rows share their id, so they share their draw.
+    is taken like any other of its source. Repeated rows share their id, so they share their draw; rows without an id draw by
+    their texts. An empty table gives an empty one.
     """
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "n_copies")]
-    sized = docs.select(*own, word_count(F.col(text)).alias("size"))
+    drawn = free_name(docs, "draw")[0]
+    sized = docs.select(*own, word_count(F.col(text)).alias("size"), uniform(F.col(key), F.col(text), seed).alias(drawn))
     sources = materialize(source_targets(sized.select(F.col(source).alias("source"), "size"), max_repeats=max_repeats), "mix-sources")
     name, salt = free_name(sized, "mix_source", "mix_salt")
     sources = sources.select(F.col("source").alias(name), "source_size", "target", F.col("rate").alias(f"{name}_rate"))
@@ -69,15 +72,16 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         right = sources.withColumn(f"{salt}_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = left.join(right, F.col(source).eqNullSafe(F.col(name)) & (F.col(salt) == F.col(f"{salt}_r")), "left")
     rate = F.col(f"{name}_rate")
-    copies = F.floor(rate) + F.when(uniform(F.col(key), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(F.col(drawn) < rate - F.floor(rate), 1).otherwise(0)
     return joined.select(*own, "size", "source_size", "target", copies.cast("long").alias("n_copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """The mixed corpus: each document as many times as the mix takes it, with the columns of docs."""
-    counted = with_copies(docs, key, text, source, seed)
-    kept = [c for c in counted.columns if c in docs.columns]
-    return counted.where("n_copies > 0").select(*kept, F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("mix_copy_")).drop("mix_copy_").select(*kept)
+    """The mixed corpus: each document as many times as the mix takes it, with the columns of docs as they are."""
+    plain, name = numbered(docs)
+    counted = with_copies(plain, name[key], name[text], name[source], seed).where("n_copies > 0")
+    taken = counted.withColumn("mix_copy_", F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))))
+    return taken.select(*(F.col(new).alias(old) for old, new in name.items()))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +91,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -101,11 +105,11 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, coalesce(least(cap::DOUBLE, level * weight), 0.0)::DOUBLE AS target FROM levelled
 ), rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.digest, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size::DOUBLE, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, digest)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rated
 """

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import materialize, partitions, table, text_or_empty
+from braidwork.llm.common import materialize, numbered, partitions, table, text_or_empty
 
 CAPACITY = 2048
+#: Items of a size that stand in one salted group, about.
+SALTED = 1_000_000
 END = b"\0\0\0\0"
 
 
@@ -34,9 +36,10 @@ def byte_of() -> dict[str, int]:
 class Encoder:
     """text -> its ids as little-endian unsigned 32-bit bytes; the ids are those of tokenizers with the same file.
 
-    The vocabulary is read from the file; merging is done by tiktoken, which takes a third of the time for the same ids
-    (in this vocabulary an id is the rank of its merge). Texts with very long runs of white space, on which its pattern
-    runs out of stack, go to tokenizers itself.
+    The vocabulary is read from the file; merging is done by tiktoken, which takes a third of the time for the same ids, and
+    only where the file's merges come in the order of their ids. Words that the file adds to the vocabulary are taken whole
+    where they stand in a text, as tokenizers does. Texts with very long runs of white space, on which its pattern runs out
+    of stack, go to tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -48,21 +51,23 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        special, byte = {x["content"] for x in made.get("added_tokens", ())}, byte_of()
-        ranks = {bytes(byte[c] for c in word): i for word, i in made["model"]["vocab"].items() if word not in special}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-        self.path, self.long_run = path, re.compile(r"\s{1000}").search
+        added, byte, words = made.get("added_tokens") or [], byte_of(), made["model"]["vocab"]
+        special = {x["content"]: x["id"] for x in added}
+        merged = [words["".join(m.split(" ") if isinstance(m, str) else m)] for m in made["model"]["merges"]]
+        plain = not any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.path, self.long_run, self.merge = path, re.compile(r"\s{1000}").search, None
+        if plain and merged == sorted(merged):
+            ranks = {bytes(byte[c] for c in word): i for word, i in words.items() if word not in special}
+            made_of = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.merge = lambda text: made_of.encode(text, allowed_special="all", disallowed_special=())
 
     def ids(self, text: str) -> bytes:
-        return array("I", self.plain(text) if self.long_run(text) else self.encode(text)).tobytes()
+        return array("I", self.merge(text) if self.merge and not self.long_run(text) else self.plain(text)).tobytes()
 
     def plain(self, text: str) -> list[int]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer.encode(text, add_special_tokens=False).ids
+        return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
 
 
 _encoders: dict[str, Encoder] = {}
@@ -167,21 +172,26 @@ def pack(items: DataFrame, size: str = "length", order: list[str] | None = None,
 
     items must be a table that reads alike each time (materialize it); sizes are from 1 to capacity, else this raises.
     order: columns that order the items of a size; rows equal in all of them are told apart in any way. No rows give none.
+    Columns of items named sequence_id or offset give way.
     """
     spark = items.sparkSession
-    order = order or ["doc_id", "piece"]
-    counts = {r[0]: r[1] for r in items.groupBy(size).count().collect()}  # a row for each size, capacity rows at most
+    plain, name = numbered(items)
+    by, order = name[size], [name[c] for c in order or ["doc_id", "piece"]]
+    counts = {r[0]: r[1] for r in plain.groupBy(by).count().collect()}  # a row for each size, capacity rows at most
     if any(s is None or not 1 <= s <= capacity for s in counts):
         raise ValueError(f"sizes must be from 1 to {capacity}")
     places = spark.createDataFrame(plan(counts, capacity), "p_size long, p_from long, p_to long, p_bin long, p_each long, p_fill long")
-    salted = items.withColumn("salt_", F.pmod(F.xxhash64(*order), F.lit(max(64, partitions(spark)))))
-    groups = salted.groupBy(F.col(size).alias("g_size"), F.col("salt_").alias("g_salt")).count()
+    salts = max(64, partitions(spark), max(counts.values(), default=0) // SALTED)
+    salted = plain.withColumn("salt_", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    groups = salted.groupBy(F.col(by).alias("g_size"), F.col("salt_").alias("g_salt")).count()
     before = groups.withColumn("before_", F.sum("count").over(W.partitionBy("g_size").orderBy("g_salt")) - F.col("count")).drop("count")
-    local = salted.withColumn("row_", F.row_number().over(W.partitionBy(size, "salt_").orderBy(*order)) - 1)
-    ranked = local.join(before, (F.col(size) == F.col("g_size")) & (F.col("salt_") == F.col("g_salt"))).withColumn("rank_", F.col("row_") + F.col("before_"))
-    placed = ranked.join(F.broadcast(places), (F.col(size) == F.col("p_size")) & (F.col("rank_") >= F.col("p_from")) & (F.col("rank_") < F.col("p_to")))
+    local = salted.withColumn("row_", F.row_number().over(W.partitionBy(by, "salt_").orderBy(*order)) - 1)
+    ranked = local.join(before, (F.col(by) == F.col("g_size")) & (F.col("salt_") == F.col("g_salt"))).withColumn("rank_", F.col("row_") + F.col("before_"))
+    placed = ranked.join(F.broadcast(places), (F.col(by) == F.col("p_size")) & (F.col("rank_") >= F.col("p_from")) & (F.col("rank_") < F.col("p_to")))
     nth = F.col("rank_") - F.col("p_from")
-    return placed.select(*items.columns, (F.col("p_bin") + F.floor(nth / F.col("p_each"))).cast("long").alias("sequence_id"), (F.col("p_fill") + nth % F.col("p_each") * F.col("p_size")).cast("long").alias("offset"))
+    sequence, offset = F.col("p_bin") + F.floor(nth / F.col("p_each")), F.col("p_fill") + nth % F.col("p_each") * F.col("p_size")
+    own = [F.col(new).alias(old) for old, new in name.items() if old.lower() not in ("sequence_id", "offset")]
+    return placed.select(*own, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

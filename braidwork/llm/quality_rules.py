@@ -19,8 +19,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 #: Documents from this mean log ratio on are kept.
 THRESHOLD = -0.08
-#: The trusted multinomial is fitted on so many labelled documents at most, chosen by a hash of their ids.
-TRUSTED_SAMPLE = 20_000
+#: The keys of trusted documents are broadcast up to so many (about 16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 4_000_000
 
 
 def repeat_words(hashes: Column, window: int = WINDOW) -> Column:
@@ -62,10 +62,11 @@ def word_hashes(text: Column) -> Column:
 def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row, ratios array<double>: each bucket's log-likelihood ratio of trusted documents to all.
 
-    docs: all documents. trusted: their keys, few enough to broadcast. Without trusted n-grams all ratios are 0.
+    docs: all documents. trusted: the keys of some. Both are counted whole. Without trusted n-grams all ratios are 0.
     """
-    ids = F.broadcast(trusted.select(F.col(trusted.columns[0]).alias("trusted_")).distinct())
-    marked = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_")).join(ids, F.col(key) == F.col("trusted_"), "left")
+    ids = materialize(trusted.select(F.col(trusted.columns[0]).alias("trusted_")).where("trusted_ IS NOT NULL").distinct(), "trusted")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    marked = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_")).join(ids, F.col("key_") == F.col("trusted_"), "left")
     each = marked.select(F.explode(let(word_hashes(F.col("text_")), lambda h: grams(h, buckets))).alias("bucket"), F.col("trusted_").isNotNull().cast("long").alias("t"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left").na.fill(0)
@@ -108,12 +109,12 @@ def judge(docs: DataFrame, model: DataFrame, text: str = "text", threshold: floa
     )
 
 
-def trusted_sample(labels: DataFrame, limit: int = TRUSTED_SAMPLE) -> DataFrame:
-    """Keys of documents labelled good and not toxic, so many at most, by the order of a hash of the key."""
-    return labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_keys(labels: DataFrame) -> DataFrame:
+    """Keys of all documents labelled good and not toxic."""
+    return labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = materialize(fit(docs, trusted_sample(table(spark, sf_dir, "labels"))), "llr")
+    model = materialize(fit(docs, trusted_keys(table(spark, sf_dir, "labels"))), "llr")
     return judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")

@@ -168,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The ensemble fitted on docs that have a non-null 0/1 label; on limit of them at most, in the order of a hash of the key."""
     chosen = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key_")).agg(F.max(label).alias("label_"))
     chosen = chosen.where("key_ IS NOT NULL").orderBy(F.xxhash64("key_"), "key_").limit(limit)
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("key_")).select(statistics(F.coalesce(F.col(text), F.lit(""))).alias("s"), F.col("label_"))
+    read = docs.select(F.col(key).alias("doc_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
+    rows = read.join(F.broadcast(chosen), F.col("doc_") == F.col("key_")).select(statistics(F.col("text_")).alias("s"), "label_")
     found = rows.select(*(F.col("s")[n].alias(n) for n in FEATURES), "label_").toPandas().sort_values([*FEATURES, "label_"])
     return fit_arrays(found[FEATURES].to_numpy(), found["label_"].to_numpy())
 

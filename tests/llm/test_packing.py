@@ -35,14 +35,19 @@ def test_plan_places_each_item_once_without_gaps(capacity):
 
 
 def test_ids_are_those_of_the_tokenizers_library():
+    """Of all texts of sf0.01, and of texts that hold the vocabulary's own added word, long white space, other scripts."""
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    encoder = packing.encoder(path)
-    for text in ["", " ", "a  b", " a ", "it's we'll", "x\n\n y", "naïve çà 漢字 🙂", "<|endoftext|>", "　x", " " * 5000 + "x", "ab1!" * 400]:
-        assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    tokenizer, encoder = Tokenizer.from_file(path), packing.encoder(path)
+    assert encoder.merge
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["", " ", "a  b", " a ", "it's we'll", "x\n\n y", "naïve çà 漢字 🙂", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext", "　x", " " * 5000 + "x", " " * 5000 + "<|endoftext|>", "ab1!" * 400]
+    for i in range(0, len(texts), 256):
+        for text, made in zip(texts[i : i + 256], tokenizer.encode_batch(texts[i : i + 256], add_special_tokens=False), strict=True):
+            assert encoder.ids(text) == np.array(made.ids, dtype="<u4").tobytes()
+    assert 50256 in np.frombuffer(encoder.ids("a <|endoftext|> b"), "<u4")
 
 
 def test_cuts():
@@ -72,3 +77,12 @@ def test_edge_rows(spark):
             at += length
         assert at <= 2048
     assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
+def test_a_size_beyond_its_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTED", 3)
+    items = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).alias("length"), F.lit("x").alias("salt_"), F.lit("y").alias("p_size"), F.lit("z").alias("offset"))
+    got = packing.pack(items).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000)) and {r.salt_ for r in got} == {"x"}
+    assert len({(r.sequence_id, r.offset) for r in got}) == 1000 and {r.offset for r in got} == {0, 700}
+    assert len({r.sequence_id for r in got}) == 500
