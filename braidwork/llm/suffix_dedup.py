@@ -4,8 +4,10 @@ Strings of WIDTH bytes are called windows. Each window names as its anchor the l
 rolling hash, the leftmost on ties; equal windows so have equal anchors at equal places, and neighbouring windows mostly
 share theirs. The windows of one anchor make up one stretch of text.
 
-1. Anchors go, packed, to shards by the hash of their bytes, with a digest of their stretch. An anchor seen once repeats
-   nothing; two equal stretches repeat wholly; only anchors seen with differing stretches need their bytes.
+1. Anchors go, packed, to shards by the 64-bit hash of their bytes, with a 128-bit digest of their stretch. An anchor seen
+   once repeats nothing; two stretches equal in all 192 bits repeat wholly (among 10**13 stretches, about 100 TB, the
+   chance of one wrong pair is below 10**-30); only anchors seen with differing stretches need their bytes. An anchor with
+   many differing stretches among documents read together needs its bytes anyway: its shard is told of it once a task.
 2. Those stretches are cut from their documents and meet by anchor. Windows at the same place relative to the anchor are
    sorted as suffixes: prefix polynomial hashes give the hash of any string, a binary search over them the common
    extension of two suffixes, so a comparison takes the logarithm of the width; a merge sort orders all sets of suffixes
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import materialize, partitions, table
 
 WIDTH, ANCHOR = 200, 100
-#: Documents whose anchors are packed together.
-ROWS = 4096
+#: Documents whose anchors are packed together; bytes of text whose anchors go to one shard, about; differing stretches among
+#: documents packed together from which on an anchor is common.
+ROWS, SHARD_BYTES, COMMON = 4096, 96 << 20, 16
 #: Bytes whose rolling hashes are held at once; stretches of an anchor that one task sorts; bytes sorted together.
-CHUNK, BLOCK, SORTED = 1 << 20, 4096, 1 << 20
+CHUNK, BLOCK, SORTED = 1 << 20, 512, 1 << 20
 #: Odd bases of the polynomials: modulo 2**32 to choose anchors, 2**64 to compare.
 BASE32, BASE64 = 0x9E3779B1, 0x9E3779B97F4A7C15
 _powers: dict = {}
@@ -184,15 +187,61 @@ def row_key(key: str, text: str):
     return F.xxhash64(F.col(key), F.col(text))
 
 
+JUDGED = "kind int, row_key long, data binary, n int, h long, lo long, place int, last int, known boolean"
+#: Kinds of rows: a shard's anchors of some documents, packed; a row's stretches that are known to repeat; a stretch of an
+#: anchor seen elsewhere with others, whose bytes are needed.
+ANCHORS, REPEATS, ASKED = range(3)
+
+
+def _judged_rows(kind: int, rows: int, shard=None, **columns):
+    """An Arrow batch of JUDGED (after shard, if that is given), nulls where a column is not given."""
+    import pyarrow as pa
+
+    kinds = {"row_key": pa.int64(), "data": pa.binary(), "n": pa.int32(), "h": pa.int64(), "lo": pa.int64(), "place": pa.int32(), "last": pa.int32(), "known": pa.bool_()}
+    made = [pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in kinds.items()]
+    first, names = ([], []) if shard is None else ([pa.array(shard, pa.int32())], ["shard"])
+    return pa.RecordBatch.from_arrays([*first, pa.array([kind] * rows, pa.int32()), *made], names=[*names, "kind", *kinds])
+
+
+def _repeats(key, lo, hi, shards: int | None = None):
+    """One row of kind REPEATS for each key; arrays."""
+    import numpy as np
+
+    order = np.lexsort((lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    data = [np.concatenate([lo[a:b], hi[a:b]]).astype("<i8").tobytes() for a, b in spans]
+    keys = [int(key[a]) for a, _ in spans]
+    return _judged_rows(REPEATS, len(spans), None if shards is None else [k % shards for k in keys], row_key=keys, data=data, n=[int(b - a) for a, b in spans])
+
+
+def _classes(h, c):
+    """(order, where classes of equal (h, c) begin in it, where those of equal h begin); c: two columns."""
+    import numpy as np
+
+    order = np.lexsort((c[:, 1], c[:, 0], h))
+    h, c = h[order], c[order]
+    new_h = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    return order, np.flatnonzero(new_h | np.r_[True, (c[1:] != c[:-1]).any(1)]) if len(h) else np.zeros(0, np.int64), np.flatnonzero(new_h)
+
+
+def _sizes(starts, n: int):
+    import numpy as np
+
+    return np.diff(np.r_[starts, n])
+
+
 def _packed_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """kind 0: a shard's anchors of a batch, packed; kind 1: stretches of a row that are known to repeat."""
+    """Rows of all kinds, of the documents of each batch."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+        short, digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        common = np.zeros(0, np.uint64)  # anchors whose shards this task has told
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).cast(pa.large_binary())
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -200,94 +249,93 @@ def _packed_anchors(docs: DataFrame, shards: int) -> DataFrame:
             bounds = bounds - bounds[0]
             keys = batch.column(0).to_numpy()
             place, lo, hi = anchors(np.frombuffer(raw, np.uint8), bounds)
-            h = np.fromiter((digest(raw[i : i + ANCHOR]) for i in place.tolist()), np.uint64, len(place))
-            c = np.fromiter((digest(raw[i:j], k) for i, j, k in zip(lo.tolist(), (hi + WIDTH).tolist(), (place - lo).tolist(), strict=True)), np.uint64, len(place))
+            h = np.fromiter((short(raw[i : i + ANCHOR]) for i in place.tolist()), np.uint64, len(place))
+            c = b"".join(digest(raw[i:j], k) for i, j, k in zip(lo.tolist(), (hi + WIDTH).tolist(), (place - lo).tolist(), strict=True))
+            c = np.frombuffer(c, ">u8").astype(np.uint64).reshape(-1, 2)
             doc = np.searchsorted(bounds, lo, "right") - 1
-            at = lo - bounds[doc]
-            order = np.lexsort((c, h))
-            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])] if len(order) else np.zeros(0, bool)
-            count = np.diff(np.r_[np.flatnonzero(new), len(order)])
-            sent = order[new]  # one of each stretch; all of those that occur twice here are known
-            known = np.sort(order[np.repeat(count > 1, count)])
+            at, place, last = lo - bounds[doc], (place - lo).astype(np.int64), hi - lo
+            order, new_c, new_h = _classes(h, c)
+            count, classes = _sizes(new_c, len(order)), _sizes(np.searchsorted(new_c, new_h), len(new_c))
+            # all members of a class that occurs twice here are known to repeat
+            x = order[np.repeat(count > 1, count)]
+            yield _repeats(keys[doc[x]], at[x], at[x] + last[x] + WIDTH, shards)
+            told = np.isin(h[order[new_h]], common)
+            many = (classes >= COMMON) | told
+            x, known = order[new_c][np.repeat(many, classes)], (count > 1)[np.repeat(many, classes)]
+            if len(x):
+                key = keys[doc[x]]
+                yield _judged_rows(ASKED, len(x), (key % shards).astype(np.int32), row_key=key, h=h[x].view(np.int64), lo=at[x], place=place[x], last=last[x], known=known)
+            sent = np.r_[order[new_c][np.repeat(~many, classes)], order[new_h][many & ~told]]
+            flag = np.r_[np.minimum(count[np.repeat(~many, classes)], 2), np.full((many & ~told).sum(), 3)].astype(np.uint8)
+            common = np.union1d(common, h[order[new_h]][many])
             shard = (h[sent] >> np.uint64(32)).astype(np.int64) % shards
             by = np.argsort(shard, kind="stable")
-            sent, count, shard = sent[by], count[by], shard[by]
+            sent, flag, shard = sent[by], flag[by], shard[by]
             cuts = np.searchsorted(shard, np.arange(shards + 1))
-            rows = []
-            for s in np.flatnonzero(np.diff(cuts)):
+            full = np.flatnonzero(np.diff(cuts))
+            data, n = [], []
+            for s in full.tolist():
                 own = slice(cuts[s], cuts[s + 1])
                 x = sent[own]
-                blob = [h[x], c[x], keys[doc[x]], at[x].astype(np.int64), np.minimum(count[own], 2).astype(np.uint8), (place[x] - lo[x]).astype(np.uint8), (hi[x] - lo[x]).astype(np.uint8)]
-                rows.append((int(s), 0, 0, b"".join(b.tobytes() for b in blob), len(x)))
-            cuts = np.flatnonzero(np.r_[True, doc[known][1:] != doc[known][:-1], True]) if len(known) else np.zeros(1, np.int64)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                x = known[a:b]
-                key = int(keys[doc[x[0]]])
-                rows.append((key % shards, 1, key, np.concatenate([at[x], at[x] + hi[x] - lo[x] + WIDTH]).astype(np.int64).tobytes(), len(x)))
-            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "kind", "row_key", "data", "n"), r, strict=True)) for r in rows], pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("row_key", pa.int64()), ("data", pa.binary()), ("n", pa.int32())]))
+                data.append(b"".join(b.tobytes() for b in (h[x], c[x], keys[doc[x]], at[x].astype(np.int64), flag[own], place[x].astype(np.uint8), last[x].astype(np.uint8))))
+                n.append(len(x))
+            yield _judged_rows(ANCHORS, len(full), full.astype(np.int32), data=data, n=n)
             del texts, raw
             pa.default_memory_pool().release_unused()
 
-    return docs.select("row_key", F.col("text_").cast("binary")).mapInArrow(run, "shard int, kind int, row_key long, data binary, n int")
+    return docs.select("row_key", F.col("text_").cast("binary")).mapInArrow(run, f"shard int, {JUDGED}")
 
 
 def _judged(packed: DataFrame, shards: int) -> DataFrame:
-    """kind 1: stretches that repeat; kind 2: stretches of anchors seen elsewhere with others, whose bytes are needed."""
-    fields = "kind int, row_key long, data binary, n int, h long, lo long, place int, last int, known boolean, blocks int"
+    """Rows of kinds REPEATS and ASKED: those made before pass, the others are told from the shard's anchors."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        kinds = [np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.uint8, np.uint8]
-        names = [x.split()[0] for x in fields.split(", ")]
-        schema = pa.schema([("kind", pa.int32()), ("row_key", pa.int64()), ("data", pa.binary()), ("n", pa.int32()), ("h", pa.int64()), ("lo", pa.int64()), ("place", pa.int32()), ("last", pa.int32()), ("known", pa.bool_()), ("blocks", pa.int32())])
-        parts: list[list] = [[] for _ in kinds]
-
-        def rows_of(key, lo, hi):
-            order = np.lexsort((lo, key))
-            key, lo, hi = key[order], lo[order], hi[order]
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield (1, int(key[a]), np.concatenate([lo[a:b], hi[a:b]]).tobytes(), int(b - a)) + (None,) * 6
-
+        parts: list[list] = [[] for _ in range(7)]
         for batch in batches:
-            got = batch.to_pydict()
-            passed = [(1, k, d, n) + (None,) * 6 for kind, k, d, n in zip(got["kind"], got["row_key"], got["data"], got["n"], strict=True) if kind == 1]
-            if passed:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in passed], schema)
-            for kind, data, n in zip(got["kind"], got["data"], got["n"], strict=True):
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
+            own = pc.equal(batch["kind"], ANCHORS)
+            if (passed := batch.filter(pc.invert(own))).num_rows:
+                yield passed.select(range(1, batch.num_columns))
+            own = batch.filter(own)
+            for data, n in zip(own["data"].to_pylist(), own["n"].to_pylist(), strict=True):
                 at = 0
-                for part, t in zip(parts, kinds if kind == 0 else (), strict=kind == 0):
-                    part.append(np.frombuffer(data, t, n, at))
-                    at += n * np.dtype(t).itemsize
+                for part, (t, wide) in zip(parts, ((np.uint64, 1), (np.uint64, 2), (np.int64, 1), (np.int64, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, 1)), strict=True):
+                    a = np.frombuffer(data, t, n * wide, at)
+                    part.append(a.reshape(n, 2) if wide == 2 else a)
+                    at += a.nbytes
         if not parts[0]:
             return
-        h, c, key, lo, count, place, last = (np.concatenate(p) for p in parts)
-        order = np.lexsort((c, h))
-        h, c, key, lo, count, place, last = (x[order] for x in (h, c, key, lo, count, place, last))
-        new_h = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        of_h = np.repeat(np.arange(len(new_h)), np.diff(np.r_[new_h, len(h)]))
-        new_c = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        of_c = np.repeat(np.arange(len(new_c)), np.diff(np.r_[new_c, len(h)]))
-        seen_h, seen_c = np.add.reduceat(count.astype(np.int64), new_h)[of_h], np.add.reduceat(count.astype(np.int64), new_c)[of_c]
-        settled = (seen_c > 1) & (count == 1)
-        found = list(rows_of(key[settled], lo[settled], lo[settled] + last[settled] + WIDTH))
-        if found:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in found], schema)
-        unsettled = (seen_h > 1) & (seen_c == 1)
-        first_of_c = np.zeros(len(h), bool)
-        first_of_c[new_c] = True
-        asked = np.flatnonzero((np.bincount(of_h, unsettled)[of_h] > 0) & (seen_h > 1) & first_of_c)
-        blocks = -(-np.bincount(of_h[asked], minlength=len(new_h)) // BLOCK)
-        n = len(asked)
-        none = pa.nulls(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, 2, np.int32)), pa.array(key[asked]), none.cast(pa.binary()), none.cast(pa.int32()), pa.array(h[asked].view(np.int64)), pa.array(lo[asked]), pa.array(place[asked].astype(np.int32)), pa.array(last[asked].astype(np.int32)), pa.array(seen_c[asked] > 1), pa.array(blocks[of_h[asked]].astype(np.int32))],
-            schema=schema,
-        )
-
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(run, fields)
+        h, c, key, lo, flag, place, last = (np.concatenate(p) for p in parts)
+        del parts[:]
+        order, new_c, new_h = _classes(h, c)
+        h, key, lo, flag, place, last = (x[order] for x in (h, key, lo, flag, place, last))
+        n_c, n_h = _sizes(new_c, len(h)), _sizes(new_h, len(h))
+        # a flag of 3 tells that the anchor is common elsewhere; its stretch is asked for there
+        real = flag < 3
+        common = np.repeat(np.maximum.reduceat(flag, new_h) == 3, n_h)
+        times = np.where(real, flag, 0).astype(np.int64)
+        seen_h, seen_c = np.repeat(np.add.reduceat(times, new_h), n_h), np.repeat(np.add.reduceat(times, new_c), n_c)
+        settled = real & (seen_c > 1) & (flag == 1)
+        yield _repeats(key[settled], lo[settled], lo[settled] + last[settled] + WIDTH)
+        unsettled = real & ((seen_h > 1) | common) & (seen_c == 1)
+        open_h = np.repeat(np.maximum.reduceat(unsettled, new_h), n_h) | common
+        # of each class the first real one
+        nth = np.where(real, np.arange(len(h)), len(h))
+        first = np.repeat(np.minimum.reduceat(nth, new_c), n_c) == np.arange(len(h))
+        x = np.flatnonzero(open_h & real & first)
+        yield _judged_rows(ASKED, len(x), row_key=key[x], h=h[x].view(np.int64), lo=lo[x], place=place[x].astype(np.int32), last=last[x].astype(np.int32), known=seen_c[x] > 1)
+
+    return packed.repartitionById(shards, F.col("shard")).mapInArrow(run, JUDGED)
+
+
+def _in_blocks(asked: DataFrame) -> DataFrame:
+    """asked with blocks: over how many blocks the stretches of an anchor are dealt."""
+    many = materialize(asked.groupBy(F.col("h").alias("h_")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "suffix-blocks")
+    return asked.join(many, F.col("h") == F.col("h_"), "left").select(*asked.columns, F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
 
 def _stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -392,17 +440,19 @@ def _sorted_windows(stretches: DataFrame) -> DataFrame:
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """(row_key, stretches array<struct<lo, hi>>): where rows of docs (row_key, text_) have bytes to remove; some may overlap."""
-    shards = partitions(docs.sparkSession)
+    """(row_key, stretches array<binary>): where rows of docs (row_key, text_) have bytes to remove; some may overlap."""
+    size = docs.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
+    shards = max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     judged = materialize(_judged(_packed_anchors(docs, shards), shards), "suffix-anchors")
-    asked = judged.where("kind = 2").select("row_key", "h", "lo", "place", "last", "known", "blocks")
-    windows = materialize(_sorted_windows(_stretches(docs, asked)), "suffix-windows")
+    asked = judged.where(F.col("kind") == ASKED).select("row_key", "h", "lo", "place", "last", "known")
+    windows = materialize(_sorted_windows(_stretches(docs, _in_blocks(asked))), "suffix-windows")
     digests = windows.where("kind = 3")
     shared = digests.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("lo").alias("least")).where("n > 1 OR least < 0").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"))
     met = digests.where("lo >= 0").join(shared, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     single = windows.where("kind = 1").select("row_key", "lo", "hi").unionByName(met.select("row_key", "lo", "hi"))
-    arrays = judged.where("kind = 1").select("row_key", "data").unionByName(single.select("row_key", F.concat(_little(F.col("lo")), _little(F.col("hi"))).alias("data")))
-    return arrays.groupBy("row_key").agg(F.collect_list("data").alias("stretches"))
+    arrays = judged.where(F.col("kind") == REPEATS).select("row_key", "data").unionByName(single.select("row_key", F.concat(_little(F.col("lo")), _little(F.col("hi"))).alias("data")))
+    # rows equal in id and text have one key and tell the same
+    return arrays.groupBy("row_key").agg(F.collect_set("data").alias("stretches"))
 
 
 def _little(x):

@@ -73,9 +73,11 @@ def test_anchors_over_chunks(monkeypatch):
     assert windows == [i for a, b in zip(bounds, bounds[1:], strict=False) for i in range(a, b - S.WIDTH + 1)]
 
 
-@pytest.mark.parametrize(("block", "seed"), [(4096, 1), (3, 2)])
-def test_against_brute_force(spark, monkeypatch, block, seed):
+@pytest.mark.parametrize(("block", "common", "rows", "seed"), [(512, 16, 4096, 1), (3, 16, 4096, 2), (3, 2, 7, 3), (512, 3, 20, 4)])
+def test_against_brute_force(spark, monkeypatch, block, common, rows, seed):
     monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "COMMON", common)
+    monkeypatch.setattr(S, "ROWS", rows)
     texts = corpus(random.Random(seed))
     keys = list(range(len(texts)))
     keys[4], keys[5], keys[6] = None, 3, 3
@@ -85,5 +87,38 @@ def test_against_brute_force(spark, monkeypatch, block, seed):
     assert sorted(map(tuple, got), key=by) == sorted(((k, *b) for k, b in zip(keys, brute(texts), strict=True)), key=by)
 
 
+def test_colliding_anchor_hashes_change_nothing():
+    """Different anchors under one hash stand in one group, where windows are compared by their bytes."""
+    texts = corpus(random.Random(5), 25)
+    raw = [(t or "").encode() for t in texts]
+    data = b"".join(raw)
+    place, lo, hi = S.anchors(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, raw)]))
+    row = np.repeat(np.arange(len(lo)), hi - lo + 1)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+    start = lo[row] + nth
+    group = place[row] - start  # all anchors as one
+    by = np.argsort(group, kind="stable")
+    found, _, _ = S.Suffixes(np.frombuffer(data, np.uint8)).repeated(start[by], group[by])
+    n = Counter((int(g), data[i : i + S.WIDTH]) for g, i in zip(group, start, strict=True))
+    assert found.tolist() == [n[int(g), data[i : i + S.WIDTH]] > 1 for g, i in zip(group[by], start[by], strict=True)]
+
+
+def test_equal_prefix_hashes_are_verified(monkeypatch):
+    """With hashes that always agree, neighbours count only where their bytes do."""
+    monkeypatch.setattr(S, "prefix_hashes", lambda data, bits=64: np.zeros(len(data) + 1, np.uint64))
+    data = np.frombuffer(b"abcdabceabcd", np.uint8)
+    found, _, _ = S.Suffixes(data, 4).repeated(np.array([0, 4, 8]), np.zeros(3, np.int64))
+    assert not found[1]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000))
+    rows = [(1, long), (2, "x" + long[1_048_000:1_049_300] + "y"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stretches", F.lit("own")).withColumn("row_key", F.lit("own"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.remove_repeats(docs).collect()}
+    assert got == {1: (2_500_000, 1300, 1), 2: (1302, 1300, 1), 3: (0, 0, 0)}
+
+
 def test_no_rows(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
