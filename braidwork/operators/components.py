@@ -7,10 +7,12 @@ equi-joins, whose skewed keys adaptive execution splits. Each round is written t
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.plans.scratch import materialize
+from braidwork.plans.scratch import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,21 +27,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int | None = None) -> DataFrame:
     """(node, component): the least node of each node's component, for every node that an edge names.
 
     Edges have no direction and may repeat; self-loops name their node. Rows with a null end are left out. An empty table
-    gives an empty one.
+    gives an empty one. Rounds end when nothing changes any more; max_rounds makes more of them an error.
     """
     ends = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     alone = ends.where("u = v").select(F.col("u").alias("node")).distinct()
     now = materialize(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+    for nth in count():
+        if nth == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        read, now = now, materialize(_small_star(_large_star(now)), "stars")
+        discard(read)
         doubled = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         if not doubled and not now.join(now.select(F.col("u").alias("k")), F.col("v") == F.col("k"), "left_semi").limit(1).count():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     return found.unionByName(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))

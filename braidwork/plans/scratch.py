@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where none is named, as in tests, a local one is set."""
+    """The folder of spark.checkpoint.dir. Where none is named and all tasks run in the driver's process, as in tests, a local one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="braidwork-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -24,7 +26,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.scratch_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the tables that materialize has made; nothing may read them later. Other frames are left as they are."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:
