@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.plans.scratch import materialize, partitions  # noqa: F401
+from braidwork.plans.scratch import discard, materialize, partitions  # noqa: F401
 
 #: The only separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"

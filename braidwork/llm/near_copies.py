@@ -1,6 +1,8 @@
 """Near copies by the exact Jaccard similarity of their sets of five-word shingles, and their components.
 
-Texts with equal sets are collapsed first. Of all others, two sets that are alike enough share at least one of the first
+Texts with equal sets are collapsed first. SimHash fingerprints of the sets are compared in tiles next, and what they link
+is verified: that joins most near copies at a small cost, and large groups of them with few pairs. The rest is exact: of
+all others, two sets that are alike enough share at least one of the first
 n - ceil(n * share) + 1 shingles of each, in any one order of all shingles (prefix filtering), so texts that meet on none of
 those are never alike, whatever their length. Rare shingles go first in the order: it goes by bucket counts over all texts.
 Every pair that meets and isn't ruled out by the sizes and places of its sets is decided by the sets themselves. Where many
@@ -16,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.llm import minhash
-from braidwork.llm.common import free_name, materialize, partitions
+from braidwork.llm import minhash, simhash
+from braidwork.llm.common import discard, materialize, numbered, partitions
 from braidwork.operators.components import connected_components
 
 #: Shingles of so many words; sets are near copies where SHARE[0] / SHARE[1] of their union is in both.
 SHINGLE, SHARE = 5, (4, 5)
 #: Buckets of the counts that give the order of shingles; texts of a group compared with all others in the first round.
 BUCKETS, PIVOTS = 1 << 18, 4
+#: Fingerprints within so many bits are candidates in the first round. It decides no pair, only what the later rounds find joined.
+RADIUS = 3
 #: Pairs given on together by a task.
 PACK = 1 << 16
 
@@ -209,13 +213,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def linked(texts: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(node, component) of the ids that are near copies of others, linked by all pairs alike enough. texts: id, text; ids differ.
+def close_fingerprints(texts: DataFrame, radius: int) -> DataFrame:
+    """(u, v): pairs of ids whose fingerprints are equal or linked within the radius, as stars. texts: id, fp."""
+    least = texts.groupBy("fp").agg(F.min("id").alias("least_"))
+    least = materialize(least, "near-fingerprints")
+    same = texts.join(least.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("id <> least_").select(F.col("least_").alias("u"), F.col("id").alias("v"))
+    of = lambda c: least.select(F.col("fp").alias(f"fp_{c}"), F.col("least_").alias(f"id_{c}"))
+    found = simhash.links(least.select("fp"), radius)
+    near = found.join(of("u"), F.col("u") == F.col("fp_u")).join(of("v"), F.col("v") == F.col("fp_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    return same.unionByName(near)
 
-    Each round compares four times as many texts of each group as the one before, so rounds grow with the logarithm of the
-    largest group that links don't join.
+
+def linked(texts: DataFrame, pivots: int = PIVOTS, radius: int = RADIUS) -> DataFrame:
+    """(node, component) of the ids that are near copies of others, linked by all pairs alike enough. texts: id, fp, text; ids differ.
+
+    Links of fingerprints come first; each round after that compares four times as many texts of each group as the one
+    before, so rounds grow with the logarithm of the largest group that links don't join.
     """
-    rows = prefixes(texts, bucket_counts(texts)).withColumn("c", F.col("id"))
+    edges = materialize(verified(materialize(close_fingerprints(texts.select("id", "fp"), radius), "near-pairs"), texts), "near-links")
+    of = materialize(connected_components(edges), "near-components")
 
     def shared(s, id_, n, i, c):
         import numpy as np
@@ -224,14 +240,17 @@ def linked(texts: DataFrame, pivots: int = PIVOTS) -> DataFrame:
         many = np.flatnonzero(end - start > 1)
         return s[many], id_[many], n[many], i[many], c[many]
 
-    rows = materialize(_by_group(rows, shared, "s long, id long, n int, i int, c long"), "near-groups")
-    edges = None
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(of, F.col("id") == F.col("node"), "left").select("s", "id", "n", "i", F.coalesce("component", "id").alias("c"))
+
+    met = _by_group(prefixes(texts, bucket_counts(texts)).withColumn("c", F.col("id")), shared, "s long, id long, n int, i int, c long")
+    rows = materialize(named(met), "near-groups")
     while True:
-        found = materialize(verified(materialize(candidates(rows, pivots), "near-pairs"), texts), "near-links")
-        edges = found if edges is None else edges.unionByName(found)
-        of = materialize(connected_components(edges), "near-components")
-        named = rows.join(of, F.col("id") == F.col("node"), "left").select("s", "id", "n", "i", F.coalesce("component", "id").alias("c"))
-        rows = materialize(beyond(named, pivots), "near-groups")
+        pairs = materialize(candidates(rows, pivots), "near-pairs")
+        edges = edges.unionByName(materialize(verified(pairs, texts), "near-links"))
+        before, of = of, materialize(connected_components(edges), "near-components")
+        read, rows = rows, materialize(beyond(named(rows), pivots), "near-groups")
+        discard(before, pairs, read)
         if not rows.limit(1).count():
             return of
         pivots *= 4
@@ -243,7 +262,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Null texts are empty; texts without words are linked with each other. Rows with a null key count as having very large
     keys made from their texts, so they stay only where no keyed row of their component does. No rows give none.
     """
-    name, nth = free_name(docs, "row_key", "nth")
+    docs, names = numbered(docs)
+    key, text, name, nth = names[key], names[text], "row_key_", "nth_"
     made = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1).bitwiseOR(F.lit(1 << 62))
     keyed = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
 
@@ -251,15 +271,20 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            ids = [set_id(shingle_set(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(1)], names=["key", "id", "text"])
+            ids, fps = [], []
+            for x in batch.column(1):
+                own = shingle_set(x.as_py())
+                fp = simhash.fingerprint(own)
+                ids.append(set_id(own))
+                fps.append(fp - (fp >> 63 << 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), batch.column(1)], names=["key", "id", "fp", "text"])
 
     narrow = keyed.select(F.col(name).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    found = materialize(narrow.mapInArrow(run, "key long, id long, text binary"), "shingle-sets")
-    texts = materialize(found.select("id", "text").dropDuplicates(["id"]), "distinct-sets")
+    found = materialize(narrow.mapInArrow(run, "key long, id long, fp long, text binary"), "shingle-sets")
+    texts = materialize(found.select("id", "fp", "text").dropDuplicates(["id"]), "distinct-sets")
     of = linked(texts)
     least = found.groupBy("id").agg(F.min("key").alias("least_"))
     whole = least.join(of, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("c_")).agg(F.min("least_").alias(name))
     stays = whole.select(name).distinct()
     first = W.partitionBy(name).orderBy(F.xxhash64(F.col(text)))
-    return keyed.join(stays, name, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
+    return keyed.join(stays, name, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*(F.col(new).alias(old) for old, new in names.items()))

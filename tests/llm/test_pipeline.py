@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 from braidwork.llm import rule_ensemble  # noqa: E402
@@ -37,6 +38,22 @@ def test_cutting_and_mixing_keep_columns(spark):
     assert set(Counter(r.doc_id for r in mixed.collect()).values()) <= {1, 2, 3}
 
 
+def test_clashing_columns_and_no_rows(spark):
+    names = ["kept", "n_bytes", "stretches", "row_key", "Score", "predicted", "size", "n_copies", "nth", "label_", "id", "component"]
+    rows = [(i, f"document number {i} has some words of its own {i * i}", "en", "a", 9) for i in range(12)] + [(None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in names:
+        docs = docs.withColumn(name, F.lit("own"))
+    labels = "/root/testdata/sf0.001"
+    for name, stage in pipeline.STAGES[:-1]:
+        made = stage(spark, docs, labels)
+        assert made.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in made.collect()} <= {("own",) * len(names)}, name
+        assert stage(spark, docs.limit(0), labels).collect() == [], name
+    assert len(pipeline.pack(spark, docs, labels).collect()) == len(rows)
+    assert pipeline.pack(spark, docs.limit(0), labels).collect() == []
+
+
 def test_whole_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
