@@ -56,13 +56,17 @@ def shingle_hashes(h, shingle: int = SHINGLE):
 
 def sketches(texts: list[str], shingle: int = SHINGLE, bins: int = BINS, bits: int = BITS):
     """(texts x bins array of low bits, which texts have a shingle). bins: a power of two."""
+    return low_bits([shingle_hashes(word_hashes(text), shingle) for text in texts], bins, bits)
+
+
+def low_bits(sets: list, bins: int = BINS, bits: int = BITS):
+    """As sketches, of arrays of shingle hashes."""
     import numpy as np
 
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full((len(texts), bins), none)
+    least = np.full((len(sets), bins), none)
     shift = np.uint64(64 - (bins.bit_length() - 1))
-    for row, text in zip(least, texts, strict=True):
-        s = shingle_hashes(word_hashes(text), shingle)
+    for row, s in zip(least, sets, strict=True):
         np.minimum.at(row, (s >> shift).astype(np.int64), s & ((np.uint64(1) << shift) - np.uint64(1)))
     filled = least != none
     some = filled.any(1)

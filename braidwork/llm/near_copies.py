@@ -1,13 +1,11 @@
 """Near copies by the exact Jaccard similarity of their sets of five-word shingles, and their components.
 
-Texts with equal sets are collapsed first. SimHash fingerprints of the sets are compared in tiles next, and what they link
-is verified: that joins most near copies at a small cost, and large groups of them with few pairs. The rest is exact: of
-all others, two sets that are alike enough share at least one of the first
-n - ceil(n * share) + 1 shingles of each, in any one order of all shingles (prefix filtering), so texts that meet on none of
-those are never alike, whatever their length. Rare shingles go first in the order: it goes by bucket counts over all texts.
-Every pair that meets and isn't ruled out by the sizes and places of its sets is decided by the sets themselves. Where many
-texts meet on one shingle, a few of them are compared with all others at a time, and pairs that the links found so far
-already join are left out, so a group of many near copies isn't compared with itself whole.
+Texts with equal sets are collapsed first. Candidates come from two operators: SimHash fingerprints of the sets, compared in
+tiles, join most near copies at a small cost; then packed MinHash bins, taken in bands, bring together what they left. Two
+sets of a Jaccard similarity of 0.8 miss each other in all 64 bands of 8 bins with a probability below 10**-5. Every
+candidate pair is decided by the sets themselves. Where many texts meet in a band, a few of them are compared with all
+others at a time, and pairs that the links found so far already join are left out, so a group of many near copies isn't
+compared with itself whole.
 """
 
 from __future__ import annotations
@@ -24,12 +22,12 @@ from braidwork.operators.components import connected_components
 
 #: Shingles of so many words; sets are near copies where SHARE[0] / SHARE[1] of their union is in both.
 SHINGLE, SHARE = 5, (4, 5)
-#: Buckets of the counts that give the order of shingles; texts of a group compared with all others in the first round.
-BUCKETS, PIVOTS = 1 << 18, 4
+#: Bands of MinHash bins; texts of a group compared with all others in the first round, and how many times more in each next.
+BANDS, PIVOTS, MORE = 64, 1, 8
 #: Fingerprints within so many bits are candidates in the first round. It decides no pair, only what the later rounds find joined.
 RADIUS = 3
-#: Pairs given on together by a task.
-PACK = 1 << 16
+#: Documents read together; pairs given on together by a task.
+BLOCK, PACK = 256, 1 << 16
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE):
@@ -47,59 +45,39 @@ def set_id(hashes) -> int:
     return found - (found >> 63 << 64)
 
 
-def bucket_counts(texts: DataFrame):
-    """How many shingles of all texts fall into each bucket."""
+def band_keys(sets: list):
+    """sets x BANDS numbers: the packed bins of each band, mixed with the band's number."""
     import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        n = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                np.add.at(n, (shingle_set(x.as_py()) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["b", "n"])
+    low, _ = minhash.low_bits(sets)
+    each = low.shape[1] // BANDS
+    packed = np.zeros((len(sets), BANDS), np.uint64)
+    for i in range(each):
+        packed = packed << np.uint64(minhash.BITS) | low[:, i::each]
+    return minhash._mix(packed * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64))
 
-    counted = texts.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # as many rows as there are buckets
-    n = np.zeros(BUCKETS, np.int64)
-    n[got["b"].to_numpy()] = got["n"].to_numpy()
-    return np.minimum(n, (1 << 32) - 1).astype(np.uint32)
 
-
-def prefixes(texts: DataFrame, counts) -> DataFrame:
-    """(s, id, n, i): the shingles that near copies of a set must share one of, the set's size, and the shingle's place."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    a, b = SHARE
+def described(docs: DataFrame) -> DataFrame:
+    """(key, digest, id, fp, n, bands) of docs (key, digest, text binary): of each text's set its hash, fingerprint, size and bands."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        common = shared.value
-        for batch in batches:
-            held: list = []
-            rows = 0
-            for x, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingle_set(t.as_py())
-                n = len(own)
-                if n:
-                    first = own[np.lexsort((own, common[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]))][: n - -(-n * a // b) + 1]
-                    held.append((first.view(np.int64), np.full(len(first), x), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-                    rows += len(first)
-                if rows > PACK:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["s", "id", "n", "i"])
-                    held, rows = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["s", "id", "n", "i"])
-
-    return texts.select("id", "text").mapInArrow(run, "s long, id long, n int, i int")
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                sets = [shingle_set(x.as_py()) for x in batch.column(2)]
+                fps = [simhash.fingerprint(own) for own in sets]
+                bands = band_keys(sets).view("<i8").tolist()
+                made = [pa.array(map(set_id, sets), pa.int64()), pa.array([x - (x >> 63 << 64) for x in fps], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "digest", "id", "fp", "n", "bands"])
+
+    return docs.mapInArrow(run, "key long, digest long, id long, fp long, n int, bands array<long>")
 
 
 def _by_group(rows: DataFrame, take, fields: str) -> DataFrame:
-    """take(arrays of s, id, n, i, c) over whole groups of rows with one s, in the order of s and id; gives arrays of fields."""
-    names = ["s", "id", "n", "i", "c"]
+    """take(arrays of s, id, n, c) over whole groups of rows with one s, in the order of s and id; gives arrays of fields."""
+    names = ["s", "id", "n", "c"]
     kept = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
@@ -140,7 +118,7 @@ def candidates(rows: DataFrame, pivots: int) -> DataFrame:
     """(u, v): pairs of the first so many texts of each group with all after them, that may be alike and are not yet joined."""
     a, b = SHARE
 
-    def take(s, id_, n, i, c):
+    def take(s, id_, n, c):
         import numpy as np
 
         start, end = _bounds(s) if len(s) else (s, s)
@@ -152,9 +130,7 @@ def candidates(rows: DataFrame, pivots: int) -> DataFrame:
             active = active[active + d < end[active]]
             x, y = active, active + d
             nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-            # this shingle, those before it and those after it are the most that both can have
-            most = np.minimum(i[x], i[y]) + 1 + np.minimum(nx - i[x] - 1, ny - i[y] - 1)
-            may = (c[x] != c[y]) & ((a + b) * most >= a * (nx + ny))
+            may = (c[x] != c[y]) & (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny))
             pair = np.stack([np.minimum(id_[x[may]], id_[y[may]]), np.maximum(id_[x[may]], id_[y[may]])], 1)
             if len(pair):
                 seen.append(pair)
@@ -170,21 +146,21 @@ def candidates(rows: DataFrame, pivots: int) -> DataFrame:
 def beyond(rows: DataFrame, pivots: int) -> DataFrame:
     """Rows of the groups without the texts that were compared with all others, where two of the rest aren't joined."""
 
-    def take(s, id_, n, i, c):
+    def take(s, id_, n, c):
         import numpy as np
 
         start, end = _bounds(s) if len(s) else (s, s)
         row = np.arange(len(s))
         rest = np.flatnonzero(row - start >= pivots)
         if not len(rest):
-            return s[:0], id_[:0], n[:0], i[:0], c[:0]
+            return s[:0], id_[:0], n[:0], c[:0]
         first = np.flatnonzero(np.r_[True, s[rest][1:] != s[rest][:-1]])
         low, high = np.minimum.reduceat(c[rest], first), np.maximum.reduceat(c[rest], first)
         mixed = np.repeat(low != high, np.diff(np.r_[first, len(rest)]))
         rest = rest[mixed]
-        return s[rest], id_[rest], n[rest], i[rest], c[rest]
+        return s[rest], id_[rest], n[rest], c[rest]
 
-    return _by_group(rows, take, "s long, id long, n int, i int, c long")
+    return _by_group(rows, take, "s long, id long, n int, c long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,27 +200,33 @@ def close_fingerprints(texts: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(near)
 
 
-def linked(texts: DataFrame, pivots: int = PIVOTS, radius: int = RADIUS) -> DataFrame:
-    """(node, component) of the ids that are near copies of others, linked by all pairs alike enough. texts: id, fp, text; ids differ.
+def linked(sets: DataFrame, texts_of, pivots: int = PIVOTS, radius: int = RADIUS) -> DataFrame:
+    """(node, component) of the ids that are near copies of others, linked by all candidates alike enough.
 
-    Links of fingerprints come first; each round after that compares four times as many texts of each group as the one
-    before, so rounds grow with the logarithm of the largest group that links don't join.
+    sets: id, fp, n, bands; ids differ. texts_of(ids) gives (id, text) of a frame of ids; texts that meet no other are never
+    read. Links of fingerprints come first; each round after that compares eight times as many texts of each group as the
+    one before, so rounds grow with the logarithm of the largest group that links don't join.
     """
-    edges = materialize(verified(materialize(close_fingerprints(texts.select("id", "fp"), radius), "near-pairs"), texts), "near-links")
-    of = materialize(connected_components(edges), "near-components")
 
-    def shared(s, id_, n, i, c):
+    def shared(s, id_, n, c):
         import numpy as np
 
         start, end = _bounds(s) if len(s) else (s, s)
         many = np.flatnonzero(end - start > 1)
-        return s[many], id_[many], n[many], i[many], c[many]
+        return s[many], id_[many], n[many], c[many]
 
     def named(rows: DataFrame) -> DataFrame:
-        return rows.join(of, F.col("id") == F.col("node"), "left").select("s", "id", "n", "i", F.coalesce("component", "id").alias("c"))
-
-    met = _by_group(prefixes(texts, bucket_counts(texts)).withColumn("c", F.col("id")), shared, "s long, id long, n int, i int, c long")
+        return rows.join(of, F.col("id") == F.col("node"), "left").select("s", "id", "n", F.coalesce("component", "id").alias("c"))
+
+    near = materialize(close_fingerprints(sets.select("id", "fp"), radius), "near-pairs")
+    bands = sets.where("n > 0").select(F.explode("bands").alias("s"), "id", "n", F.col("id").alias("c"))
+    met = materialize(_by_group(bands, shared, "s long, id long, n int, c long"), "near-groups")
+    asked = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).unionByName(met.select("id")).distinct()
+    texts = materialize(texts_of(asked), "near-texts")
+    edges = materialize(verified(near, texts), "near-links")
+    of = materialize(connected_components(edges), "near-components")
     rows = materialize(named(met), "near-groups")
+    discard(met, near)
     while True:
         pairs = materialize(candidates(rows, pivots), "near-pairs")
         edges = edges.unionByName(materialize(verified(pairs, texts), "near-links"))
@@ -252,8 +234,9 @@ def linked(texts: DataFrame, pivots: int = PIVOTS, radius: int = RADIUS) -> Data
         read, rows = rows, materialize(beyond(named(rows), pivots), "near-groups")
         discard(before, pairs, read)
         if not rows.limit(1).count():
+            discard(texts)
             return of
-        pivots *= 4
+        pivots *= MORE
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,27 +247,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     docs, names = numbered(docs)
     key, text, name, nth = names[key], names[text], "row_key_", "nth_"
-    made = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1).bitwiseOR(F.lit(1 << 62))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    made = F.shiftrightunsigned(F.xxhash64(whole), 1).bitwiseOR(F.lit(1 << 62))
     keyed = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
+    narrow = keyed.select(F.col(name).alias("key"), F.xxhash64(whole).alias("digest"), whole.cast("binary").alias("text"))
+    found = materialize(described(narrow), "shingle-sets")
+    sets = materialize(found.groupBy("id").agg(F.min(F.struct("key", "digest")).alias("row"), *(F.first(c).alias(c) for c in ("fp", "n", "bands"))), "distinct-sets")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """Texts by key and digest of one row of each set: together they tell rows of one key apart."""
+        at = sets.select("id", "row").join(ids.withColumnRenamed("id", "asked_"), F.col("id") == F.col("asked_"), "left_semi").select("id", F.col("row.key").alias("k_"), F.col("row.digest").alias("d_"))
+        return narrow.join(at, (F.col("key") == F.col("k_")) & (F.col("digest") == F.col("d_"))).select("id", "text").dropDuplicates(["id"])
 
-        for batch in batches:
-            ids, fps = [], []
-            for x in batch.column(1):
-                own = shingle_set(x.as_py())
-                fp = simhash.fingerprint(own)
-                ids.append(set_id(own))
-                fps.append(fp - (fp >> 63 << 64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), batch.column(1)], names=["key", "id", "fp", "text"])
-
-    narrow = keyed.select(F.col(name).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    found = materialize(narrow.mapInArrow(run, "key long, id long, fp long, text binary"), "shingle-sets")
-    texts = materialize(found.select("id", "fp", "text").dropDuplicates(["id"]), "distinct-sets")
-    of = linked(texts)
+    of = linked(sets.select("id", "fp", "n", "bands"), texts_of)
     least = found.groupBy("id").agg(F.min("key").alias("least_"))
-    whole = least.join(of, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("c_")).agg(F.min("least_").alias(name))
-    stays = whole.select(name).distinct()
+    kept = least.join(of, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("c_")).agg(F.min("least_").alias(name))
+    stays = kept.select(name).distinct()
     first = W.partitionBy(name).orderBy(F.xxhash64(F.col(text)))
     return keyed.join(stays, name, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*(F.col(new).alias(old) for old, new in names.items()))
