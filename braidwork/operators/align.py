@@ -5,7 +5,6 @@ The functions take and give plain lists of rows, so a group operator is grouped(
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 from braidwork.operators.kernels import align, aligned_rows, edit_distance, spanning_tree
@@ -13,67 +12,101 @@ from braidwork.operators.kernels import align, aligned_rows, edit_distance, span
 GAP = "-"
 
 
-def column_consensus(rows: list[str]) -> list[str | None]:
-    """The commonest base of each column, ties by letter; None where all are gaps."""
-    out = []
-    for column in zip(*rows, strict=True):
-        n = Counter(c for c in column if c != GAP)
-        out.append(min(n, key=lambda c: (-n[c], c)) if n else None)
-    return out
-
-
-def runs(row: str) -> list[tuple[int, int]]:
-    """Maximal gap runs, as (first column, column after the last)."""
-    out, at = [], 0
-    while at < len(row):
-        end = at
-        while end < len(row) and row[end] == GAP:
-            end += 1
-        if end > at:
-            out.append((at, end))
-        at = end + 1
-    return out
-
-
-def _shifted(row: list[str], a: int, b: int, left: bool) -> tuple[int, int] | None:
-    """(column of the base beside the gap run [a, b), column it would move to)."""
-    beside, to = (a - 1, b - 1) if left else (b, a)
-    return (beside, to) if 0 <= beside < len(row) and row[beside] != GAP else None
-
-
-def normalise(rows: list[str], left: bool = True) -> tuple[list[str], int]:
-    """(rows, moves): each gap run is moved, a column at a time, while the base that passes it agrees with the consensus where it lands."""
-    agreed = column_consensus(rows)
-    out, moves = [], 0
-    for row in rows:
-        cells = list(row)
-        found = runs(row)
-        for a, b in found if left else reversed(found):
-            while (step := _shifted(cells, a, b, left)) and agreed[step[1]] == cells[step[0]]:
-                cells[step[1]], cells[step[0]] = cells[step[0]], GAP
-                a, b = (a - 1, b - 1) if left else (a + 1, b + 1)
+class Bases:
+    """An alignment as the columns of its bases: one ascending array a row, with the letters beside it. Gaps are what is between."""
+
+    def __init__(self, rows: list[str]):
+        import numpy as np
+
+        self.width = len(rows[0]) if rows else 0
+        whole = [np.frombuffer(r.encode("utf-32-le"), np.uint32) for r in rows]
+        self.at = [np.flatnonzero(r != ord(GAP)) for r in whole]
+        self.letters = [r[at] for r, at in zip(whole, self.at, strict=True)]
+
+    def mirrored(self) -> Bases:
+        """The same read from the last column to the first."""
+        other = Bases([])
+        other.width, other.at, other.letters = self.width, [self.width - 1 - a[::-1] for a in self.at], [x[::-1] for x in self.letters]
+        return other
+
+    def consensus(self, voters: list[int] | None = None):
+        """The commonest letter of each column among the voters (all rows), the lesser of equally common ones; 0 where none has one."""
+        import numpy as np
+
+        chosen = range(len(self.at)) if voters is None else voters
+        columns = np.concatenate([self.at[i] for i in chosen]) if chosen else np.zeros(0, np.int64)
+        letters = np.concatenate([self.letters[i] for i in chosen]) if chosen else np.zeros(0, np.uint32)
+        kinds, which = np.unique(letters, return_inverse=True)
+        votes = np.zeros((len(kinds) + 1, self.width), np.int64)
+        np.add.at(votes, (which, columns), 1)
+        best = votes.argmax(0)  # the first of the largest: the least letter
+        return np.where(votes.max(0) > 0, np.r_[kinds, 0][best], 0)
+
+    def rows(self) -> list[str]:
+        """The rows, without columns that no row has a base in."""
+        import numpy as np
+
+        used = np.unique(np.concatenate(self.at)) if self.at else np.zeros(0, np.int64)
+        out = []
+        for at, letters in zip(self.at, self.letters, strict=True):
+            row = np.full(len(used), ord(GAP), np.uint32)
+            row[np.searchsorted(used, at)] = letters
+            out.append(row.tobytes().decode("utf-32-le"))
+        return out
+
+
+def _slide_each(b: Bases, agreed) -> int:
+    """One pass, each row for itself: before each gap, bases go to its far end, nearest first, while they agree with the consensus there."""
+    moves = 0
+    for at, letters in zip(b.at, b.letters, strict=True):
+        last = len(at) - 1
+        for i in [i for i in range(len(at)) if (at[i + 1] if i < last else b.width) > at[i] + 1]:
+            while i >= 0 and letters[i] == agreed[to := (at[i + 1] if i < last else b.width) - 1]:
+                at[i] = to
                 moves += 1
-        out.append("".join(cells))
-    return out, moves
+                i -= 1
+    return moves
+
+
+def _slide_together(b: Bases, agreed) -> int:
+    """One pass: rows that have a gap in common, end to end, slide it together, and only while each of them may."""
+    import numpy as np
+
+    gaps: dict[tuple[int, int], list[int]] = {}
+    for row, at in enumerate(b.at):
+        ends = np.r_[-1, at, b.width]
+        for k in np.flatnonzero(np.diff(ends) > 1):
+            gaps.setdefault((int(ends[k]) + 1, int(ends[k + 1])), []).append(row)
+    moves = 0
+    for (first, end), members in sorted(gaps.items()):
+        before = {row: int(np.searchsorted(b.at[row], first)) - 1 for row in members}
+        while all(i >= 0 and b.at[row][i] == first - 1 and b.letters[row][i] == agreed[end - 1] for row, i in before.items()):
+            for row, i in before.items():
+                b.at[row][i] = end - 1
+            before = {row: i - 1 for row, i in before.items()}
+            first, end, moves = first - 1, end - 1, moves + 1
+    return moves
+
+
+def _settled(rows: list[str], left: bool, slide, voters: list[int] | None) -> tuple[list[str], int]:
+    b = Bases(rows) if left else Bases(rows).mirrored()
+    moves = 0
+    while moved := slide(b, b.consensus(voters)):
+        moves += moved
+    return (b if left else b.mirrored()).rows(), moves
+
+
+def normalise(rows: list[str], left: bool = True, voters: list[int] | None = None) -> tuple[list[str], int]:
+    """(rows, moves): gaps moved to one side, a column at a time, while the base that passes agrees with the consensus where it lands.
+
+    The consensus, of the voters if given, is taken anew after each pass, until a pass moves nothing. Columns of gaps alone go.
+    """
+    return _settled(rows, left, _slide_each, voters)
 
 
 def normalise_joint(rows: list[str], left: bool = True) -> tuple[list[str], int]:
-    """As normalise, but rows that share a gap run move together, and only while all of them may."""
-    agreed, cells, moves = column_consensus(rows), [list(r) for r in rows], 0
-    shared: dict[tuple[int, int], list[int]] = {}
-    for i, row in enumerate(rows):
-        for run in runs(row):
-            shared.setdefault(run, []).append(i)
-    for (a, b), members in sorted(shared.items(), reverse=not left):
-        while True:
-            steps = [_shifted(cells[i], a, b, left) for i in members]
-            if not all(s and agreed[s[1]] == cells[i][s[0]] for i, s in zip(members, steps, strict=True)):
-                break
-            for i, (beside, to) in zip(members, steps, strict=True):
-                cells[i][to], cells[i][beside] = cells[i][beside], GAP
-                moves += 1
-            a, b = (a - 1, b - 1) if left else (a + 1, b + 1)
-    return ["".join(c) for c in cells], moves
+    """As normalise, but rows that share a gap move it together, one move each for all of them, and stop where one of them may not."""
+    return _settled(rows, left, _slide_together, None)
 
 
 def without_gap_columns(rows: list[str]) -> list[str]:
@@ -82,7 +115,7 @@ def without_gap_columns(rows: list[str]) -> list[str]:
 
 
 def pairwise(a: str, b: str) -> tuple[str, str]:
-    return aligned_rows(a, b, align(a, b, max_cells=1 << 62))
+    return aligned_rows(a, b, align(a, b))
 
 
 def star(sequences: list[str], centre: int, pair: Callable[[str, str], tuple[str, str]] = pairwise) -> list[str]:
@@ -104,26 +137,33 @@ def star(sequences: list[str], centre: int, pair: Callable[[str, str], tuple[str
     return ["".join(t.ljust(n, GAP) + d for t, n, d in zip(inserted, before, [*at, ""], strict=True)) for at, inserted in taken]
 
 
-def place_insertion(text: str, columns: list[set[str]]) -> list[int]:
-    """The columns that the letters of text take, in order: as many as can agree with a letter already there, then the leftmost.
+#: Fixed scores of placing an insertion: a letter in a column that has it, in one that hasn't, in a new column; a column passed over.
+AGREES, DIFFERS, FRESH, PASSED = 2.0, -3.0, -1.0, -2.5
+
+
+def place_insertion(text: str, columns: list[set[str]]) -> list[tuple[int | None, int | None]]:
+    """(column, letter) from left to right, so that the scores' sum is the largest: no column is a new one, no letter one passed over.
 
-    Letters that find no column get -1: they need new ones. Columns are taken left to right.
+    Columns before the first letter and after the last are passed over for free. Of equal ways, one that leaves columns
+    after the last letter goes first, then one that takes a column, then a new column.
     """
     n, m = len(text), len(columns)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + (text[i] in columns[j]))
-    out, i, j = [-1] * n, 0, 0
-    while i < n and j < m:
-        if text[i] in columns[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            out[i] = j
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i][j + 1]:
-            j += 1
-        else:
-            i += 1
-    return out
+    best: list[list[tuple[float, int]]] = [[(0.0, 0)] * (m + 1)]  # (score, way): 0 passes a column, 1 makes one, 2 takes one
+    for i in range(1, n + 1):
+        row = [(best[-1][0][0] + FRESH, 1)]
+        for j in range(1, m + 1):
+            took = best[-1][j - 1][0] + (AGREES if text[i - 1] in columns[j - 1] else DIFFERS)
+            passed = row[-1][0] + (0.0 if i == n else PASSED)
+            ways = [(passed, 3 if i == n else 0, 0), (best[-1][j][0] + FRESH, 1, 1), (took, 2, 2)]
+            score, _, way = max(ways)
+            row.append((score, way))
+        best.append(row)
+    out, i, j = [], n, m
+    while i or j:
+        way = best[i][j][1]
+        out.append((None if way == 1 else j - 1, None if way == 0 else i - 1))
+        i, j = i - (way > 0), j - (way != 1)
+    return out[::-1]
 
 
 def threaded(sequences: list[str], distance=None) -> list[str]:
@@ -146,16 +186,9 @@ def threaded(sequences: list[str], distance=None) -> list[str]:
         def insert(upto: int) -> None:
             nonlocal at, pending
             free = columns[at:upto]
-            places = place_insertion(pending, [set(c.values()) for c in free])
-            k = 0
-            for letter, place in zip(pending, places, strict=True):
-                if place < 0:
-                    made.append({new: letter})
-                    continue
-                made.extend(free[k:place])
-                made.append({**free[place], new: letter})
-                k = place + 1
-            made.extend(free[k:])
+            for column, letter in place_insertion(pending, [set(c.values()) for c in free]):
+                own = {} if letter is None else {new: pending[letter]}
+                made.append(own if column is None else {**free[column], **own})
             at, pending = upto, ""
 
         for c, d in zip(x, y, strict=True):

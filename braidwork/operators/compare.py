@@ -68,17 +68,22 @@ def auc(df: DataFrame, score: str, positive: str, by: Names = ()) -> DataFrame:
 
 
 def threshold_counts(df: DataFrame, feature: str, positive: str) -> DataFrame:
-    """(cut, tp, fp, fn, tn) of the rule feature > cut, for each midpoint between neighbouring values.
+    """(cut, tp, fp, fn, tn) of the rule feature > cut, for each midpoint between neighbouring values and a cut beyond either end.
 
-    Rows are first counted by value; running sums and neighbours go by ranges of it.
+    A row without the feature is not over any cut, and counts. Rows are first counted by value; running sums and neighbours
+    go by ranges of it.
     """
-    by = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("v")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"), F.lit(1).alias("one"))
-    placed = running_sums(by, "v", ["p", "q", "one"])
-    whole = by.agg(F.sum("p"), F.sum("q")).first()
+    by = df.groupBy(F.col(feature).alias("v")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"), F.lit(1).alias("one"))
+    known = by.where("v IS NOT NULL")
+    placed = running_sums(known, "v", ["p", "q", "one"])
+    ps, qs, least, most = known.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("q"), F.lit(0)), F.min("v"), F.max("v")).first()
+    p0, q0 = by.where("v IS NULL").agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("q"), F.lit(0))).first()
     above = placed.select((F.col("before_one") - 1).alias("n_"), F.col("v").alias("next_"))
     pairs = placed.join(above, F.col("before_one") == F.col("n_"))
     fn, tn = F.col("before_p") + F.col("p"), F.col("before_q") + F.col("q")
-    return pairs.select(((F.col("v") + F.col("next_")) / 2.0).alias("cut"), (F.lit(whole[0]) - fn).alias("tp"), (F.lit(whole[1]) - tn).alias("fp"), fn.alias("fn"), tn.alias("tn"))
+    inner = pairs.select(((F.col("v") + F.col("next_")) / 2.0).alias("cut"), (F.lit(ps) - fn).alias("tp"), (F.lit(qs) - tn).alias("fp"), (fn + p0).alias("fn"), (tn + q0).alias("tn"))
+    ends = [] if least is None else [(float(least) - 1e-9, ps, qs, p0, q0), (float(most) + 1e-9, 0, 0, ps + p0, qs + q0)]
+    return inner.unionByName(df.sparkSession.createDataFrame(ends, "cut double, tp long, fp long, fn long, tn long"))
 
 
 def balanced_accuracy(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
@@ -91,28 +96,46 @@ def best_threshold(df: DataFrame, feature: str, positive: str) -> DataFrame:
     return scored.orderBy(F.desc("balanced"), "cut").limit(1).select("cut", "balanced")
 
 
-def two_feature_rule(df: DataFrame, a: str, b: str, positive: str, cuts: int = 20, margin: float = 0.02) -> DataFrame:
-    """One row (kind, cut_a, cut_b, balanced): the single rule on a, or 'and' / 'or' of two if better by the margin at least.
+def grid_cuts(df: DataFrame, feature: str, most: int) -> list[float]:
+    """All midpoints between neighbouring values if they are most at most, else the midpoints at even ranks, so many."""
+    placed = running_sums(midpoints(df, feature).distinct().withColumn("one", F.lit(1)), "cut", ["one"])
+    n = placed.count()
+    picked = placed if n <= most else placed.where(F.col("before_one").isin([i * (n - 1) // (most - 1) for i in range(most)]))
+    return sorted(r["cut"] for r in picked.select("cut").collect())
 
-    Cuts of the grid are the midpoints at even quantiles, so many at most for each feature.
+
+def two_feature_rule(df: DataFrame, a: str, b: str, positive: str, cuts: int = 200, margin: float = 0.02) -> DataFrame:
+    """One row (kind, feature, cut_a, cut_b, balanced): the best rule on one feature, or 'and' / 'or' of both if better by the margin.
+
+    Single rules are tried at all midpoints of either feature. Rules of two are tried on a grid of the midpoints, of at most
+    cuts for each feature at even ranks where there are more. Rows are counted by cell in one aggregation, and the table of
+    cells, which the grid bounds, is summed up on the driver. A row without a feature is over none of its cuts.
     """
-    single = best_threshold(df, a, positive).first()
-    grid = []
-    for f in (a, b):
-        found = sorted(r["cut"] for r in midpoints(df, f).select("cut").distinct().orderBy("cut").limit(100_000).collect())
-        grid.append([found[i * (len(found) - 1) // max(1, min(cuts, len(found)) - 1)] for i in range(min(cuts, len(found)))] if found else [])
-    spark = df.sparkSession
-    pairs = [(x, y, kind) for x in grid[0] for y in grid[1] for kind in ("and", "or")]
-    if single is None or not pairs:
-        return best_threshold(df, a, positive).select(F.lit("single").alias("kind"), F.col("cut").alias("cut_a"), F.lit(None).cast("double").alias("cut_b"), "balanced")
-    x, y = F.coalesce(F.col(a) > F.col("r.cut_a"), F.lit(False)), F.coalesce(F.col(b) > F.col("r.cut_b"), F.lit(False))
-    tried = df.withColumn("r", F.explode(F.array(*(F.struct(F.lit(p[0]).alias("cut_a"), F.lit(p[1]).alias("cut_b"), F.lit(p[2]).alias("kind")) for p in pairs))))
-    hit = F.when(F.col("r.kind") == "and", x & y).otherwise(x | y)
-    p = F.col(positive)
-    scored = tried.groupBy("r.cut_a", "r.cut_b", "r.kind").agg(F.count_if(hit & p).alias("tp"), F.count_if(hit & ~p).alias("fp"), F.count_if(~hit & p).alias("fn"), F.count_if(~hit & ~p).alias("tn"))
-    best = scored.withColumn("balanced", balanced_accuracy(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))).orderBy(F.desc("balanced"), "kind", "cut_a", "cut_b").limit(1)
-    alone = spark.createDataFrame([("single", single["cut"], None, single["balanced"])], "kind string, cut_a double, cut_b double, balanced double")
-    return best.where(F.col("balanced") >= single["balanced"] + margin).select("kind", "cut_a", "cut_b", "balanced").unionByName(alone).orderBy(F.desc("balanced")).limit(1)
+    import numpy as np
+
+    singles = [(f, best_threshold(df, f, positive).first()) for f in (a, b)]
+    feature, single = max(((f, r) for f, r in singles if r), key=lambda x: (x[1]["balanced"], x[0] == a), default=(None, None))
+    fields = "kind string, feature string, cut_a double, cut_b double, balanced double"
+    if single is None:
+        return df.sparkSession.createDataFrame([], fields)
+    grid = [grid_cuts(df, f, cuts) for f in (a, b)]
+    over = lambda f, g: F.aggregate(F.array(*map(F.lit, g)) if g else F.array().cast("array<double>"), F.lit(0), lambda n, c: n + (F.coalesce(F.col(f) > c, F.lit(False))).cast("int"))
+    cells = df.groupBy(over(a, grid[0]).alias("i"), over(b, grid[1]).alias("j")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q")).collect()
+    n = np.zeros((2, len(grid[0]) + 1, len(grid[1]) + 1))
+    for r in cells:
+        n[0, r["i"], r["j"]], n[1, r["i"], r["j"]] = r["p"], r["q"]
+    total = n.sum((1, 2), keepdims=True)
+    both = n[:, ::-1, ::-1].cumsum(1).cumsum(2)[:, ::-1, ::-1]  # over at least so many cuts of each
+    one, two = both[:, :, :1], both[:, :1, :]
+    best = (single["balanced"] + margin, None)
+    for kind, hit in (("and", both), ("or", one + two - both)):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = ((hit[0] / total[0] + (total[1] - hit[1]) / total[1]) / 2.0)[1:, 1:]
+        if score.size and (np.nanmax(score) > best[0] if best[1] else np.nanmax(score) >= best[0]):
+            i, j = np.unravel_index(np.nanargmax(score), score.shape)
+            best = (float(score[i, j]), (kind, "both", grid[0][i], grid[1][j], float(score[i, j])))
+    alone = ("single", feature, single["cut"] if feature == a else None, single["cut"] if feature == b else None, single["balanced"])
+    return df.sparkSession.createDataFrame([best[1] or alone], fields)
 
 
 def signed_rank_p(diffs) -> float | None:

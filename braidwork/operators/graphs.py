@@ -10,25 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.operators.windows import Names, _list, window
-from braidwork.plans.scratch import materialize
+from braidwork.operators.windows import Names, _list, running_sums, window
+from braidwork.plans.scratch import discard, materialize
 
 
-def fixpoint(start: DataFrame, step, limit: int = 1000) -> DataFrame:
+#: Rounds after which the tables of a fixpoint are written as one.
+GATHER = 8
+
+
+def fixpoint(start: DataFrame, step) -> DataFrame:
     """start and all that step adds: step(frontier) gives candidate rows, those not seen yet are the next frontier."""
     seen = frontier = materialize(start.distinct(), "seed")
-    keys = start.columns
-    for _ in range(limit):
-        new = materialize(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"), "frontier")
-        if not new.limit(1).count():
+    keys, tables = start.columns, [seen]
+    while True:
+        frontier = materialize(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"), "frontier")
+        if not frontier.limit(1).count():
             return seen
-        seen, frontier = seen.unionByName(new), new
-    raise RuntimeError(f"no fixpoint in {limit} rounds")
+        tables.append(frontier)
+        seen = seen.unionByName(frontier)
+        if len(tables) > GATHER:
+            seen = materialize(seen, "seen")
+            discard(*tables[:-1])
+            tables = [seen, frontier]
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, limit: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): seeds (node) and all nodes that walks over edges (src, dst) reach from them."""
-    return fixpoint(seeds.select("node"), lambda f: f.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")), limit)
+    return fixpoint(seeds.select("node"), lambda f: f.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")))
 
 
 def between(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -37,37 +45,49 @@ def between(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame
     return reachable(edges, sources).intersect(reachable(back, sinks))
 
 
-def cyclic_nodes(edges: DataFrame, limit: int = 1000) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(node): what is left when nodes without incoming edges are peeled off again and again; empty if there is no cycle."""
     left = materialize(edges.select("src", "dst").distinct(), "peel")
-    for _ in range(limit):
+    n = left.count()
+    while True:
         kept = materialize(left.join(left.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi"), "peel")
-        if kept.count() == left.count():
+        discard(left)
+        left, was, n = kept, n, kept.count()
+        if n == was:
             return left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        left = kept
-    raise RuntimeError(f"not peeled in {limit} rounds")
 
 
-def levels(edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """(node, level): the longest walk that ends in each node of an acyclic graph, in edges; a topological order sorts by it."""
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): the longest walk that ends in each node of an acyclic graph, in edges; a topological order sorts by it.
+
+    A graph with a cycle is an error: no walk without one has as many edges as the graph has nodes.
+    """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     now = materialize(nodes.withColumn("level", F.lit(0)), "levels")
-    for _ in range(limit):
+    for _ in range(now.count() + 1):
         up = now.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("d_")).agg((F.max("level") + 1).alias("up_"))
-        new = materialize(now.join(up, F.col("node") == F.col("d_"), "left").select("node", F.greatest("level", F.coalesce("up_", F.lit(0))).alias("level")), "levels")
-        if not new.join(now.withColumnRenamed("level", "was_"), "node").where("level <> was_").limit(1).count():
-            return new
-        now = new
+        new = materialize(now.join(up, F.col("node") == F.col("d_"), "left").select("node", "level", F.greatest("level", F.coalesce("up_", F.lit(0))).alias("new_")), "levels")
+        discard(now)
+        now = new.select("node", F.col("new_").alias("level"))
+        if not new.where("new_ <> level").limit(1).count():
+            return now
+        now.scratch_path = new.scratch_path
     raise RuntimeError("the graph has a cycle")
 
 
-def cut_points(edges: DataFrame, by: Names) -> DataFrame:
-    """(by, node): nodes of an order (edges src < dst are places in it) that no edge jumps over, first and last included."""
+def cut_points(edges: DataFrame, by: Names = ()) -> DataFrame:
+    """(by, node): nodes of an order (edges src < dst are places in it) that no edge jumps over, first and last included.
+
+    Without groups, sums run by ranges of the order, so no task holds all of it.
+    """
     keys = _list(by)
     ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
     steps = edges.select(*keys, F.explode(F.array(F.struct((F.col("src") + 1).alias("at"), F.lit(1).alias("d")), F.struct(F.col("dst").alias("at"), F.lit(-1).alias("d")))).alias("s")).select(*keys, F.col("s.at").alias("node"), F.col("s.d").alias("d"))
-    change = steps.unionByName(ends.withColumn("d", F.lit(0))).groupBy(*keys, "node").agg(F.sum("d").alias("d"), F.max(F.col("d") == 0).alias("x"))
-    over = change.withColumn("over_", F.sum("d").over(window(keys, "node").rowsBetween(W.unboundedPreceding, 0)))
+    change = steps.unionByName(ends.withColumn("d", F.lit(0))).groupBy(*keys, "node").agg(F.sum("d").alias("d"))
+    if keys:
+        over = change.withColumn("over_", F.sum("d").over(window(keys, "node").rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        over = running_sums(change, "node", ["d"]).withColumn("over_", F.col("before_d") + F.col("d"))
     return over.join(ends, [*keys, "node"], "left_semi").where("over_ = 0").select(*keys, "node")
 
 
@@ -85,10 +105,11 @@ def bubbles(steps: DataFrame, cuts: DataFrame, by: Names, path: str, order: str,
     return walks.groupBy(*keys, "left", "right").agg(F.countDistinct("allele_").alias("alleles"), F.count("*").alias("paths"))
 
 
-def unary_chains(edges: DataFrame, limit: int = 64) -> DataFrame:
+def unary_chains(edges: DataFrame) -> DataFrame:
     """(node, head, nth): nodes of chains that would be one node: each but the head has one predecessor, whose only successor it is.
 
-    Heads are found by pointer jumping, so rounds grow with the logarithm of the chain; members of unary cycles are left out.
+    Heads are found by pointer jumping: after a round more than the logarithm of the number of nodes every member of a chain
+    knows its head. Those that still don't are members of unary cycles, which are left out.
     """
     e = edges.select("src", "dst").distinct()
     out, into = e.groupBy("src").agg(F.count("*").alias("o")), e.groupBy("dst").agg(F.count("*").alias("i"))
@@ -96,14 +117,15 @@ def unary_chains(edges: DataFrame, limit: int = 64) -> DataFrame:
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
     up = nodes.join(joins.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("nth"))
     now = materialize(up, "chains")
-    for _ in range(limit):
+    for _ in range(now.count().bit_length() + 1):
         above = now.select(F.col("node").alias("n2"), F.col("head").alias("h2"), F.col("nth").alias("k2"))
-        new = materialize(now.join(above, F.col("head") == F.col("n2")).select("node", F.col("h2").alias("head"), (F.col("nth") + F.col("k2")).alias("nth")), "chains")
-        if not new.join(now.select("node", F.col("head").alias("was_")), "node").where("head <> was_").limit(1).count():
+        new = now.join(above, F.col("head") == F.col("n2")).select("node", F.col("h2").alias("head"), (F.col("nth") + F.col("k2")).alias("nth"), (F.col("h2") != F.col("head")).alias("moved"))
+        read, now = now, materialize(new, "chains")
+        discard(read)
+        if not now.where("moved").limit(1).count():
             break
-        now = new
-    heads = new.where("nth = 0 AND node = head").select(F.col("node").alias("h"))
-    return new.join(heads, F.col("head") == F.col("h"), "left_semi")
+    heads = now.where("nth = 0 AND node = head").select(F.col("node").alias("h"))
+    return now.select("node", "head", "nth").join(heads, F.col("head") == F.col("h"), "left_semi")
 
 
 def unchopped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,10 +139,10 @@ def unchopped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return merged, kept
 
 
-def merge_siblings(nodes: DataFrame, edges: DataFrame, both: bool = True, limit: int = 100) -> DataFrame:
+def merge_siblings(nodes: DataFrame, edges: DataFrame, both: bool = True) -> DataFrame:
     """(node, into): nodes of equal sequence with the same predecessors and successors (or, not both, either) merged to a fixed point."""
     now = materialize(nodes.select("node", F.col("node").alias("into")), "siblings")
-    for _ in range(limit):
+    while True:
         a, b = now.select(F.col("node").alias("src"), F.col("into").alias("s")), now.select(F.col("node").alias("dst"), F.col("into").alias("t"))
         e = edges.join(a, "src").join(b, "dst").select("s", "t").distinct()
         seqs = nodes.join(now, "node").groupBy("into").agg(F.min("seq").alias("seq"))
@@ -139,7 +161,6 @@ def merge_siblings(nodes: DataFrame, edges: DataFrame, both: bool = True, limit:
                 break
         if not moved:
             return now
-    raise RuntimeError(f"siblings not merged in {limit} rounds")
 
 
 def spelled(steps: DataFrame, nodes: DataFrame, path: str, order: str) -> DataFrame:

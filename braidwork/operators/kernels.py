@@ -76,11 +76,11 @@ def affine_cost(a: str, b: str, mismatch: int = 4, opening: int = 6, extend: int
     return int(best[-1])
 
 
-def align(a: str, b: str, max_cells: int = 50_000_000) -> str | None:
-    """CIGAR (=, X, I, D) of a least-cost unit alignment; diagonal before deletion before insertion on ties. None beyond max_cells."""
+def align(a: str, b: str, max_cells: int | None = None) -> str | None:
+    """CIGAR (=, X, I, D) of a least-cost unit alignment; diagonal before deletion before insertion on ties. None beyond max_cells, if given."""
     import numpy as np
 
-    if (len(a) + 1) * (len(b) + 1) > max_cells:
+    if max_cells is not None and (len(a) + 1) * (len(b) + 1) > max_cells:
         return None
     t, place = np.frombuffer(b.encode("utf-32-le"), np.uint32), np.arange(len(b) + 1)
     rows = [place.astype(np.int32)]
@@ -205,10 +205,12 @@ def distinct_apply(df: DataFrame, a: str, b: str, out: str, kernel: Callable[[st
     return joined.select(*df.columns, F.when(both & (F.col(a) == F.col(b)), F.lit(0)).otherwise(F.col("cost_")).cast("long").alias(out))
 
 
-def kmedoids(distance, k: int, fixed: list[int] = (), limit: int = 100) -> tuple[list[int], list[int]]:
-    """(medoids, cluster of each point): farthest-first start from the fixed ones (or the medoid of all), then best swaps.
+def kmedoids(distance, k: int, fixed: list[int] = ()) -> tuple[list[int], list[int]]:
+    """(medoids, nearest medoid of each point, as a place in them): farthest-first from the fixed ones (or point 0), then swaps.
 
-    distance: a square array. Fixed medoids stay. Ties go to the lower number.
+    Points are tried in their order, again and again: one takes the place of the medoid with which the sum of distances falls
+    most, at once, if it falls, until all points in a row change nothing. Each swap lowers the sum, so this ends. Fixed medoids
+    come first and stay. Ties go to the lower place.
     """
     import numpy as np
 
@@ -216,29 +218,26 @@ def kmedoids(distance, k: int, fixed: list[int] = (), limit: int = 100) -> tuple
     n = len(d)
     if not n:
         return [], []
-    chosen = list(dict.fromkeys(fixed)) or [int(d.sum(1).argmin())]
+    chosen = list(dict.fromkeys(fixed)) or [0]
+    still = len(dict.fromkeys(fixed))
     while len(chosen) < min(k, n):
-        near = d[:, chosen].min(1)
+        near = d[chosen].min(0)
         near[chosen] = -1
         chosen.append(int(near.argmax()))
-    for _ in range(limit):
-        near = d[:, chosen].min(1)
-        best, now = None, near.sum()
-        for at, m in enumerate(chosen):
-            if m in fixed:
-                continue
-            rest = [x for x in chosen if x != m]
-            others = d[:, rest].min(1) if rest else np.full(n, np.inf)
-            cost = np.minimum(others[:, None], d).sum(0)
-            cost[chosen] = np.inf
-            x = int(cost.argmin())
-            if cost[x] < now - 1e-12:
-                best, now = (at, x), cost[x]
-        if best is None:
-            break
-        chosen[best[0]] = best[1]
-    chosen = sorted(chosen)
-    return chosen, d[:, chosen].argmin(1).tolist()
+    idle = x = 0
+    without = None  # for each medoid, the distances of all points to the nearest other one
+    while idle < n and still < len(chosen) < n:
+        if without is None:
+            without = np.stack([d[[m for m in chosen if m != own]].min(0) if len(chosen) > 1 else np.full(n, np.inf) for own in chosen])
+            now = d[chosen].min(0).sum()
+        sums = np.minimum(without[still:], d[x]).sum(1)
+        at = int(sums.argmin())
+        if x not in chosen and sums[at] < now - 1e-12:
+            chosen[still + at], without, idle = x, None, 0
+        else:
+            idle += 1
+        x = (x + 1) % n
+    return chosen, d[chosen].argmin(0).tolist()
 
 
 def spanning_tree(distance, root: int | None = None) -> list[tuple[int, int | None]]:

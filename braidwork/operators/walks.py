@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.functions.sequences import kmers, reverse_complement
-from braidwork.operators.intervals import merge_intervals
 from braidwork.operators.windows import Names, _list, window
-from braidwork.plans.scratch import materialize
+from braidwork.plans.scratch import discard, materialize
 
 
 def match_names(wanted: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -64,11 +65,14 @@ def cut_walks(walks: DataFrame, left: int, right: int) -> DataFrame:
 def occurrences(reads: DataFrame, texts: DataFrame, seed: int = 8) -> DataFrame:
     """(read, text, pos, rev): all exact places, overlapping ones too, of reads (read, seq) in texts (text, whole), on either strand.
 
-    Reads of at least seed letters meet texts on their first seed letters, an equi-join; the rest is compared in place.
+    Reads meet texts on their first seed letters, an equi-join; the rest is compared in place. Shorter reads meet them on as
+    many letters as they have, one pass over the texts for each such length. Empty reads are nowhere.
     """
-    both = reads.select("read", "seq", F.lit(False).alias("rev")).unionByName(reads.select("read", reverse_complement(F.col("seq")).alias("seq"), F.lit(True).alias("rev"))).where(F.length("seq") >= seed)
-    at = texts.select("text", "whole", F.posexplode(kmers(F.col("whole"), seed)).alias("pos", "kmer"))
-    hit = both.join(at, F.substr(F.col("seq"), F.lit(1), F.lit(seed)) == F.col("kmer"))
+    both = reads.select("read", "seq", F.lit(False).alias("rev")).unionByName(reads.select("read", reverse_complement(F.col("seq")).alias("seq"), F.lit(True).alias("rev"))).where(F.length("seq") > 0)
+    both = both.withColumn("k_", F.least(F.length("seq"), F.lit(seed)))
+    lengths = sorted(r[0] for r in both.select("k_").distinct().collect())  # seed of them at most
+    at = [texts.select("text", "whole", F.lit(k).alias("k"), F.posexplode(kmers(F.col("whole"), k)).alias("pos", "kmer")) for k in lengths or [seed]]
+    hit = both.join(reduce(DataFrame.unionByName, at), (F.col("k_") == F.col("k")) & (F.substr(F.col("seq"), F.lit(1), F.col("k_")) == F.col("kmer")))
     return hit.where(F.substr(F.col("whole"), F.col("pos") + 1, F.length("seq")) == F.col("seq")).select("read", "text", "pos", "rev").distinct()
 
 
@@ -109,18 +113,26 @@ def robust_lengths(df: DataFrame, by: Names, value: str, least: float = 100, mos
     return one.join(kept, last, "left").select(*keys, "n", "median", "q1", "q3", "sigma", "mean", "stdev")
 
 
-def merge_until_stable(df: DataFrame, by: Names, widen, start: str = "start", end: str = "end", limit: int = 50) -> DataFrame:
-    """Intervals widened (a function of DataFrames) and merged again and again until their number stays."""
+def merge_until_stable(df: DataFrame, by: Names, widen, start: str = "start", end: str = "end") -> DataFrame:
+    """(by, start, end, wide_start, wide_end, n): intervals merged where their widened forms overlap, until none do.
+
+    widen: a pair of columns of start and end. Each is widened from its own start and end; a merged one spans its members
+    and is widened anew, and n counts them. Every round merges something, so rounds end.
+    """
     keys = _list(by)
-    now = materialize(merge_intervals(df, by, start, end).select(*keys, "start", "end"), "merged")
-    n = now.count()
-    for _ in range(limit):
-        new = materialize(merge_intervals(widen(now), by).select(*keys, "start", "end"), "merged")
-        m = new.count()
-        if m == n:
-            return new
-        now, n = new, m
-    raise RuntimeError(f"intervals not stable in {limit} rounds")
+    ends = [widen[0].alias("wide_start"), widen[1].alias("wide_end")]
+    own = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"), F.lit(1).cast("long").alias("n")).select("*", *ends)
+    now = materialize(own, "merged")
+    while True:
+        w = window(keys, "wide_start").rowsBetween(W.unboundedPreceding, -1)
+        new = F.coalesce(F.col("wide_start") >= F.max("wide_end").over(w), F.lit(True))
+        nth = F.sum(F.col("new_").cast("long")).over(window(keys, "wide_start").rowsBetween(W.unboundedPreceding, 0))
+        groups = now.withColumn("new_", new).withColumn("g_", nth).groupBy(*keys, "g_")
+        merged = groups.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.count("*").alias("m_")).select(*keys, "start", "end", "n", "m_", *ends)
+        read, now = now, materialize(merged, "merged")
+        discard(read)
+        if not now.where("m_ > 1").limit(1).count():
+            return now.select(*keys, "start", "end", "wide_start", "wide_end", "n")
 
 
 def greedy_cover(sets: dict, share: float) -> list:

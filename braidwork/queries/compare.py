@@ -78,9 +78,9 @@ def threshold_fit(spark, d):
 
 @query("two_feature_rule")
 def two_feature_rule(spark, d):
-    """The grid of two features."""
+    """Rules of one feature at all midpoints, of two on a grid of 200 by 200."""
     s = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("n_chars", F.size(F.split("text", "\n")).alias("lines"), (F.col("quality") == 1).alias("pos"))
-    return C.two_feature_rule(s, "n_chars", "lines", "pos", 8)
+    return C.two_feature_rule(s, "n_chars", "lines", "pos")
 
 
 @query("pooled_f1", """WITH c AS (SELECT o_orderpriority AS method, o_custkey % 50 AS region, count(*) FILTER (o_orderstatus = 'F') AS tp_base, count(*) FILTER (o_orderstatus = 'O') AS fn, count(*) FILTER (o_totalprice > 150000) AS tp_comp, nullif(count(*) FILTER (o_totalprice < 50000), 0) AS fp FROM orders GROUP BY ALL),

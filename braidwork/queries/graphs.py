@@ -88,19 +88,34 @@ def latest_wins(spark, d):
     return N.latest(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
+def word_runs(k: int):
+    """Hashes of the runs of k words of an array of words."""
+    return lambda w: F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k))))).otherwise(F.array().cast("array<bigint>"))
+
+
 @query("decontamination_guard", "SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def decontamination_guard(spark, d):
     """Documents that hold a benchmark item whole.
 
-    Items and documents meet on the first 5 words of an item: an equi-join on hashes of word runs, then an exact check.
+    The first and last words of an item may be parts of longer words in a document, those between stand there whole. Items
+    and documents meet on the first of those, five at most: equi-joins on hashes of runs of words, one for each length that
+    items have, then an exact check. Items of one or two words have none between; documents are searched for each of them.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "\\s+", " ")), " ")
-    grams = lambda w: F.when(F.size(w) >= 7, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5))))).otherwise(F.array().cast("array<bigint>"))
-    # a run inside an item: its first and last words may be parts of longer words in a document
-    inner = table(spark, d, "benchmark").select(F.col("text").alias("item"), S.let(words(F.col("text")), lambda w: F.when(F.size(w) >= 7, F.xxhash64(F.slice(w, 2, 5)))).alias("h"))
+    items = table(spark, d, "benchmark").select(F.col("text").alias("item"), words(F.col("text")).alias("w")).select("item", "w", F.least(F.size("w") - 2, F.lit(5)).alias("k")).where("item IS NOT NULL")
+    lengths = sorted(r[0] for r in items.select("k").distinct().collect())  # -1 to 5
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.select("doc_id", F.explode(S.let(words(F.col("text")), grams)).alias("g")).join(inner.where("h IS NOT NULL"), F.col("g") == F.col("h")).select("doc_id", "item").distinct()
-    return hits.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id").distinct()
+    hits = None
+    for k in lengths:
+        own = items.where(F.col("k") == k)
+        if k < 1:
+            found = docs.join(own.select("item").distinct(), F.contains("text", "item")).select("doc_id")
+        else:
+            inner = own.select("item", F.xxhash64(F.slice("w", 2, k)).alias("h"))
+            met = docs.select("doc_id", F.explode(S.let(words(F.col("text")), word_runs(k))).alias("g")).join(inner, F.col("g") == F.col("h")).select("doc_id", "item").distinct()
+            found = met.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id")
+        hits = found if hits is None else hits.unionByName(found)
+    return docs.where("false").select("doc_id") if hits is None else hits.distinct()
 
 
 EDGES_SQL = f"""{STEPS_SQL}, e AS (SELECT DISTINCT src, dst FROM (SELECT node AS src, lead(node) OVER (PARTITION BY path ORDER BY step) AS dst FROM steps) WHERE dst IS NOT NULL)"""
@@ -134,7 +149,7 @@ def forward(spark, d):
 @query("cut_points", f"""WITH {FORWARD_SQL}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE src < node AND node < dst)""")
 def cut_points(spark, d):
     """Nodes that no edge jumps over."""
-    return G.cut_points(forward(spark, d).withColumn("g", F.lit(0)), "g").select("node")
+    return G.cut_points(forward(spark, d))
 
 
 @query("longest_levels")

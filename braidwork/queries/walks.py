@@ -30,7 +30,7 @@ def walk_classes(spark, d):
 
 
 @query("exact_occurrences", """WITH r AS (SELECT DISTINCT n_name AS read FROM nation), t AS (SELECT c_custkey AS text, n_name || c_mktsegment || n_name AS whole FROM customer JOIN nation ON n_nationkey = c_nationkey)
-SELECT read, text, (i - 1)::INT AS pos, false AS rev FROM r, t, unnest(generate_series(1, length(whole) - length(read) + 1)) u(i) WHERE length(read) >= 5 AND substr(whole, i::INT, length(read)) = read""")
+SELECT read, text, (i - 1)::INT AS pos, false AS rev FROM r, t, unnest(generate_series(1, length(whole) - length(read) + 1)) u(i) WHERE substr(whole, i::INT, length(read)) = read""")
 def exact_occurrences(spark, d):
     """Nation names in texts that hold them twice."""
     n = table(spark, d, "nation")
@@ -94,10 +94,10 @@ def coordinate_lift(spark, d):
 
 @query("merge_until_stable")
 def merge_until_stable(spark, d):
-    """orders' days, widened by a tenth of their length and merged until their number stays."""
+    """orders' days, widened by a tenth of their length and merged until no two overlap."""
     from braidwork.queries.intervals import spans
 
-    widen = lambda df: df.withColumn("end", F.col("end") + F.floor((F.col("end") - F.col("start")) / 10))
+    widen = F.col("start"), F.col("end") + F.floor((F.col("end") - F.col("start")) / 10)
     return V.merge_until_stable(spans(spark, d), "cust", widen, "s", "e")
 
 

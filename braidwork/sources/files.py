@@ -68,7 +68,7 @@ def read_gaf(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).where(~F.startswith("line", F.lit("@"))).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 12)
     num = lambda i: F.coalesce(F.get("f", F.lit(i)).try_cast("long"), F.lit(0))
     steps = F.transform(F.regexp_extract_all(F.get("f", F.lit(5)), F.lit("([<>][^<>]+)"), F.lit(1)), lambda s: F.struct(F.substr(s, F.lit(2), F.length(s)).alias("node"), s.startswith("<").alias("rev")))
-    tags = F.map_from_entries(F.transform(F.filter(F.slice("f", 13, 1000), lambda t: t.rlike("^..:.:")), lambda t: F.struct(F.substr(t, F.lit(1), F.lit(2)), F.substr(t, F.lit(6), F.length(t)))))
+    tags = F.map_from_entries(F.transform(F.filter(F.slice("f", F.lit(13), F.size("f")), lambda t: t.rlike("^..:.:")), lambda t: F.struct(F.substr(t, F.lit(1), F.lit(2)), F.substr(t, F.lit(6), F.length(t)))))
     df = rows.select("file", "ord", F.get("f", F.lit(0)).alias("name"), num(1).alias("qlen"), num(2).alias("qs"), num(3).alias("qe"), steps.alias("steps"), num(6).alias("plen"), num(7).alias("ps"), num(8).alias("pe"), num(11).alias("mapq"), tags.alias("tags"))
     mate = F.when(F.map_contains_key("tags", F.lit("fn")), 1).when(F.map_contains_key("tags", F.lit("fp")), 2).otherwise(0)
     return df.withColumn("cs", F.try_element_at("tags", F.lit("cs"))).withColumn("mate", mate).withColumn("ops", cs_operations(F.col("cs")))

@@ -1,5 +1,8 @@
 """Event-time operators over streams give what they give over batches."""
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
 
 from braidwork.operators.windows import latest
@@ -10,9 +13,12 @@ D = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def parts(spark, tmp_path):
-    """The events in three files, so that a stream takes several batches."""
+    """The events in three files, so that a stream takes several batches; streams take files by their times, here those of the events."""
     events = spark.read.parquet(f"{D}/events.parquet")
     events.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "events"))
+    files = sorted((tmp_path / "events").glob("*.parquet"), key=lambda f: pq.read_table(f, columns=["ts"])["ts"][0].as_py())
+    for i, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
     return str(tmp_path / "events")
 
 

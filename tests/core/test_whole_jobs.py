@@ -27,3 +27,86 @@ def test_bootstrap_ratio_takes_a_thousand_draws(spark):
     got = sorted(registry.QUERIES["bootstrap_ratio"](spark, d).collect())
     want = C.bootstrap_ratio(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey", 1000)
     assert got == sorted(want.collect())
+
+
+def test_merging_until_stable_is_as_defined(spark):
+    """Against a plain loop: merge the first two widened intervals that overlap, until none do."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from braidwork.operators import walks as V
+
+    rng = random.Random(3)
+    rows = [(g, a := rng.randrange(400), a + rng.randrange(60)) for g in (1, 2, None) for _ in range(40)]
+
+    def plain(own):
+        wide = lambda x: (x[0], x[1] + (x[1] - x[0]) // 10)
+        own = [(a, b, 1) for a, b in own]
+        while True:
+            hit = next(((i, j) for i in range(len(own)) for j in range(i) if wide(own[i])[0] < wide(own[j])[1] and wide(own[j])[0] < wide(own[i])[1]), None)
+            if hit is None:
+                return sorted(own)
+            x, y = own.pop(hit[0]), own.pop(hit[1])
+            own.append((min(x[0], y[0]), max(x[1], y[1]), x[2] + y[2]))
+
+    df = spark.createDataFrame(rows, "g int, s long, e long")
+    got = V.merge_until_stable(df, "g", (F.col("start"), F.col("end") + F.floor((F.col("end") - F.col("start")) / 10)), "s", "e").collect()
+    for g in (1, 2, None):
+        assert sorted((r.start, r.end, r.n) for r in got if r.g == g) == plain([r[1:] for r in rows if r[0] == g])
+
+
+def test_unary_cycles_are_left_out_and_long_chains_end(spark):
+    from braidwork.operators import graphs as G
+
+    edges = [(1, 2), (2, 3), (3, 1), (10, 11), (11, 10), *((i, i + 1) for i in range(100, 1300))]
+    got = {r.node: (r.head, r.nth) for r in G.unary_chains(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: (100, i - 100) for i in range(100, 1301)}
+
+
+def test_more_rounds_than_tables_are_gathered(spark):
+    from braidwork.operators import graphs as G
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(25)], "src long, dst long")
+    assert sorted(r.node for r in G.reachable(edges, edges.limit(0).selectExpr("src AS node").union(spark.createDataFrame([(3,)], "node long"))).collect()) == list(range(3, 26))
+    assert {r.node: r.level for r in G.levels(edges).collect()} == {i: i for i in range(26)}
+
+
+def test_rules_of_features_with_nulls(spark):
+    from braidwork.operators import compare as C
+
+    rows = [(None, 1.0, True), (1.0, None, False), (2.0, 5.0, True), (3.0, 1.0, False), (4.0, 6.0, True), (4.0, 0.0, False)] * 3
+    df = spark.createDataFrame(rows, "a double, b double, pos boolean")
+    over = lambda x, t: x is not None and x > t
+
+    def balanced(hits):
+        tp, tn = sum(h and r[2] for h, r in zip(hits, rows, strict=True)), sum(not h and not r[2] for h, r in zip(hits, rows, strict=True))
+        return (tp / 9 + tn / 9) / 2
+
+    for r in C.threshold_counts(df, "a", "pos").collect():
+        hits = [over(x[0], r.cut) for x in rows]
+        assert (r.tp + r.fn, r.fp + r.tn) == (9, 9)
+        assert (r.tp / 9 + r.tn / 9) / 2 == balanced(hits)
+    assert C.threshold_counts(df, "a", "pos").count() == 5
+    mids = lambda v: [(x + y) / 2 for x, y in zip(v, v[1:], strict=False)]
+    a, b = mids([1, 2, 3, 4]), mids([0, 1, 5, 6])
+    best = max(balanced([f(over(r[0], x), over(r[1], y)) for r in rows]) for x in a for y in b for f in (lambda p, q: p and q, lambda p, q: p or q))
+    alone = max(balanced([over(r[i], c) for r in rows]) for i in (0, 1) for c in (a, b)[i])
+    got = C.two_feature_rule(df, "a", "b", "pos").first()
+    assert got.balanced == max(alone, best if best >= alone + 0.02 else 0)
+
+
+def test_short_reads_and_short_items(spark, tmp_path):
+    from braidwork.operators import walks as V
+    from braidwork.queries import graphs as Q
+
+    reads = spark.createDataFrame([("a", "ACG"), ("b", "ACGTACGTAC"), ("e", "")], "read string, seq string")
+    texts = spark.createDataFrame([("t", "TTACGTACGTACGG")], "text string, whole string")
+    got = {(r.read, r.pos) for r in V.occurrences(reads, texts).where("NOT rev").collect()}
+    assert got == {("a", 2), ("a", 6), ("a", 10), ("b", 2)}
+    whole = ["one", "two words", "now three words", "a b c d e f g h i"]
+    spark.createDataFrame(list(enumerate(whole)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = ["none here", "xone more", "some two wordsy", "xnow three wordsy", "za b c d e f g h iz", "a b c d e f g h", None, ""]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r.doc_id for r in Q.decontamination_guard(spark, str(tmp_path)).collect())
+    assert got == [i for i, t in enumerate(docs) if any(w in (t or "") for w in whole)]
