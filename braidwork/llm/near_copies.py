@@ -3,7 +3,9 @@
 Texts with equal sets are collapsed first. Candidates come from two operators: SimHash fingerprints of the sets, compared in
 tiles, join most near copies at a small cost; then packed MinHash bins, taken in bands, bring together what they left. Two
 sets of a Jaccard similarity of 0.8 miss each other in all 64 bands of 8 bins with a probability below 10**-5. Every
-candidate pair is decided by the sets themselves. Where many texts meet in a band, a few of them are compared with all
+candidate pair is decided by the sets themselves; first, pairs that can't be alike are left out by what is packed of them: a
+small set's shingles, hashed to 32 bits, which only add to what two sets share, or a large one's bins, whose estimate must be
+within six standard deviations of the share. Where many texts meet in a band, a few of them are compared with all
 others at a time, and pairs that the links found so far already join are left out, so a group of many near copies isn't
 compared with itself whole.
 """
@@ -26,8 +28,8 @@ SHINGLE, SHARE = 5, (4, 5)
 BANDS, PIVOTS, MORE = 64, 1, 8
 #: Fingerprints within so many bits are candidates in the first round. It decides no pair, only what the later rounds find joined.
 RADIUS = 3
-#: Documents read together; pairs given on together by a task.
-BLOCK, PACK = 256, 1 << 16
+#: Documents read together; pairs given on together by a task; sets of so many shingles are packed whole; bytes packed.
+BLOCK, PACK, SMALL, PACKED = 256, 1 << 16, 64, 256
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE):
@@ -45,20 +47,58 @@ def set_id(hashes) -> int:
     return found - (found >> 63 << 64)
 
 
-def band_keys(sets: list):
-    """sets x BANDS numbers: the packed bins of each band, mixed with the band's number."""
+def packed_sets(sets: list, low) -> list[bytes]:
+    """PACKED bytes of each set: of one of SMALL shingles at most their 32-bit hashes, not 0, and zeros; of others two bins a byte."""
+    import numpy as np
+
+    pairs = low[:, ::2] | low[:, 1::2] << 4
+    out = []
+    for own, bins in zip(sets, pairs, strict=True):
+        if len(own) <= SMALL:
+            short = np.zeros(SMALL, "<u4")
+            short[: len(own)] = np.maximum(own >> np.uint64(32), 1)
+            out.append(short.tobytes())
+        else:
+            out.append(bins.tobytes())
+    return out
+
+
+def may_be_alike(x, y, nx, ny):
+    """Which pairs of packed sets (rows of bytes) with sizes nx and ny may have the share in common; pairs of unlike sizes aside."""
+    import numpy as np
+
+    a, b = SHARE
+    out = b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)
+    small, large = np.flatnonzero(out & (nx <= SMALL) & (ny <= SMALL)), np.flatnonzero(out & (nx > SMALL) & (ny > SMALL))
+    for i in range(0, len(small), 4096):
+        k = small[i : i + 4096]
+        u, v = x[k].view("<u4"), y[k].view("<u4")
+        shared = ((u[:, :, None] == v[:, None, :]).any(2) & (u > 0)).sum(1)
+        out[k] = b * shared >= a * (nx[k] + ny[k] - shared)
+    for i in range(0, len(large), 4096):
+        k = large[i : i + 4096]
+        differ = x[k] ^ y[k]
+        same = ((differ & 15) == 0).sum(1) + ((differ >> 4) == 0).sum(1)
+        chance = 2.0**-minhash.BITS
+        found = (same / minhash.BINS - chance) / (1 - chance)
+        spread = 6 * np.sqrt(a * (b - a) / b**2 / np.minimum(minhash.BINS, np.minimum(nx[k], ny[k])) + chance / minhash.BINS)
+        out[k] = found >= a / b - spread
+    return out
+
+
+def band_keys(low):
+    """texts x BANDS numbers: the packed bins of each band, mixed with the band's number."""
     import numpy as np
 
-    low, _ = minhash.low_bits(sets)
     each = low.shape[1] // BANDS
-    packed = np.zeros((len(sets), BANDS), np.uint64)
+    packed = np.zeros((len(low), BANDS), np.uint64)
     for i in range(each):
         packed = packed << np.uint64(minhash.BITS) | low[:, i::each]
     return minhash._mix(packed * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(key, digest, id, fp, n, bands) of docs (key, digest, text binary): of each text's set its hash, fingerprint, size and bands."""
+    """(key, digest, id, fp, n, bands, packed) of docs (key, digest, text binary): what is told of each text's set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -68,16 +108,17 @@ def described(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(start, BLOCK)
                 sets = [shingle_set(x.as_py()) for x in batch.column(2)]
                 fps = [simhash.fingerprint(own) for own in sets]
-                bands = band_keys(sets).view("<i8").tolist()
-                made = [pa.array(map(set_id, sets), pa.int64()), pa.array([x - (x >> 63 << 64) for x in fps], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "digest", "id", "fp", "n", "bands"])
+                low, _ = minhash.low_bits(sets)
+                bands = band_keys(low).view("<i8").tolist()
+                made = [pa.array(map(set_id, sets), pa.int64()), pa.array([x - (x >> 63 << 64) for x in fps], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed_sets(sets, low), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "digest", "id", "fp", "n", "bands", "packed"])
 
-    return docs.mapInArrow(run, "key long, digest long, id long, fp long, n int, bands array<long>")
+    return docs.mapInArrow(run, "key long, digest long, id long, fp long, n int, bands array<long>, packed binary")
 
 
 def _by_group(rows: DataFrame, take, fields: str) -> DataFrame:
-    """take(arrays of s, id, n, c) over whole groups of rows with one s, in the order of s and id; gives arrays of fields."""
-    names = ["s", "id", "n", "c"]
+    """take(arrays of s, id, n, c, and packed where rows have it) over whole groups of rows with one s, in the order of s and id; gives arrays of fields."""
+    names = ["s", "id", "n", "c", *(["packed"] if "packed" in rows.columns else [])]
     kept = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
@@ -85,6 +126,8 @@ def _by_group(rows: DataFrame, take, fields: str) -> DataFrame:
         import pyarrow as pa
 
         def made(parts: list) -> Iterator:
+            if not sum(len(p[0]) for p in parts):
+                return
             out = take(*(np.concatenate([p[k] for p in parts]) for k in range(len(names))))
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=kept)
@@ -93,7 +136,8 @@ def _by_group(rows: DataFrame, take, fields: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            own += [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, PACKED) for c in batch.columns[4:]]
             cut = int(np.searchsorted(own[0], own[0][-1]))  # the first row of the last group
             if cut or (held and held[0][0][0] != own[0][-1]):
                 yield from made([*held, [x[:cut] for x in own]])
@@ -116,22 +160,20 @@ def _bounds(s):
 
 def candidates(rows: DataFrame, pivots: int) -> DataFrame:
     """(u, v): pairs of the first so many texts of each group with all after them, that may be alike and are not yet joined."""
-    a, b = SHARE
 
-    def take(s, id_, n, c):
+    def take(s, id_, n, c, packed):
         import numpy as np
 
-        start, end = _bounds(s) if len(s) else (s, s)
+        start, end = _bounds(s)
         row = np.arange(len(s))
         active = row[row - start < pivots]
         seen, held, d = [np.empty((0, 2), np.int64)], 0, 0
         while len(active):
             d += 1
             active = active[active + d < end[active]]
-            x, y = active, active + d
-            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-            may = (c[x] != c[y]) & (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny))
-            pair = np.stack([np.minimum(id_[x[may]], id_[y[may]]), np.maximum(id_[x[may]], id_[y[may]])], 1)
+            x = active[c[active] != c[active + d]]
+            x = x[may_be_alike(packed[x], packed[x + d], n[x].astype(np.int64), n[x + d].astype(np.int64))]
+            pair = np.stack([np.minimum(id_[x], id_[x + d]), np.maximum(id_[x], id_[x + d])], 1)
             if len(pair):
                 seen.append(pair)
                 held += len(pair)
@@ -149,7 +191,7 @@ def beyond(rows: DataFrame, pivots: int) -> DataFrame:
     def take(s, id_, n, c):
         import numpy as np
 
-        start, end = _bounds(s) if len(s) else (s, s)
+        start, _ = _bounds(s)
         row = np.arange(len(s))
         rest = np.flatnonzero(row - start >= pivots)
         if not len(rest):
@@ -203,7 +245,7 @@ def close_fingerprints(texts: DataFrame, radius: int) -> DataFrame:
 def linked(sets: DataFrame, texts_of, pivots: int = PIVOTS, radius: int = RADIUS) -> DataFrame:
     """(node, component) of the ids that are near copies of others, linked by all candidates alike enough.
 
-    sets: id, fp, n, bands; ids differ. texts_of(ids) gives (id, text) of a frame of ids; texts that meet no other are never
+    sets: id, fp, n, bands, packed; ids differ. texts_of(ids) gives (id, text) of a frame of ids; texts that meet no other are never
     read. Links of fingerprints come first; each round after that compares eight times as many texts of each group as the
     one before, so rounds grow with the logarithm of the largest group that links don't join.
     """
@@ -211,7 +253,7 @@ def linked(sets: DataFrame, texts_of, pivots: int = PIVOTS, radius: int = RADIUS
     def shared(s, id_, n, c):
         import numpy as np
 
-        start, end = _bounds(s) if len(s) else (s, s)
+        start, end = _bounds(s)
         many = np.flatnonzero(end - start > 1)
         return s[many], id_[many], n[many], c[many]
 
@@ -226,9 +268,11 @@ def linked(sets: DataFrame, texts_of, pivots: int = PIVOTS, radius: int = RADIUS
     edges = materialize(verified(near, texts), "near-links")
     of = materialize(connected_components(edges), "near-components")
     rows = materialize(named(met), "near-groups")
+    packed = sets.join(asked, "id", "left_semi").select(F.col("id").alias("packed_id"), "packed")
+    packed = materialize(packed, "near-packed")
     discard(met, near)
     while True:
-        pairs = materialize(candidates(rows, pivots), "near-pairs")
+        pairs = materialize(candidates(rows.join(packed, F.col("id") == F.col("packed_id")), pivots), "near-pairs")
         edges = edges.unionByName(materialize(verified(pairs, texts), "near-links"))
         before, of = of, materialize(connected_components(edges), "near-components")
         read, rows = rows, materialize(beyond(named(rows), pivots), "near-groups")
@@ -252,14 +296,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     keyed = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
     narrow = keyed.select(F.col(name).alias("key"), F.xxhash64(whole).alias("digest"), whole.cast("binary").alias("text"))
     found = materialize(described(narrow), "shingle-sets")
-    sets = materialize(found.groupBy("id").agg(F.min(F.struct("key", "digest")).alias("row"), *(F.first(c).alias(c) for c in ("fp", "n", "bands"))), "distinct-sets")
+    sets = materialize(found.groupBy("id").agg(F.min(F.struct("key", "digest")).alias("row"), *(F.first(c).alias(c) for c in ("fp", "n", "bands", "packed"))), "distinct-sets")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """Texts by key and digest of one row of each set: together they tell rows of one key apart."""
         at = sets.select("id", "row").join(ids.withColumnRenamed("id", "asked_"), F.col("id") == F.col("asked_"), "left_semi").select("id", F.col("row.key").alias("k_"), F.col("row.digest").alias("d_"))
         return narrow.join(at, (F.col("key") == F.col("k_")) & (F.col("digest") == F.col("d_"))).select("id", "text").dropDuplicates(["id"])
 
-    of = linked(sets.select("id", "fp", "n", "bands"), texts_of)
+    of = linked(sets.select("id", "fp", "n", "bands", "packed"), texts_of)
     least = found.groupBy("id").agg(F.min("key").alias("least_"))
     kept = least.join(of, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("c_")).agg(F.min("least_").alias(name))
     stays = kept.select(name).distinct()

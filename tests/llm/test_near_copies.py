@@ -84,3 +84,29 @@ def test_short_texts_meet_across_ten_words(spark):
     got = stays(spark, rows)
     assert got == brute(rows)
     assert sum(1 for k in got if k % 3 == 1) == 24  # a word more: 4 of 5 shingles and up are near copies
+
+
+def test_the_prefilter_never_leaves_out_what_is_alike():
+    import numpy as np
+
+    from braidwork.llm import minhash as M
+    from braidwork.llm import near_copies as N
+
+    rng = np.random.default_rng(7)
+    sets, kept = [], 0
+    for n in (1, 4, 5, 9, 30, 64, 65, 80, 200, 1000, 4000):
+        for _ in range(12):
+            own = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            fresh = rng.integers(0, 1 << 64, max(1, n // int(rng.choice([3, 9, 10, 12, 40]))), dtype=np.uint64)
+            sets += [own, np.unique(np.r_[own[len(fresh) if rng.random() < 0.5 else 0 :], fresh])]
+    low, _ = M.low_bits(sets)
+    packed = np.frombuffer(b"".join(N.packed_sets(sets, low)), np.uint8).reshape(-1, N.PACKED)
+    size = np.array(list(map(len, sets)))
+    x, y = np.array([(i, j) for i in range(len(sets)) for j in range(i)]).T
+    may = N.may_be_alike(packed[x], packed[y], size[x], size[y])
+    for i, j, ok in zip(x, y, may, strict=True):
+        shared = len(np.intersect1d(sets[i], sets[j]))
+        if 5 * shared >= 4 * (size[i] + size[j] - shared) and size[i] and size[j] and (size[i] > N.SMALL) == (size[j] > N.SMALL):
+            assert ok
+            kept += 1
+    assert kept > 60 and may.sum() < 6 * kept + len(sets) * 12
