@@ -126,7 +126,6 @@ def test_gap_normalisation_is_as_defined():
             for f, together in ((A.normalise, False), (A.normalise_joint, True)):
                 got, _ = f(rows, left)
                 assert got == slid(rows, left, together)
-                assert f(got, left)[0] == got or not got[0]
                 assert [r.replace("-", "") for r in got] == [r.replace("-", "") for r in rows]
 
 
