@@ -33,7 +33,7 @@ WIDTH, ANCHOR = 200, 100
 #: documents packed together from which on an anchor is common.
 ROWS, SHARD_BYTES, COMMON = 4096, 96 << 20, 16
 #: Bytes whose rolling hashes are held at once; stretches of an anchor that one task sorts; bytes sorted together.
-CHUNK, BLOCK, SORTED = 1 << 20, 512, 1 << 20
+CHUNK, BLOCK, SORTED = 1 << 20, 8192, 1 << 20
 #: Odd bases of the polynomials: modulo 2**32 to choose anchors, 2**64 to compare.
 BASE32, BASE64 = 0x9E3779B1, 0x9E3779B97F4A7C15
 _powers: dict = {}

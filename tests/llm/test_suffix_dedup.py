@@ -73,7 +73,7 @@ def test_anchors_over_chunks(monkeypatch):
     assert windows == [i for a, b in zip(bounds, bounds[1:], strict=False) for i in range(a, b - S.WIDTH + 1)]
 
 
-@pytest.mark.parametrize(("block", "common", "rows", "seed"), [(512, 16, 4096, 1), (3, 16, 4096, 2), (3, 2, 7, 3), (512, 3, 20, 4)])
+@pytest.mark.parametrize(("block", "common", "rows", "seed"), [(8192, 16, 4096, 1), (3, 16, 4096, 2), (3, 2, 7, 3), (8192, 3, 20, 4)])
 def test_against_brute_force(spark, monkeypatch, block, common, rows, seed):
     monkeypatch.setattr(S, "BLOCK", block)
     monkeypatch.setattr(S, "COMMON", common)
