@@ -4,8 +4,8 @@ Texts with equal sets are collapsed first. Candidates come from two operators: S
 tiles, join most near copies at a small cost; then packed MinHash bins, taken in bands, bring together what they left. Two
 sets of a Jaccard similarity of 0.8 miss each other in all 64 bands of 8 bins with a probability below 10**-5. Every
 candidate pair is decided by the sets themselves; first, pairs that can't be alike are left out by what is packed of them: a
-small set's shingles, hashed to 32 bits, which only add to what two sets share, or a large one's bins, whose estimate must be
-within six standard deviations of the share. Where many texts meet in a band, a few of them are compared with all
+set's shingles as bits of a map, of which two maps differ in no more than their sets do, or a large one's bins, whose estimate
+must be within six standard deviations of the share. Where many texts meet in a band, a few of them are compared with all
 others at a time, and pairs that the links found so far already join are left out, so a group of many near copies isn't
 compared with itself whole.
 """
@@ -28,8 +28,8 @@ SHINGLE, SHARE = 5, (4, 5)
 BANDS, PIVOTS, MORE = 64, 1, 8
 #: Fingerprints within so many bits are candidates in the first round. It decides no pair, only what the later rounds find joined.
 RADIUS = 3
-#: Documents read together; pairs given on together by a task; sets of so many shingles are packed whole; bytes packed.
-BLOCK, PACK, SMALL, PACKED = 256, 1 << 16, 64, 256
+#: Documents read together; pairs given on together by a task; sets of up to so many shingles are packed as maps; bytes packed.
+BLOCK, PACK, SMALL, PACKED = 256, 1 << 16, 640, 256
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE):
@@ -48,23 +48,27 @@ def set_id(hashes) -> int:
 
 
 def packed_sets(sets: list, low) -> list[bytes]:
-    """PACKED bytes of each set: of one of SMALL shingles at most their 32-bit hashes, not 0, and zeros; of others two bins a byte."""
+    """PACKED bytes of each set: of one of SMALL shingles at most a map with a bit set for each of them; of others two bins a byte."""
     import numpy as np
 
     pairs = low[:, ::2] | low[:, 1::2] << 4
     out = []
     for own, bins in zip(sets, pairs, strict=True):
         if len(own) <= SMALL:
-            short = np.zeros(SMALL, "<u4")
-            short[: len(own)] = np.maximum(own >> np.uint64(32), 1)
-            out.append(short.tobytes())
+            bits = np.zeros(8 * PACKED, bool)
+            bits[own % np.uint64(8 * PACKED)] = True
+            out.append(np.packbits(bits).tobytes())
         else:
             out.append(bins.tobytes())
     return out
 
 
 def may_be_alike(x, y, nx, ny):
-    """Which pairs of packed sets (rows of bytes) with sizes nx and ny may have the share in common; pairs of unlike sizes aside."""
+    """Which pairs of packed sets (rows of bytes) with sizes nx and ny may have the share in common; a map and bins may.
+
+    A bit that is set in one of two maps stands for a shingle of that set alone, so maps differ in at most as many bits as
+    their sets do in shingles: no pair that is alike enough is left out by them.
+    """
     import numpy as np
 
     a, b = SHARE
@@ -72,9 +76,8 @@ def may_be_alike(x, y, nx, ny):
     small, large = np.flatnonzero(out & (nx <= SMALL) & (ny <= SMALL)), np.flatnonzero(out & (nx > SMALL) & (ny > SMALL))
     for i in range(0, len(small), 4096):
         k = small[i : i + 4096]
-        u, v = x[k].view("<u4"), y[k].view("<u4")
-        shared = ((u[:, :, None] == v[:, None, :]).any(2) & (u > 0)).sum(1)
-        out[k] = b * shared >= a * (nx[k] + ny[k] - shared)
+        differ = np.bitwise_count(x[k].view("<u8") ^ y[k].view("<u8")).sum(1, dtype=np.int64)
+        out[k] = (b + a) * differ <= (b - a) * (nx[k] + ny[k])
     for i in range(0, len(large), 4096):
         k = large[i : i + 4096]
         differ = x[k] ^ y[k]
@@ -267,8 +270,8 @@ def linked(sets: DataFrame, texts_of, pivots: int = PIVOTS, radius: int = RADIUS
     texts = materialize(texts_of(asked), "near-texts")
     edges = materialize(verified(near, texts), "near-links")
     of = materialize(connected_components(edges), "near-components")
-    rows = materialize(named(met), "near-groups")
-    packed = sets.join(asked, "id", "left_semi").select(F.col("id").alias("packed_id"), "packed")
+    rows = materialize(beyond(named(met), 0), "near-groups")
+    packed = sets.join(rows.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("packed_id"), "packed")
     packed = materialize(packed, "near-packed")
     discard(met, near)
     while True:
