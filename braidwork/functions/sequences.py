@@ -134,8 +134,10 @@ def path_name(name: Column) -> Column:
 
 
 def anchor(text: Column) -> Column:
-    """struct<node, rev> of >12, <12, 12+ or 12-."""
-    return F.struct(F.regexp_extract(text, "([0-9]+)", 1).cast("long").alias("node"), text.rlike("^<|-$").alias("rev"))
+    """struct<node, rev> of >12, <12, 12+ or 12-, spaces around it aside; other text gives nulls."""
+    t = F.trim(text)
+    known = t.rlike("^([<>][0-9]+|[0-9]+[+-])$")
+    return F.struct(F.when(known, F.regexp_extract(t, "([0-9]+)", 1).cast("long")).alias("node"), F.when(known, t.rlike("^<|-$")).alias("rev"))
 
 
 def canonical_edge(src: Column, dst: Column) -> Column:
