@@ -115,3 +115,13 @@ def different(a: DataFrame, b: DataFrame, key: str, digest: str) -> DataFrame:
 def evaluable(placements: DataFrame, key: str, exact: Column, quality: str, least: float) -> DataFrame:
     """(key): keys of a quality of at least least whose placements are all exact; a null counts as not exact."""
     return placements.groupBy(key).agg(F.min(quality).alias("q_"), F.every(F.coalesce(exact, F.lit(False))).alias("e_")).where((F.col("q_") >= least) & F.col("e_")).select(key)
+
+
+def expanded(steps: DataFrame, pieces: DataFrame, path: str = "path") -> DataFrame:
+    """(path, step, piece, rev): walks over the pieces that their nodes were cut into, backwards in a node walked in reverse.
+
+    steps: path, step, node, rev; pieces: node, nth, piece. Steps are numbered anew from 1; steps of nodes without pieces go.
+    """
+    joined = steps.join(pieces, "node").withColumn("nth_", F.when(F.col("rev"), -F.col("nth")).otherwise(F.col("nth")))
+    number = F.row_number().over(W.partitionBy(path).orderBy("step", "nth_"))
+    return joined.select(path, number.alias("step"), "piece", "rev")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import sequences as S
 from braidwork.operators import checks as K
 from braidwork.operators import graphs as G
+from braidwork.operators import haplotypes as H
 from braidwork.operators import intervals as I
 from braidwork.operators import panels as P
 from braidwork.operators import windows as N
@@ -208,3 +209,66 @@ def anchors(spark, d):
     k, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
     written = F.when(k % 5 == 0, F.concat(F.lit(">"), text)).when(k % 5 == 1, F.concat(F.lit("<"), text)).when(k % 5 == 2, F.concat(text, F.lit("+"))).when(k % 5 == 3, F.concat(text, F.lit("-"))).otherwise(text)
     return table(spark, d, "supplier").select("s_suppkey", S.anchor(written).alias("a")).select("s_suppkey", "a.node", "a.rev")
+
+
+@query("walks_of_pieces", f"""WITH {STEPS_SQL}, c AS (SELECT p_partkey AS node, unnest(generate_series(1, ceil(p_size / 20.0)::BIGINT)) AS nth FROM part)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY step, CASE WHEN node % 2 = 1 THEN -nth ELSE nth END) AS step, node * 10 + nth AS piece, node % 2 = 1 AS rev FROM steps JOIN c USING (node)""")
+def walks_of_pieces(spark, d):
+    """Walks over parts cut into pieces of 20."""
+    k = F.col("p_partkey")
+    cut = table(spark, d, "part").select(k.alias("node"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("p_size") / 20).cast("int"))).alias("nth")).withColumn("piece", F.col("node") * 10 + F.col("nth"))
+    return P.expanded(stranded(spark, d), cut).withColumn("step", F.col("step").cast("long"))
+
+
+#: Walks through layers: each even one has one node, each odd one three.
+LAYERS_SQL = f"{STEPS_SQL}, l AS (SELECT path % 5 AS grp, path, step, 10 * step + CASE WHEN step % 2 = 0 THEN 0 ELSE node % 3 END AS node FROM steps)"
+
+
+@query("bubble_alleles", f"""WITH {LAYERS_SQL}, e AS (SELECT DISTINCT grp, src, dst FROM (SELECT grp, node AS src, lead(node) OVER (PARTITION BY path ORDER BY step) AS dst FROM l) WHERE dst IS NOT NULL),
+n AS (SELECT DISTINCT grp, node FROM (SELECT grp, src AS node FROM e UNION ALL SELECT grp, dst FROM e)),
+c AS (SELECT grp, node FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.grp = n.grp AND e.src < n.node AND n.node < e.dst)),
+m AS (SELECT l.*, c.node AS cut FROM l LEFT JOIN c ON c.grp = l.grp AND c.node = l.node),
+w AS (SELECT *, last_value(cut IGNORE NULLS) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(cut IGNORE NULLS) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM m),
+t AS (SELECT grp, path, a, b, string_agg(node::VARCHAR, ',' ORDER BY step) AS allele FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)
+SELECT grp, a AS "left", b AS "right", count(DISTINCT allele)::BIGINT AS alleles, count(*)::BIGINT AS paths FROM t GROUP BY ALL""")
+def bubble_alleles(spark, d):
+    """Distinct traversals between the places that no edge jumps over."""
+    step = F.col("step").cast("long")
+    layers = order_steps(spark, d).select((F.col("path") % 5).alias("grp"), "path", step.alias("step"), (10 * step + F.when(step % 2 == 0, 0).otherwise(F.col("node") % 3)).alias("node"))
+    cuts = G.cut_points(N.edges(layers, ["grp", "path"], "step").select("grp", "src", "dst").distinct(), "grp")
+    return G.bubbles(layers, cuts, "grp", "path", "step", "node")
+
+
+#: Alleles of parts along a reference of a brand, and their trimmed form.
+REFERENCE = "ACGTTGCAACGGTACCATGC"
+ALLELES_SQL = f"""r AS (SELECT p_partkey AS id, p_brand AS brand, (p_partkey % 14)::INT AS pos, substr('{REFERENCE}', (1 + p_partkey % 14)::BIGINT, (1 + p_size % 4)::BIGINT) AS ref FROM part WHERE p_partkey % 8 < 5),
+v AS (SELECT *, CASE id % 5 WHEN 0 THEN ref || 'CG' WHEN 1 THEN substr(ref, 1, 1) WHEN 2 THEN substr(ref, 1, 1) || 'A' || substr(ref, 2) WHEN 3 THEN substr(ref, 1, length(ref) - 1) || 'T' ELSE substr(ref, 1, 1) || ref END AS alt FROM r),
+u AS (SELECT *, len(list_filter(range(1, least(length(ref), length(alt)) + 1), lambda i: right(ref, i) = right(alt, i))) AS z FROM v),
+q AS (SELECT *, substr(ref, 1, length(ref) - z) AS r1, substr(alt, 1, length(alt) - z) AS a1 FROM u),
+k AS (SELECT *, len(list_filter(range(1, least(length(r1), length(a1)) + 1), lambda i: substr(r1, 1, i) = substr(a1, 1, i))) AS y FROM q),
+t AS (SELECT id, brand, pos, ref, alt, pos + y AS s, pos + y + length(r1) - y AS e, substr(a1, y + 1) AS ins FROM k)"""
+
+
+def alleles(spark, d, p=""):
+    k = F.col("p_partkey")
+    ref = F.substr(F.lit(REFERENCE), (1 + k % 14).cast("int"), (1 + F.col("p_size") % 4).cast("int"))
+    rows = table(spark, d, "part").where(k % 8 < 5).select(k.alias("id"), F.col("p_brand").alias("brand"), (k % 14).cast("int").alias("pos"), ref.alias("ref"))
+    first, n = F.substr("ref", F.lit(1), F.lit(1)), F.length("ref")
+    alt = F.when(F.col("id") % 5 == 0, F.concat("ref", F.lit("CG"))).when(F.col("id") % 5 == 1, first).when(F.col("id") % 5 == 2, F.concat(first, F.lit("A"), F.substr("ref", F.lit(2), n))).when(F.col("id") % 5 == 3, F.concat(F.substr("ref", F.lit(1), n - 1), F.lit("T"))).otherwise(F.concat(first, F.col("ref")))
+    return rows.withColumn("alt", alt).withColumn("end", F.col("pos") + n).toDF(*(f"{p}{c}" for c in ("id", "brand", "pos", "ref", "alt", "end")))
+
+
+@query("allele_conflicts", f"""WITH {ALLELES_SQL},
+p AS (SELECT x.id AS id_a, y.id AS id_b, x.s AS s1, x.e AS e1, x.ins AS i1, y.s AS s2, y.e AS e2, y.ins AS i2, CASE
+  WHEN x.s = x.e AND y.s = y.e THEN x.s = y.s
+  WHEN x.s = x.e THEN (y.s < x.s AND x.s < y.e) OR (x.s = y.e AND ends_with(y.ins, x.ins)) OR (x.s = y.s AND starts_with(y.ins, x.ins))
+  WHEN y.s = y.e THEN (x.s < y.s AND y.s < x.e) OR (y.s = x.e AND ends_with(x.ins, y.ins)) OR (y.s = x.s AND starts_with(x.ins, y.ins))
+  ELSE greatest(x.s, y.s) < least(x.e, y.e) END AS changed,
+  substr('{REFERENCE}', 1, x.pos) || x.alt || substr('{REFERENCE}', x.pos + length(x.ref) + 1) = substr('{REFERENCE}', 1, y.pos) || y.alt || substr('{REFERENCE}', y.pos + length(y.ref) + 1) AS one
+  FROM t x JOIN t y ON x.brand = y.brand AND x.id < y.id AND x.pos < y.pos + length(y.ref) AND y.pos < x.pos + length(x.ref))
+SELECT id_a, id_b, changed OR one AS conflict FROM p""")
+def allele_conflicts(spark, d):
+    """Pairs of a brand's alleles whose reference spans overlap, and whether they exclude each other."""
+    pairs = I.overlap_join(alleles(spark, d, "a_"), alleles(spark, d, "b_"), ("a_brand", "b_brand"), ("a_pos", "a_end"), ("b_pos", "b_end"), 8).where("a_id < b_id")
+    bad = H.conflict(*(F.col(c) for c in ("a_pos", "a_ref", "a_alt", "b_pos", "b_ref", "b_alt")))
+    return pairs.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), bad.alias("conflict"))
