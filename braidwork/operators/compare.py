@@ -184,21 +184,51 @@ def signed_rank(df: DataFrame, by: Names, diff: str) -> DataFrame:
     return counted.groupBy(*keys).applyInPandas(run, fields)
 
 
-def bootstrap_ratio(df: DataFrame, by: Names, num: str, den: str, ident: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+def poisson_edges(most: int = 8) -> list[float]:
+    """Chances of at most 0, 1, ... of a Poisson number of mean 1; one that is above all of them counts as most."""
+    edges, at, term = [], 0.0, math.exp(-1.0)
+    for k in range(most):
+        at += term
+        edges.append(at)
+        term /= k + 1
+    return edges
+
+
+def uniform_by_md5(seed: int, draw: Column, ident: Column) -> Column:
+    """A number between 0 and 1 of 52 bits of an MD5 digest, which other engines have too; slower than the hash of bootstrap_ratio."""
+    bits = F.conv(F.substr(F.md5(F.concat_ws("/", F.lit(str(seed)), draw.cast("string"), ident.cast("string"))), F.lit(1), F.lit(13)), 16, 10)
+    return (bits.cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
+def bootstrap_difference(df: DataFrame, by: Names, diff: str, ident: str, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """(by, n, total, low, high): the sum of paired differences and its interval over draws of as many differences.
+
+    Draws weigh each difference by a Poisson number; a draw's sum is its mean times n, so the number drawn doesn't spread it.
+    Null differences are left out.
+    """
+    keys = _list(by)
+    found = df.where(F.col(diff).isNotNull()).withColumn("one_", F.lit(1))
+    means = bootstrap_ratio(found, keys, diff, "one_", ident, draws, seed, uniform_by_md5)
+    counted = found.groupBy(*(F.col(k).alias(f"{k}___") for k in keys)).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}___"))
+    return means.join(counted, same).select(*keys, "n", *((F.col(a) * F.col("n")).alias(b) for a, b in (("ratio", "total"), ("low", "low"), ("high", "high"))))
+
+
+def bootstrap_ratio(df: DataFrame, by: Names, num: str, den: str, ident: str, draws: int = 1000, seed: int = 7, uniform=None) -> DataFrame:
     """(by, ratio, low, high): ratio of sums and its interval over draws that weigh each row by a Poisson number.
 
     The number comes from a hash of seed, draw and id, so it is the same wherever the row is; each row meets each draw in
     its own task and only sums by draw are shuffled.
     """
     keys = _list(by)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(ident)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    edges, at, term = [], 0.0, math.exp(-1.0)
-    for k in range(8):
-        at += term
-        edges.append(at)
-        term /= k + 1
+    if uniform:
+        u = uniform(seed, F.col("draw"), F.col(ident))
+    else:
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(ident)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     weight = F.lit(0)
-    for e in edges:
+    for e in poisson_edges():
         weight = weight + F.when(u > e, 1).otherwise(0)
     sums = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w_", weight).groupBy(*keys, "draw").agg(F.sum(F.col("w_") * F.col(num)).alias("n_"), F.sum(F.col("w_") * F.col(den)).alias("d_"))
     s = F.sort_array(F.collect_list(F.try_divide("n_", "d_")))

@@ -159,6 +159,20 @@ def bootstrap_ratio(spark, d):
     return C.bootstrap_ratio(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey")
 
 
+WEIGHT_SQL = " + ".join(f"(u > {e!r}::DOUBLE)::INT" for e in C.poisson_edges())
+
+
+@query("bootstrap_difference", f"""WITH {RESULTS_SQL}, p AS (SELECT a.method, a.region, a.value - b.value AS diff FROM r a JOIN r b ON a.region = b.region AND b.method = '1-URGENT' AND a.method <> '1-URGENT'),
+x AS (SELECT method, draw, diff, (('0x' || substr(md5('7/' || draw || '/' || region), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM p, (SELECT unnest(generate_series(1, 2000)) AS draw)),
+s AS (SELECT method, draw, sum(({WEIGHT_SQL}) * diff) / nullif(sum({WEIGHT_SQL}), 0) AS m FROM x GROUP BY ALL),
+l AS (SELECT method, list_sort(list(m) FILTER (m IS NOT NULL)) AS m FROM s GROUP BY method), n AS (SELECT method, count(*) AS n, avg(diff) AS mean FROM p WHERE diff IS NOT NULL GROUP BY method)
+SELECT method, n::BIGINT AS n, round(mean * n, 2) AS total, round(m[floor(len(m) * 0.025)::INT + 1] * n, 2) AS low, round(m[ceil(len(m) * 0.975)::INT] * n, 2) AS high FROM l JOIN n USING (method)""")
+def bootstrap_difference(spark, d):
+    """Each method's sum of differences to the baseline by region, with its interval over 2000 draws of regions."""
+    pairs = C.paired(results(spark, d), "region", "method", "value", "1-URGENT").select("method", "region", "diff")
+    return C.bootstrap_difference(pairs, "method", "diff", "region").withColumns({c: F.round(c, 2) for c in ("total", "low", "high")})
+
+
 @query("micro_average_by_bin", """WITH x AS (SELECT CASE WHEN n_chars < 1000 THEN 'a' WHEN n_chars < 10000 THEN 'b' ELSE 'c' END AS bin, quality, toxic FROM documents JOIN labels USING (doc_id))
 SELECT coalesce(bin, 'all') AS bin, sum(quality * (1 - toxic))::BIGINT AS tp, sum(quality * toxic)::BIGINT AS fp, sum(1 - quality)::BIGINT AS fn FROM x GROUP BY ROLLUP (bin)""")
 def micro_average_by_bin(spark, d):
