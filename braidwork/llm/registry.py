@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chat, ef_trie, langid, minhash, mixing, packing, quality_rules, rule_ensemble, simhash, suffix_dedup
+from braidwork.llm import chat, collocations, ef_trie, fim, langid, minhash, mixing, packing, prefix_bpe, quality_rules, rule_ensemble, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_prefix_bpe": prefix_bpe.op11_prefix_bpe,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLES = {
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op12_phrase_collocations": collocations.OP12_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
