@@ -22,54 +22,69 @@ from pyspark.sql import DataFrame, SparkSession
 from braidwork.llm.common import numbered, table, text_or_empty
 
 #: Pieces up to so many characters are remembered, so many of them, and so many pairs of tokens.
-SHORT, REMEMBERED = 64, 300_000
+SHORT, REMEMBERED, PAIRS = 64, 300_000, 1_000_000
 
 
 class Vocabulary:
     """Tokens and their ranks (their ids): a dict of bytes to int that holds all 256 single bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import ahocorasick
+
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.ending: list[tuple[dict, int]] = [({}, -1)]  # a trie of reversed tokens: (byte -> node, token that begins here or -1)
+        self.sizes = {i: len(t) for t, i in ranks.items()}
+        self.pairs: dict[int, bool] = {}
+        self.ending = ahocorasick.Automaton()  # of tokens that merging makes, bytes as the first 256 characters
         for token, i in ranks.items():
-            if self.merged(token) == [i]:  # the others are never made by merging
-                self._add(token, i)
-
-    def _add(self, token: bytes, i: int) -> None:
-        node = 0
-        for b in reversed(token):
-            step = self.ending[node][0]
-            if b not in step:
-                step[b] = len(self.ending)
-                self.ending.append(({}, -1))
-            node = step[b]
-        self.ending[node] = (self.ending[node][0], i)
+            if self.merged(token) == [i]:
+                self.ending.add_word(token.decode("latin-1"), i)
+        self.ending.make_automaton()
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by the rule that defines it: join the neighbours of least rank, the leftmost first, until none can be joined."""
+        none = 1 << 40
+        known = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(data) << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if parts[at] + parts[at + 1] not in self.ranks:
-                break
+        ranks = [known(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = known(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = known(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+        known = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 32 | b] = known
         return known
 
+    def last_tokens(self, data: bytes, before: list[int]) -> list[int]:
+        """The last tokens of the prefixes of data that end behind its first len(before) bytes, whose own are before.
+
+        Where data is not the whole, it must begin a longest token's length or more before the first that is asked for.
+        """
+        last, known, sizes, done = before + [-1] * (len(data) - len(before)), self.pairs.get, self.sizes, len(before)
+        for end, token in self.ending.iter(data.decode("latin-1")):  # ends go up; all tokens that end there come in a row
+            if end >= done and last[end] < 0:
+                at = end - sizes[token]
+                if at < 0:
+                    last[end] = token
+                else:
+                    valid = known(last[at] << 32 | token)
+                    if valid or (valid is None and self.may_follow(last[at], token)):
+                        last[end] = token
+        return last[done:]
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of little-endian unsigned 32-bit ids."""
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
@@ -84,21 +99,9 @@ class Prefixes:
 
     def _fill(self, stop: int) -> None:
         """Entries up to prefix length stop, from the first that is missing."""
-        ending, may_follow, data, last, bytes_of = self.vocabulary.ending, self.vocabulary.may_follow, self.data, self.last, self.vocabulary.bytes_of
-        for end in range(len(last) + 1, stop + 1):
-            node, start, found = 0, end, []
-            while start:
-                node = ending[node][0].get(data[start - 1])
-                if node is None:
-                    break
-                start -= 1
-                if ending[node][1] >= 0:
-                    found.append(ending[node][1])
-            for token in reversed(found):  # the longest first: it is the one most often
-                before = end - len(bytes_of[token])
-                if not before or may_follow(last[before - 1], token):
-                    last.append(token)
-                    break
+        done = len(self.last)
+        start = max(0, done - 2 * self.vocabulary.longest)  # tokens that begin before can't end behind done
+        self.last.extend(self.vocabulary.last_tokens(bytes(self.data[start:stop]), self.last[start:].tolist()))
 
     def append(self, data: bytes) -> None:
         """Exact: entries of the prefixes there are stay as they are."""
@@ -113,14 +116,17 @@ class Prefixes:
         self.data[start:stop] = data
         self.last = old[:start]
         edited, same = start + len(data), 0
-        while len(self.last) < len(self.data):
-            self._fill(len(self.last) + 1)
-            at = len(self.last)
+        ahead = 0
+        while len(self.last) < len(self.data) or ahead:
+            if not ahead:
+                ahead = min(64, len(self.data) - len(self.last))
+                self._fill(len(self.last) + ahead)
+            at, ahead = len(self.last) - ahead + 1, ahead - 1
             # Behind the edit, an entry follows from the entries and bytes of one token's length before it.
-            same = same + 1 if at > edited and self.last[-1] == old[at - shift - 1] else 0
+            same = same + 1 if at > edited and self.last[at - 1] == old[at - shift - 1] else 0
             if same >= longest:
                 made = at - start
-                self.last += old[at - shift :]
+                self.last[at:] = old[at - shift :]
                 return made
         return len(self.data) - start
 
@@ -160,6 +166,7 @@ class Encoder(dict):
 
         super().__init__()
         self.vocabulary, self.pattern, self.table = vocabulary, regex.compile(pattern), stand_ins()
+        self.older: dict[str, bytes] = {}
         self.cut, self.same = self.pattern.findall, frozenset(map(chr, self.table)).isdisjoint
 
     def shown(self, text: str) -> str:
@@ -167,11 +174,14 @@ class Encoder(dict):
         return text if text.isascii() or self.same(text) else text.translate(self.table)
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)  # a piece that is a token is that token, even if merging would not make it
-        ids = (array("I", [whole]) if whole is not None else Prefixes(self.vocabulary, data).tokens()).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode()
+            whole = self.vocabulary.ranks.get(data)  # a piece that is a token is that token, even if merging would not make it
+            ids = (array("I", [whole]) if whole is not None else Prefixes(self.vocabulary, data).tokens()).tobytes()
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)  # what is still met moves over from there
                 self.clear()
             self[piece] = ids
         return ids
