@@ -13,9 +13,12 @@ written otherwise (escape), so that no byte of a word sorts between a phrase and
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,17 +26,24 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.common import materialize, partitions, table, text_or_empty
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 MAX_N, MIN_COUNT, TOP = 4, 30, 2000
 #: A candidate falls to a longer one that holds it with so many hundredths of its count.
 INSIDE = 80
 SCALE = 2_000_000
 #: Distinct suffixes that a task counts before it hands them on.
 COUNTED = 400_000
+#: Languages that a task counts beside each other before it hands on what it has.
+LANGUAGES = 100
 #: Sampled suffixes a range, about.
 PER_RANGE = 64
 #: Parts are joined over so many salts: a word that many phrases begin or end with is dealt over as many tasks.
 SALTS = 16
 END = b"\0"
+PIECE_ENDS = re.compile(rb"[.,;:!?\n-\r]+").split
 
 
 def escape(data: bytes) -> bytes:
@@ -44,56 +54,77 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\1\2"), F.lit("\0")), F.lit("\1\3"), F.lit("\1"))
 
 
-def suffixes(text: bytes, lang: bytes, max_n: int = MAX_N) -> Iterator[bytes]:
-    """Keys of the suffixes of a text's pieces, cut after max_n words. A-Z are taken in lower case; other letters as they are."""
-    import re
-
-    for piece in re.split(rb"[.,;:!?\n-\r]+", escape(text.lower())):
+def suffixes(text: bytes, max_n: int = MAX_N) -> list[bytes]:
+    """The suffixes of a text's pieces, cut after max_n words. A-Z are taken in lower case; other letters as they are."""
+    out: list[bytes] = []
+    join = END.join
+    for piece in PIECE_ENDS(escape(text.lower())):
         words = piece.split()  # a piece holds no white space but space and tab
-        if words:
-            ahead = [words[i:] for i in range(max_n)]
-            ahead[0] = [lang + END + w for w in words]
-            yield from map(END.join, zip(*ahead, strict=False))
-            for i in range(max(0, len(words) - max_n + 1), len(words)):
-                yield END.join([lang, *words[i:]])
+        if len(words) >= max_n:
+            out += map(join, zip(words, *[words[i:] for i in range(1, max_n)], strict=False))
+            words = words[len(words) - max_n + 1 :]
+        out += [join(words[i:]) for i in range(len(words))]
+    return out
 
 
-def prefix_counts(rows: Iterable[tuple[bytes, int]], least: int) -> Iterator[tuple[bytes, int, int]]:
-    """(prefix, words in it, count) of keys in reverse order, by one stack; the prefix of 0 words is the language.
+class OpenPrefixes:
+    """Counts the prefixes of keys that come in reverse order, with one stack of those that may still go on.
 
-    Prefixes of fewer than least are left out, unless they are on the path of the first or last key: these may go on in a
-    neighbouring range.
+    The stack is kept from batch to batch; within a batch, a level of it is a column of numbers: a prefix of so many words is
+    closed where a key shares fewer with the one before. Results are (prefix, words in it, count); the prefix of 0 words is the
+    language. Prefixes of fewer than least are left out, unless they are on the path of the first or the last key: these may go on
+    in a neighbouring range.
     """
-    path: list[bytes] = []
-    counts: list[int] = []
-    edge = -1  # so many levels of the path are the first key's still
-
-    def close(depth: int, edge: int, last: bool = False) -> Iterator[tuple[bytes, int, int]]:
-        while len(path) > depth:
-            n = counts.pop()
-            if n >= least or last or len(path) <= edge:
-                yield END.join(path), len(path) - 1, n
-            if counts:
-                counts[-1] += n
-            path.pop()
-
-    for key, n in rows:
-        parts = key.split(END)
-        common = 0
-        for a, b in zip(path, parts, strict=False):
-            if a != b:
-                break
-            common += 1
-        if common < len(path):
-            yield from close(common, edge)
-            edge = min(edge, common)
-        new = parts[common:]
-        path += new
-        counts += [0] * len(new)
-        counts[-1] += n
-        if edge < 0:
-            edge = len(path)
-    yield from close(0, edge, last=True)
+
+    def __init__(self, least: int):
+        self.least = least
+        self.key: bytes | None = None  # the last key, whose prefixes are open
+        self.counts: list[int] = []  # of these, by their number of parts less one
+        self.edge: list[bool] = []  # whether they are the first key's too
+
+    def add(self, keys: pa.BinaryArray, n: np.ndarray) -> list[tuple[bytes, int, int]]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(keys):
+            return []
+        if self.key is None:
+            self.key = keys[0].as_py()
+            depth = self.key.count(END) + 1
+            self.counts, self.edge = [0] * depth, [True] * depth
+        keys = pa.concat_arrays([pa.array([self.key], pa.binary()), keys])
+        n = np.concatenate([[0], n])
+        split = pc.split_pattern(keys, pattern=END)
+        ends = split.offsets.to_numpy()
+        sizes, codes = np.diff(ends), split.flatten().dictionary_encode().indices.to_numpy()
+        depth = int(sizes.max())
+        table = np.full((len(keys), depth), -1, np.int32)
+        table[np.repeat(np.arange(len(keys)), sizes), np.arange(len(codes)) - np.repeat(ends[:-1] - ends[0], sizes)] = codes
+        same = (table[1:] == table[:-1]) & (table[1:] >= 0)
+        common = np.concatenate([[0], np.cumprod(same, axis=1).sum(axis=1)])  # parts shared with the key before
+        found, counts, edge = [], [], []
+        for level in range(depth):
+            starts = np.flatnonzero(common <= level)
+            weights = n.copy()
+            weights[0] = self.counts[level] if level < len(self.counts) else 0
+            sums = np.add.reduceat(weights, starts)
+            real = sizes[starts] > level
+            shown = real & (sums >= self.least)
+            shown[0] |= real[0] and self.edge[level]
+            if real[-1]:
+                shown[-1] = False  # still open
+                counts.append(int(sums[-1]))
+                edge.append(len(starts) == 1 and self.edge[level])
+            for at in np.flatnonzero(shown):
+                parts = keys[int(starts[at])].as_py().split(END)[: level + 1]
+                found.append((END.join(parts), level, int(sums[at])))
+        self.key, self.counts, self.edge = keys[len(keys) - 1].as_py(), counts, edge
+        return found
+
+    def close(self) -> list[tuple[bytes, int, int]]:
+        parts = self.key.split(END) if self.key is not None else []
+        return [(END.join(parts[: level + 1]), level, n) for level, n in enumerate(self.counts)]
 
 
 def counted(docs: DataFrame, bounds: list[bytes], lang: str, text: str, max_n: int) -> DataFrame:
@@ -103,27 +134,31 @@ def counted(docs: DataFrame, bounds: list[bytes], lang: str, text: str, max_n: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        found: Counter = Counter()
+        found: dict[bytes, Counter] = {}
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            keys = sorted(found)
-            counts = list(map(found.__getitem__, keys))
+            for language, own in sorted(found.items()):
+                head = language + END
+                words = sorted(own)
+                inner = [b[len(head) :] for b in bounds if b.startswith(head)]  # bounds of this language, without its name
+                first = bisect_left(bounds, head)
+                cuts = [0, *(bisect_left(words, b) for b in inner), len(words)]
+                ranges = np.repeat(np.arange(first, first + len(inner) + 1, dtype=np.int32), np.diff(cuts))
+                for i in range(0, len(words), 50_000):
+                    some = words[i : i + 50_000]
+                    keys = pc.binary_join_element_wise(pa.scalar(language, pa.binary()), pa.array(some, pa.binary()), pa.scalar(END, pa.binary()))
+                    yield pa.RecordBatch.from_pydict({"range_": pa.array(ranges[i : i + 50_000]), "key": keys, "n": pa.array(map(own.__getitem__, some), pa.int64())})
             found.clear()
-            for i in range(0, len(keys), 50_000):
-                own = keys[i : i + 50_000]
-                first, last = bisect_right(bounds, own[0]), bisect_right(bounds, own[-1])
-                cuts = [0, *(bisect_left(own, b) for b in bounds[first:last]), len(own)]
-                ranges = np.repeat(np.arange(first, last + 1, dtype=np.int32), np.diff(cuts))
-                yield pa.RecordBatch.from_pydict({"range_": pa.array(ranges), "key": pa.array(own, pa.binary()), "n": pa.array(counts[i : i + 50_000], pa.int64())})
 
         for batch in batches:
             for language, whole in zip(batch.column(0), batch.column(1), strict=True):
-                found.update(suffixes(whole.as_py(), escape(language.as_py()), max_n))
-                if len(found) >= COUNTED:
+                name = escape(language.as_py())
+                found.setdefault(name, Counter()).update(suffixes(whole.as_py(), max_n))
+                if len(found[name]) >= COUNTED or len(found) > LANGUAGES:
                     yield from hand_on()
-        if found:
-            yield from hand_on()
+        yield from hand_on()
 
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang_"), text_or_empty(text).cast("binary").alias("text_"))
     return read.mapInArrow(run, "range_ int, key binary, n long")
@@ -149,16 +184,15 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        rows = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        out: list[tuple[bytes, int, int]] = []
-        pack = lambda: pa.RecordBatch.from_pydict(dict(zip(("key", "words", "f"), (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int64()), strict=True)), strict=True)))
-        for row in prefix_counts(rows, min_count):
-            out.append(row)
-            if len(out) == 10_000:
-                yield pack()
-                out.clear()
-        if out:
-            yield pack()
+        stack = OpenPrefixes(min_count)
+
+        def packed(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+            key, words, f = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.binary()), "words": pa.array(words, pa.int32()), "f": pa.array(f, pa.int64())})
+
+        for batch in batches:
+            yield packed(stack.add(batch.column(0), batch.column(1).to_numpy()))
+        yield packed(stack.close())
 
     dealt = counted(docs, bounds, lang, text, max_n).repartitionById(len(bounds) + 1, "range_").select("key", "n")
     parts = dealt.sortWithinPartitions(F.col("key").desc()).mapInArrow(run, "key binary, words int, f long")

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from braidwork.llm import collocations as C
@@ -60,16 +62,26 @@ def test_the_stack_counts_all_prefixes():
             for k in range(1, len(parts) + 1):
                 want[b"\0".join(parts[:k]), k - 1] += n
         order = sorted(keys.items(), reverse=True)
-        found = list(C.prefix_counts(order, 1))
+        found = stacked(rng, order, 1)
         assert {(p, k): n for p, k, n in found} == dict(want) and len(found) == len(want)
         # cut anywhere, with a threshold: no count that reaches it is lost
         at, total = rng.randint(0, len(order)), Counter()
         for part in (order[:at], order[at:]):
-            for p, k, n in C.prefix_counts(part, 6):
+            for p, k, n in stacked(rng, part, 6):
                 total[p, k] += n
         assert {x: n for x, n in total.items() if n >= 6} == {x: n for x, n in want.items() if n >= 6}
 
 
+def stacked(rng, order, least):
+    """In batches of any sizes."""
+    stack, out, at = C.OpenPrefixes(least), [], 0
+    while at < len(order):
+        some = order[at : at + rng.randint(1, 6)]
+        out += stack.add(pa.array([k for k, _ in some], pa.binary()), np.array([n for _, n in some]))
+        at += len(some)
+    return out + stack.close()
+
+
 def test_against_dictionaries(spark):
     for seed, n in ((1, 400), (2, 60)):
         rows = random_rows(seed, n)
