@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.operators import haplotypes as H
 from braidwork.operators import panels as P
 from braidwork.operators import records as R
 from braidwork.queries.base import query, table
@@ -88,3 +89,36 @@ def calls(spark, d):
 def chosen_truth(spark, d):
     """Which calls of two sources are applied on each haplotype, the second filling only where the first leaves room."""
     return R.chosen_truth(calls(spark, d), "region")
+
+
+#: Spans of 31 bases of a reference that repeats ten; alleles that delete, insert, replace, or can't be applied.
+ALLELES_SQL = """n AS (SELECT id, l_partkey AS part, day AS pos, day // 40 * 40 + 5 AS low, day // 40 * 40 + 35 AS high, substr(repeat('ACGTTGCAAC', 6), day % 10 + 1, 1 + l_partkey % 26) AS base FROM numbered),
+alleles AS (SELECT id, pos, low, high, substr(repeat('ACGTTGCAAC', 8), low % 10 + 1, 31) AS refseq, CASE WHEN part % 17 = 0 THEN substr(base, 1, 1) || 'N' || substr(base, 3) ELSE base END AS ref,
+  CASE part % 9 WHEN 0 THEN substr(base, 1, 1) WHEN 1 THEN base || 'GT' WHEN 2 THEN 'TC' WHEN 3 THEN '*' WHEN 4 THEN '<DEL>' WHEN 5 THEN substr(base, 1, 1) || 'TTG' || substr(base, 2) WHEN 6 THEN substr(base, 1, 2) || 'GGGTTTGGG' WHEN 7 THEN base END AS alt FROM n),
+tail AS (SELECT *, coalesce(alt, '') AS alt0, len(list_filter(range(1, least(length(ref), length(coalesce(alt, ''))) + 1), lambda x: right(ref, x) = right(alt, x))) AS k FROM alleles),
+head AS (SELECT *, left(ref, length(ref) - k) AS r1, left(alt0, length(alt0) - k) AS a1 FROM tail),
+cut AS (SELECT *, len(list_filter(range(1, least(length(r1), length(a1)) + 1), lambda x: left(r1, x) = left(a1, x))) AS j FROM head),
+t AS (SELECT *, pos + j AS s, pos + length(r1) AS e, substr(r1, j + 1) AS tr, substr(a1, j + 1) AS ta, pos + length(ref) - 1 AS last, pos >= low AND pos + length(ref) - 1 <= high AS inside FROM cut),
+judged AS (SELECT *, CASE WHEN alt IS NULL THEN 'no_allele' WHEN alt = '*' THEN 'star' WHEN NOT regexp_full_match(alt, '[ACGTN]+') THEN 'symbolic'
+  WHEN greatest(pos, low) <= least(last, high) AND substr(ref, greatest(pos, low) - pos + 1, least(last, high) - greatest(pos, low) + 1) <> substr(refseq, greatest(pos, low) - low + 1, least(last, high) - greatest(pos, low) + 1) THEN 'ref_mismatch'
+  WHEN inside THEN 'ok' WHEN s = e THEN CASE WHEN low < s AND s <= high THEN 'ok' ELSE 'edge_insertion' END WHEN e - 1 < low OR s > high THEN 'outside' ELSE 'ok' END AS effect,
+  CASE WHEN inside OR s = e THEN 0 ELSE greatest(low - s, 0) END AS l, CASE WHEN inside OR s = e THEN 0 ELSE greatest(e - 1 - high, 0) END AS r FROM t)"""
+
+
+@query("allele_effects", f"""WITH {CALLS_SQL.split("calls AS")[0]} {ALLELES_SQL}
+SELECT id, effect, effect = 'ok' AND (l > 0 OR r > 0) AS crossing, CASE WHEN effect = 'ok' THEN s + l END AS pos, CASE WHEN effect = 'ok' THEN substr(tr, l + 1, length(tr) - l - r) END AS ref,
+       CASE WHEN effect = 'ok' THEN substr(ta, l + 1, greatest(length(ta) - l - r, 0)) END AS alt FROM judged""")
+def allele_effects(spark, d):
+    """What each allele changes of a span, clipped at its edges, or why it can't."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+    number = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order))
+    n = table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + number).alias("id"), F.col("l_partkey").alias("part"), days("l_shipdate").alias("pos"))
+    pos, part = F.col("pos"), F.col("part")
+    n = n.withColumn("low", F.floor(pos / 40) * 40 + 5).withColumn("base", F.substr(F.repeat(F.lit("ACGTTGCAAC"), F.lit(6)), (pos % 10 + 1).cast("int"), (1 + part % 26).cast("int")))
+    base, first = F.col("base"), F.substr(F.col("base"), F.lit(1), F.lit(1))
+    alts = [first, F.concat(base, F.lit("GT")), F.lit("TC"), F.lit("*"), F.lit("<DEL>"), F.concat(first, F.lit("TTG"), F.substr(base, F.lit(2))), F.concat(F.substr(base, F.lit(1), F.lit(2)), F.lit("GGGTTTGGG")), base]
+    ref = F.when(part % 17 == 0, F.concat(first, F.lit("N"), F.substr(base, F.lit(3)))).otherwise(base)
+    refseq = F.substr(F.repeat(F.lit("ACGTTGCAAC"), F.lit(8)), (F.col("low") % 10 + 1).cast("int"), F.lit(31))
+    a = n.select("id", "pos", "low", ref.alias("ref"), F.get(F.array(*alts), (part % 9).cast("int")).alias("alt"), refseq.alias("refseq"))
+    effect = H.allele_effect(F.col("pos"), F.col("ref"), F.col("alt"), F.col("low"), F.col("low") + 30, F.col("refseq"))
+    return a.select("id", effect.alias("x")).select("id", "x.*")

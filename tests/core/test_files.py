@@ -84,7 +84,19 @@ def test_sequence_functions(spark):
     assert [tuple(one(spark, S.anchor(lit(x)))) for x in (">12", "12-")] == [(12, False), (12, True)]
     assert [tuple(x) for x in one(spark, S.cigar_operations(lit("3=1X2D")))] == [(3, "="), (1, "X"), (2, "D")]
     effect = lambda p, r, a: one(spark, H.allele_effect(lit(p), lit(r), lit(a), lit(10), lit(14), lit("ACGTA"))).effect
-    assert [effect(*x) for x in ((11, "C", "T"), (11, "G", "T"), (9, "A", "T"), (11, "C", "*"), (11, "C", "<DEL>"), (10, "A", "AT"), (14, "A", "AT"))] == ["ok", "ref_mismatch", "outside", "star", "symbolic", "ok", "edge_insertion"]
+    assert [effect(*x) for x in ((11, "C", "T"), (11, "G", "T"), (9, "A", "T"), (11, "C", "*"), (11, "C", "<DEL>"), (10, "A", "AT"), (14, "A", "AT"))] == ["ok", "ref_mismatch", "outside", "star", "symbolic", "ok", "ok"]
+
+
+def test_alleles_clipped_to_a_span(spark):
+    """Span 10 to 19 of reference ACGTTGCAAC: deletions and replacements over its edges, insertions at them, padding alone inside."""
+    cases = [
+        (5, "NNNNNNACGTT", "N", ("ok", True, 10, "ACGTT", "")), (18, "ACAA", "GG", ("ok", True, 18, "AC", "")), (18, "ACAA", "GGTTCC", ("ok", True, 18, "AC", "GGTT")),
+        (19, "CA", "CTTTA", ("edge_insertion", False, None, None, None)), (19, "C", "CTTT", ("ok", False, 20, "", "TTT")), (19, "CACGT", "C", ("outside", False, None, None, None)),
+        (9, "ACGT", "A", ("ref_mismatch", False, None, None, None)), (9, "TA", "T", ("ok", False, 10, "A", "")), (11, "C", None, ("no_allele", False, None, None, None)), (11, "C", "x", ("symbolic", False, None, None, None)),
+    ]
+    rows = spark.createDataFrame([(i, p, r, a) for i, (p, r, a, _) in enumerate(cases)], "i int, pos int, ref string, alt string")
+    made = rows.select("i", H.allele_effect(F.col("pos"), F.col("ref"), F.col("alt"), lit(10), lit(19), lit("ACGTTGCAAC")).alias("x")).collect()
+    assert {r.i: tuple(r.x) for r in made} == {i: want for i, (*_, want) in enumerate(cases)}
 
 
 def test_kmer_excess_golden_case(spark):
