@@ -30,35 +30,43 @@ def redundancy(occurrences: DataFrame, by: Names, path: str, place: Column) -> D
     return per_kmer.groupBy(*keys).agg(F.sum("places").alias("places"), F.sum("copies").alias("copies"), F.sum(F.col("places") - F.col("copies")).alias("extra"))
 
 
-def jaccard(df: DataFrame, by: str, ident: str, seq: str, k: int) -> DataFrame:
-    """(by, id_a, id_b, jaccard): weighted Jaccard similarity of the k-mer counts of rows of one group that share a k-mer.
+def overlaps(counted: DataFrame, rows: DataFrame, by: str, ident: str, item: str) -> DataFrame:
+    """(by, id_a, id_b, n_a, n_b, least): every pair of a group's rows (by, ident), also those that share nothing, with the sums of
+    their counts and of the lesser count of each item; counted: by, ident, item, n.
 
-    The join is on (group, k-mer); the union needs each row's total only, as sum(max) = n_a + n_b - sum(min).
+    Items meet by (group, item); only sums go beside the pairs, as sum(max) = n_a + n_b - least.
     """
-    one = counts(df, [by, ident], seq, k)
-    total = one.groupBy(F.col(by).alias("by_"), F.col(ident).alias("id_")).agg(F.sum("n").alias("total"))
-    a, b = (one.select(F.col(by).alias(f"by_{t}"), F.col(ident).alias(f"id_{t}"), F.col("kmer").alias(f"kmer_{t}"), F.col("n").alias(f"n_{t}")) for t in "ab")
-    shared = a.join(b, (F.col("by_a") == F.col("by_b")) & (F.col("kmer_a") == F.col("kmer_b")) & (F.col("id_a") < F.col("id_b")))
-    least = shared.groupBy("by_a", "id_a", "id_b").agg(F.sum(F.least("n_a", "n_b")).alias("least"))
-    ta, tb = (total.select(F.col("by_").alias(f"g{t}"), F.col("id_").alias(f"i{t}"), F.col("total").alias(f"t{t}")) for t in "ab")
-    joined = least.join(ta, (F.col("by_a") == F.col("ga")) & (F.col("id_a") == F.col("ia"))).join(tb, (F.col("by_a") == F.col("gb")) & (F.col("id_b") == F.col("ib")))
-    return joined.select(F.col("by_a").alias(by), "id_a", "id_b", (F.col("least") / (F.col("ta") + F.col("tb") - F.col("least"))).alias("jaccard"))
+    total = counted.groupBy(by, ident).agg(F.sum("n").alias("n"))
+    every = rows.select(by, ident).distinct().join(total, [by, ident], "left").select(by, ident, F.coalesce("n", F.lit(0)).alias("n"))
+    side = lambda df, t: df.select(F.col(by).alias(f"by_{t}"), F.col(ident).alias(f"id_{t}"), *(F.col(c).alias(f"{c}_{t}") for c in df.columns if c not in (by, ident)))
+    pair = (F.col("by_a") == F.col("by_b")) & (F.col("id_a") < F.col("id_b"))
+    a, b = side(counted.select(by, ident, item, "n"), "a"), side(counted.select(by, ident, item, "n"), "b")
+    shared = a.join(b, pair & (F.col(f"{item}_a") == F.col(f"{item}_b"))).groupBy("by_a", "id_a", "id_b").agg(F.sum(F.least("n_a", "n_b")).alias("least"))
+    pairs = side(every, "a").join(side(every, "b"), pair).select("by_a", "id_a", "id_b", "n_a", "n_b")
+    return pairs.join(shared, ["by_a", "id_a", "id_b"], "left").select(F.col("by_a").alias(by), "id_a", "id_b", "n_a", "n_b", F.coalesce("least", F.lit(0)).alias("least"))
+
+
+def jaccard(df: DataFrame, by: str, ident: str, seq: str, k: int) -> DataFrame:
+    """(by, id_a, id_b, jaccard): weighted Jaccard similarity of the k-mer counts of every pair of a group; 1 if neither has any."""
+    met = overlaps(counts(df, [by, ident], seq, k), df, by, ident, "kmer")
+    union = F.col("n_a") + F.col("n_b") - F.col("least")
+    return met.select(by, "id_a", "id_b", F.when(union > 0, F.col("least") / union).otherwise(1.0).alias("jaccard"))
+
+
+def hashed(kmer: Column) -> Column:
+    """A hash of 60 bits that any engine computes: the first 15 digits of the MD5."""
+    return F.conv(F.substring(F.md5(kmer), 1, 15), 16, 10).cast("long")
 
 
 def sketch(df: DataFrame, keep: Names, seq: str, k: int, scale: int) -> DataFrame:
     """(keep, hash): the distinct k-mer hashes that a fraction 1 / scale of all k-mers have."""
-    return positions(df, keep, seq, k).select(*_list(keep), F.xxhash64("kmer").alias("hash")).where(F.pmod("hash", F.lit(scale)) == 0).distinct()
+    return positions(df, keep, seq, k).select(*_list(keep), hashed(F.col("kmer")).alias("hash")).where(F.col("hash") % scale == 0).distinct()
 
 
 def binned_distance(df: DataFrame, by: str, ident: str, seq: str, k: int, bins: int = 4096) -> DataFrame:
-    """(by, id_a, id_b, l1): L1 distance of hashed k-mer counts, for pairs of a group that share a bin."""
-    binned = positions(df, [by, ident], seq, k).groupBy(by, ident, F.pmod(F.xxhash64("kmer"), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
-    total = binned.groupBy(F.col(by).alias("by_"), F.col(ident).alias("id_")).agg(F.sum("n").alias("t"))
-    a, b = (binned.select(F.col(by).alias(f"by_{t}"), F.col(ident).alias(f"id_{t}"), F.col("bin").alias(f"bin_{t}"), F.col("n").alias(f"n_{t}")) for t in "ab")
-    least = a.join(b, (F.col("by_a") == F.col("by_b")) & (F.col("bin_a") == F.col("bin_b")) & (F.col("id_a") < F.col("id_b"))).groupBy("by_a", "id_a", "id_b").agg(F.sum(F.least("n_a", "n_b")).alias("m"))
-    ta, tb = (total.select(F.col("by_").alias(f"g{t}"), F.col("id_").alias(f"i{t}"), F.col("t").alias(f"t{t}")) for t in "ab")
-    joined = least.join(ta, (F.col("by_a") == F.col("ga")) & (F.col("id_a") == F.col("ia"))).join(tb, (F.col("by_a") == F.col("gb")) & (F.col("id_b") == F.col("ib")))
-    return joined.select(F.col("by_a").alias(by), "id_a", "id_b", (F.col("ta") + F.col("tb") - 2 * F.col("m")).alias("l1"))
+    """(by, id_a, id_b, l1): L1 distance of hashed k-mer counts of every pair of a group."""
+    binned = positions(df, [by, ident], seq, k).groupBy(by, ident, (hashed(F.col("kmer")) % bins).alias("bin")).agg(F.count("*").alias("n"))
+    return overlaps(binned, df, by, ident, "bin").select(by, "id_a", "id_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("least")).alias("l1"))
 
 
 def variable_kmers(df: DataFrame, by: Names, ident: str, seq: str, k: int) -> DataFrame:

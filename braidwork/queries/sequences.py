@@ -42,9 +42,16 @@ def kmer_redundancy(spark, d):
     return K.redundancy(K.positions(names(spark, d), ["p_brand", "p_partkey"], "seq", 3), "p_brand", "p_partkey", F.col("pos"))
 
 
-@query("kmer_jaccard", f"""WITH u AS (SELECT DISTINCT p_brand, upper(p_name) AS s FROM part), k AS (SELECT p_brand, s, substr(s, i::INT, 3) AS kmer, count(*) AS n FROM u, unnest(generate_series(1, length(s) - 2)) t(i) GROUP BY ALL),
-t AS (SELECT p_brand, s, sum(n) AS t FROM k GROUP BY ALL), m AS (SELECT a.p_brand, a.s AS id_a, b.s AS id_b, sum(least(a.n, b.n)) AS m FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.kmer = b.kmer AND a.s < b.s GROUP BY ALL)
-SELECT m.p_brand, id_a, id_b, m::DOUBLE / (x.t + y.t - m)::DOUBLE AS jaccard FROM m JOIN t x ON x.p_brand = m.p_brand AND x.s = id_a JOIN t y ON y.p_brand = m.p_brand AND y.s = id_b""")
+#: Every pair of a brand's distinct names, with their k-mers (or hash bins of them), how many each has and how many they share.
+OVERLAP_SQL = """u AS (SELECT p_brand, upper(p_name) AS s, count(*)::BIGINT AS w FROM part GROUP BY ALL), x AS (SELECT p_brand, s, substr(s, i::INT, 3) AS kmer FROM u, unnest(generate_series(1, length(s) - 2)) t(i)),
+k AS (SELECT p_brand, s, {item} AS item, count(*)::BIGINT AS n FROM x GROUP BY ALL), t AS (SELECT p_brand, s, w, coalesce((SELECT sum(n) FROM k WHERE k.p_brand = u.p_brand AND k.s = u.s), 0)::BIGINT AS n FROM u),
+m AS (SELECT a.p_brand, a.s AS id_a, b.s AS id_b, sum(least(a.n, b.n))::BIGINT AS least FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.item = b.item AND a.s < b.s GROUP BY ALL),
+o AS (SELECT a.p_brand, a.s AS id_a, b.s AS id_b, a.w AS w_a, b.w AS w_b, a.n AS n_a, b.n AS n_b, coalesce(m.least, 0) AS least FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.s < b.s LEFT JOIN m ON m.p_brand = a.p_brand AND m.id_a = a.s AND m.id_b = b.s)"""
+KMER_OVERLAP_SQL, BIN_OVERLAP_SQL = OVERLAP_SQL.format(item="kmer"), OVERLAP_SQL.format(item="('0x' || substr(md5(kmer), 1, 15))::BIGINT % 4096")
+JACCARD_SQL = "CASE WHEN n_a + n_b > 0 THEN least::DOUBLE / (n_a + n_b - least)::DOUBLE ELSE 1.0 END"
+
+
+@query("kmer_jaccard", f"WITH {KMER_OVERLAP_SQL} SELECT p_brand, id_a, id_b, {JACCARD_SQL} AS jaccard FROM o")
 def kmer_jaccard(spark, d):
     """weighted Jaccard similarity of distinct names."""
     return K.jaccard(names(spark, d).select("p_brand", "seq").distinct().withColumn("id", F.col("seq")), "p_brand", "id", "seq", 3)
@@ -57,20 +64,22 @@ def variable_kmers(spark, d):
     return K.variable_kmers(names(spark, d), "p_brand", "p_partkey", "seq", 3)
 
 
-@query("kmer_medoids")
+@query("kmer_medoids", f"""WITH {KMER_OVERLAP_SQL}, sides AS (SELECT p_brand, id_a AS id, w_b * (1 - {JACCARD_SQL}) AS c FROM o UNION ALL SELECT p_brand, id_b, w_a * (1 - {JACCARD_SQL}) FROM o),
+c AS (SELECT u.p_brand, u.s AS id, round(coalesce(sum(c), 0.0), 9) AS c FROM u LEFT JOIN sides ON sides.p_brand = u.p_brand AND sides.id = u.s GROUP BY u.p_brand, u.s)
+SELECT p_brand, arg_min(id, {{'c': c, 'id': id}}) AS medoid FROM c GROUP BY p_brand""")
 def kmer_medoids(spark, d):
     """A29."""
     g = names(spark, d).groupBy("p_brand", "seq").agg(F.count("*").alias("weight"))
     return K.medoids(g.withColumn("id", F.col("seq")), "p_brand", "id", "seq", "weight", 3)
 
 
-@query("kmer_sketch")
+@query("kmer_sketch", f"WITH {KMERS_SQL}, h AS (SELECT DISTINCT p_brand, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM k) SELECT * FROM h WHERE hash % 4 = 0")
 def kmer_sketch(spark, d):
     """F19."""
     return K.sketch(names(spark, d), "p_brand", "seq", 3, 4)
 
 
-@query("binned_kmer_distance")
+@query("binned_kmer_distance", f"WITH {BIN_OVERLAP_SQL} SELECT p_brand, id_a, id_b, n_a + n_b - 2 * least AS l1 FROM o")
 def binned_kmer_distance(spark, d):
     """F21."""
     return K.binned_distance(names(spark, d).select("p_brand", "seq").distinct().withColumn("id", F.col("seq")), "p_brand", "id", "seq", 3)
