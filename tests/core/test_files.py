@@ -95,7 +95,7 @@ def test_alleles_clipped_to_a_span(spark):
         (9, "ACGT", "A", ("ref_mismatch", False, None, None, None)), (9, "TA", "T", ("ok", False, 10, "A", "")), (11, "C", None, ("no_allele", False, None, None, None)), (11, "C", "x", ("symbolic", False, None, None, None)),
     ]
     rows = spark.createDataFrame([(i, p, r, a) for i, (p, r, a, _) in enumerate(cases)], "i int, pos int, ref string, alt string")
-    made = rows.select("i", H.allele_effect(F.col("pos"), F.col("ref"), F.col("alt"), lit(10), lit(19), lit("ACGTTGCAAC")).alias("x")).collect()
+    made = rows.select("i", H.allele_effect(F.col("pos"), F.col("ref"), F.col("alt"), F.lit(10), F.lit(19), F.lit("ACGTTGCAAC")).alias("x")).collect()
     assert {r.i: tuple(r.x) for r in made} == {i: want for i, (*_, want) in enumerate(cases)}
 
 
