@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,24 +40,52 @@ def inflation(found: DataFrame, by: Names, path: str, large: int = 50) -> DataFr
     return per.groupBy(*keys).agg(F.count("*").alias("paths"), F.sum("large_pieces").alias("large_pieces"), F.sum("indel").alias("indel"), F.sum("net").alias("net"))
 
 
-def mosaic(walk: list[int], panel: dict[str, list[int]]) -> list[tuple[str | None, int]]:
-    """(panel walk, steps) of the pieces of a walk, each the longest extension that a panel walk has from there; None for one foreign step."""
-    places: dict[int, list[tuple[str, int]]] = {}
-    for name in sorted(panel):
-        for i, h in enumerate(panel[name]):
-            places.setdefault(h, []).append((name, i))
-    out, at = [], 0
-    while at < len(walk):
-        best: tuple[int, str | None] = (0, None)
-        for name, i in places.get(walk[at], ()):
-            n, other = 0, panel[name]
-            while at + n < len(walk) and i + n < len(other) and walk[at + n] == other[i + n]:
-                n += 1
-            if n > best[0]:
-                best = (n, name)
-        out.append((best[1], max(best[0], 1)))
-        at += max(best[0], 1)
-    return out
+def extensions(walks: DataFrame, panel: DataFrame, by: Names = ()) -> DataFrame:
+    """(by, walk, step, panel, kind, at, upto): each step of a walk that a panel walk also takes, and the step up to which both agree from
+    there on.
+
+    walks: by, walk, step, node; panel: by, panel, kind, step, node; steps count from 0. Steps meet by an equi-join on nodes; agreeing
+    stretches are runs of consecutive steps at one distance between the two walks.
+    """
+    keys = _list(by)
+    other = panel.select(*keys, "panel", "kind", F.col("step").alias("at"), "node")
+    met = walks.select(*keys, "walk", "step", "node").join(other, [*keys, "node"]).withColumn("far", F.col("at") - F.col("step"))
+    line = [*keys, "walk", "panel", "far"]
+    runs = met.withColumn("run", F.col("step") - F.row_number().over(window(line, "step")))
+    return runs.withColumn("upto", F.max("step").over(W.partitionBy(*line, "run"))).select(*keys, "walk", "step", "panel", "kind", "at", "upto")
+
+
+def mosaics(walks: DataFrame, panel: DataFrame, kinds: list[str], by: Names = (), own: str = "sample") -> DataFrame:
+    """(by, walk, label, pieces array<struct<first, last, kind>>, novel): how each walk is made of panel walks.
+
+    A walk is cut into pieces from its begin: each is the longest stretch that a panel walk has from there, ties going to the kind that
+    comes first in kinds; a step that no panel walk takes is a piece of kind novel. label: verbatim if a panel walk of kind own is the
+    whole walk, copy_of_<kind> if only one of another kind is (the first in kinds that does so; kind partial does not count), junction
+    for two pieces of kind own, mosaic_<n> for other numbers of them, else mixed(<kinds of the pieces, joined by +>).
+    """
+    keys = _list(by)
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    found = extensions(walks, panel, keys)
+    sizes = panel.groupBy(*keys, "panel").agg(F.count("*").alias("panel_n"))
+    lengths = walks.groupBy(*keys, "walk").agg(F.count("*").alias("n"))
+    whole = found.where("step = 0 AND at = 0").join(sizes, [*keys, "panel"]).join(lengths, [*keys, "walk"]).where((F.col("upto") + 1 == F.col("n")) & (F.col("panel_n") == F.col("n")) & ((F.col("kind") == own) | (F.col("kind") != "partial")))
+    whole = whole.groupBy(*keys, "walk").agg(F.min(F.struct((F.col("kind") != own).alias("a"), rank.alias("b"), "kind")).alias("whole"))
+    best = found.groupBy(*keys, "walk", "step").agg(F.max(F.struct("upto", (-rank).alias("r"), "kind")).alias("x"))
+    each = walks.select(*keys, "walk", "step").join(best, [*keys, "walk", "step"], "left").select(*keys, "walk", F.struct("step", F.coalesce("x.upto", "step").alias("upto"), F.coalesce("x.kind", F.lit("novel")).alias("kind")).alias("s"))
+    piece = "struct<first: bigint, last: bigint, kind: string>"
+
+    def taken(state: Column, s: Column) -> Column:
+        new = F.struct(s["step"].cast("long").alias("first"), s["upto"].cast("long").alias("last"), s["kind"].alias("kind"))
+        more = F.struct((s["upto"] + 1).cast("long").alias("next"), F.concat(state["pieces"], F.array(new)).alias("pieces"))
+        return F.when(s["step"] == state["next"], more).otherwise(state)
+
+    empty = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast(f"array<{piece}>").alias("pieces"))
+    rows = each.groupBy(*keys, "walk").agg(F.sort_array(F.collect_list("s")).alias("s")).select(*keys, "walk", F.aggregate("s", empty, taken)["pieces"].alias("pieces"))
+    of = F.transform("pieces", lambda p: p["kind"])
+    n = F.size("pieces")
+    made = F.when(F.forall(of, lambda k: k == own), F.when(n == 2, "junction").otherwise(F.concat(F.lit("mosaic_"), n.cast("string")))).otherwise(F.concat(F.lit("mixed("), F.array_join(of, "+"), F.lit(")")))
+    label = F.when(F.col("whole.kind") == own, "verbatim").when(F.col("whole.kind").isNotNull(), F.concat(F.lit("copy_of_"), F.col("whole.kind"))).otherwise(made)
+    return rows.join(whole, [*keys, "walk"], "left").select(*keys, "walk", label.alias("label"), "pieces", F.size(F.filter(of, lambda k: k == "novel")).cast("long").alias("novel"))
 
 
 def coarsened(cells: DataFrame, by: Names, least: int) -> DataFrame:
@@ -85,13 +113,6 @@ def cluster_split(pairs: DataFrame, clusters: DataFrame, a: str, b: str, cost: s
     return j.agg(F.sum(cost).alias("cost"), F.sum(optimum).alias("optimum")).withColumn("ratio", F.try_divide(F.col("cost").cast("double"), F.col("optimum")))
 
 
-def expanded(steps: DataFrame, parts: DataFrame, by: Names, order: str) -> DataFrame:
-    """Steps (by, order, node, rev) replaced by the parts (node, nth, part) of their nodes, backwards where the step is reversed."""
-    keys = _list(by)
-    j = steps.join(parts, "node").withColumn("k_", F.when(F.col("rev"), -F.col("nth")).otherwise(F.col("nth")))
-    return j.withColumn("step", F.row_number().over(W.partitionBy(*keys).orderBy(order, "k_")) - 1).select(*keys, "step", F.col("part").alias("node"), "rev")
-
-
 def same_places(a: DataFrame, b: DataFrame, by: Names) -> DataFrame:
     """(by, node_a, node_b, at): nodes of two graphs that begin at one offset of a path both have; a, b: (by, node, offset)."""
     keys = _list(by)

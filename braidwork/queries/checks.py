@@ -9,6 +9,7 @@ from braidwork.operators import kernels as K
 from braidwork.operators import paths as P
 from braidwork.queries.base import query, table
 from braidwork.queries.graphs import event_steps
+from braidwork.queries.paths import STEPS_SQL, order_steps
 from braidwork.queries.sequences import CELLS_SQL, cells
 
 
@@ -71,20 +72,29 @@ def inflation(spark, d):
     return P.inflation(anchored_pieces(spark, d), "g", "path", 30)
 
 
-@query("mosaic_walks")
-def mosaic_walks(spark, d):
-    """Each user's walk as pieces of the walks of three others."""
-    import pandas as pd
-
-    w = event_steps(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("n", "event_type"))).alias("s")).select("user_id", F.transform("s", lambda x: x["event_type"]).alias("walk"))
-    panel = {str(r["user_id"]): r["walk"] for r in w.where(F.col("user_id").isin(1, 2, 3)).collect()}
+#: Orders of even customers are the panel, its kinds going by customer; those of odd ones are looked for in it.
+PANEL_SQL = f"""{STEPS_SQL}, owned AS (SELECT s.path, s.step - 1 AS step, s.node, o_custkey AS cust, CASE o_custkey % 10 WHEN 0 THEN 'partial' WHEN 2 THEN 'ref_a' WHEN 4 THEN 'ref_b' ELSE 'sample' END AS kind, count(*) OVER (PARTITION BY s.path) AS n FROM steps s JOIN orders ON o_orderkey = s.path),
+w AS (SELECT * FROM owned WHERE cust % 2 = 1), p AS (SELECT * FROM owned WHERE cust % 2 = 0),
+met AS (SELECT w.path AS walk, w.step, w.n, p.path AS panel, p.kind, p.step AS pos, p.n AS panel_n, w.step - row_number() OVER (PARTITION BY w.path, p.path, p.step - w.step ORDER BY w.step) AS run FROM w JOIN p USING (node)),
+ext AS (SELECT *, max(step) OVER (PARTITION BY walk, panel, pos - step, run) AS upto, list_position(['sample', 'partial', 'ref_a', 'ref_b'], kind) AS rank FROM met),
+whole AS (SELECT walk, arg_min(kind, {{'a': kind <> 'sample', 'b': rank}}) AS kind FROM ext WHERE step = 0 AND pos = 0 AND upto + 1 = n AND panel_n = n AND kind <> 'partial' GROUP BY walk),
+best AS (SELECT walk, step, max(upto) AS upto, arg_max(kind, {{'a': upto, 'b': -rank}}) AS kind FROM ext GROUP BY walk, step),
+each AS MATERIALIZED (SELECT w.path AS walk, w.step, coalesce(b.upto, w.step) AS upto, coalesce(b.kind, 'novel') AS kind FROM w LEFT JOIN best b ON b.walk = w.path AND b.step = w.step),
+pieces AS (SELECT * FROM each WHERE step = 0 UNION ALL SELECT e.* FROM pieces p JOIN each e ON e.walk = p.walk AND e.step = p.upto + 1)"""
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(u, i, name, n) for u, walk in zip(pdf["user_id"], pdf["walk"], strict=True) for i, (name, n) in enumerate(P.mosaic(list(walk), panel))]
-            yield pd.DataFrame(rows, columns=["user_id", "nth", "source", "steps"])
 
-    return w.mapInPandas(run, "user_id long, nth long, source string, steps long")
+@query("mosaic_walks", f"""WITH RECURSIVE {PANEL_SQL}, l AS (SELECT walk, list(kind ORDER BY step) AS kinds, string_agg(step || '-' || upto, ',' ORDER BY step) AS spans FROM pieces GROUP BY walk)
+SELECT l.walk, CASE WHEN whole.kind = 'sample' THEN 'verbatim' WHEN whole.kind IS NOT NULL THEN 'copy_of_' || whole.kind WHEN list_distinct(kinds) = ['sample'] THEN CASE WHEN len(kinds) = 2 THEN 'junction' ELSE 'mosaic_' || len(kinds) END ELSE 'mixed(' || array_to_string(kinds, '+') || ')' END AS label,
+       spans, len(list_filter(kinds, lambda x: x = 'novel'))::BIGINT AS novel FROM l LEFT JOIN whole USING (walk)""")
+def mosaic_walks(spark, d):
+    """orders' walks as pieces of others', the panel being a table."""
+    cust = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("cust"))
+    steps = order_steps(spark, d).join(cust, "path").select("path", (F.col("step") - 1).alias("step"), "node", "cust")
+    k = F.col("cust") % 10
+    panel = steps.where("cust % 2 = 0").select(F.col("path").alias("panel"), F.when(k == 0, "partial").when(k == 2, "ref_a").when(k == 4, "ref_b").otherwise("sample").alias("kind"), "step", "node")
+    made = P.mosaics(steps.where("cust % 2 = 1").select(F.col("path").alias("walk"), "step", "node"), panel, ["sample", "partial", "ref_a", "ref_b"])
+    spans = F.array_join(F.transform("pieces", lambda p: F.concat_ws("-", p["first"], p["last"])), ",")
+    return made.select("walk", "label", spans.alias("spans"), "novel")
 
 
 @query("coarsened_alleles", f"""WITH {CELLS_SQL}, k AS (SELECT p_brand, col FROM c GROUP BY ALL HAVING count(DISTINCT ch) = 1 AND max(ch) <> '-')

@@ -90,7 +90,7 @@ def test_sequence_functions(spark):
 def test_alleles_clipped_to_a_span(spark):
     """Span 10 to 19 of reference ACGTTGCAAC: deletions and replacements over its edges, insertions at them, padding alone inside."""
     cases = [
-        (5, "NNNNNNACGTT", "N", ("ok", True, 10, "ACGTT", "")), (18, "ACAA", "GG", ("ok", True, 18, "AC", "")), (18, "ACAA", "GGTTCC", ("ok", True, 18, "AC", "GGTT")),
+        (5, "NNNNNACGTT", "N", ("ok", True, 10, "ACGTT", "")), (18, "ACAA", "GG", ("ok", True, 18, "AC", "")), (18, "ACAA", "GGTTCC", ("ok", True, 18, "AC", "GGTT")),
         (19, "CA", "CTTTA", ("edge_insertion", False, None, None, None)), (19, "C", "CTTT", ("ok", False, 20, "", "TTT")), (19, "CACGT", "C", ("outside", False, None, None, None)),
         (9, "ACGT", "A", ("ref_mismatch", False, None, None, None)), (9, "TA", "T", ("ok", False, 10, "A", "")), (11, "C", None, ("no_allele", False, None, None, None)), (11, "C", "x", ("symbolic", False, None, None, None)),
     ]
