@@ -6,6 +6,8 @@ round. Rounds are bounded by the longest path (reachability, peeling) or its log
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,19 +62,27 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest walk that ends in each node of an acyclic graph, in edges; a topological order sorts by it.
 
-    A graph with a cycle is an error: no walk without one has as many edges as the graph has nodes.
+    Round by round, the nodes that the last round's lead to: those of round r end a walk of r edges. Without a cycle there are fewer
+    each round; as many as before mean that the graph has one, which is an error.
     """
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    now = materialize(nodes.withColumn("level", F.lit(0)), "levels")
-    for _ in range(now.count() + 1):
-        up = now.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("d_")).agg((F.max("level") + 1).alias("up_"))
-        new = materialize(now.join(up, F.col("node") == F.col("d_"), "left").select("node", "level", F.greatest("level", F.coalesce("up_", F.lit(0))).alias("new_")), "levels")
-        discard(now)
-        now = new.select("node", F.col("new_").alias("level"))
-        if not new.where("new_ <> level").limit(1).count():
-            return now
-        now.scratch_path = new.scratch_path
-    raise RuntimeError("the graph has a cycle")
+    e = materialize(edges.select("src", "dst").distinct(), "levels-edges")
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    last = materialize(nodes.withColumn("level", F.lit(0)), "levels")
+    tables, n, round_ = [last], last.count(), 0
+    best = lambda: reduce(DataFrame.unionByName, tables).groupBy("node").agg(F.max("level").alias("level"))
+    while n:
+        round_ += 1
+        new = materialize(last.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(round_)), "levels")
+        found = new.count()
+        if found == n:
+            raise RuntimeError("the graph has a cycle")
+        tables.append(new)
+        last, n = new, found
+        if len(tables) > GATHER:
+            merged = materialize(best(), "levels")
+            discard(*tables[:-1])
+            tables = [merged, last]
+    return best()
 
 
 def cut_points(edges: DataFrame, by: Names = ()) -> DataFrame:

@@ -50,12 +50,16 @@ def _binned(df: DataFrame, key: str, start: str, end: str, width: int, tag: str)
 def overlap_join(left: DataFrame, right: DataFrame, key: tuple[str, str], a: tuple[str, str], b: tuple[str, str], width: int = 1000, how: str = "inner") -> DataFrame:
     """Pairs of a left and a right interval that overlap within the key. Column names of both sides must differ.
 
-    how: inner; left_semi or left_anti for rows of left with or without a partner. Empty intervals overlap nothing.
+    how: inner; left_semi or left_anti for rows of left with or without a partner (rows equal in all columns once, or each, if kept).
+    Empty intervals overlap nothing.
     """
     if how == "left_anti":
-        ids = left.withColumn("row_", F.monotonically_increasing_id())
-        found = overlap_join(ids, right, key, a, b, width).select("row_").distinct()
-        return ids.join(found, "row_", "left_anti").drop("row_")
+        found = overlap_join(left, right, key, a, b, width, "left_semi")
+        other = found.toDF(*(f"f{i}_" for i in range(len(left.columns))))
+        same = F.lit(True)
+        for i, c in enumerate(left.columns):
+            same = same & F.col(c).eqNullSafe(F.col(f"f{i}_"))
+        return left.join(other, same, "left_anti")
     x, y = _binned(left, key[0], *a, width, "l"), _binned(right, key[1], *b, width, "r")
     meet = (F.col("key_l") == F.col("key_r")) & (F.col("bin_l") == F.col("bin_r"))
     over = (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1]))

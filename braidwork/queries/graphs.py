@@ -158,23 +158,26 @@ def longest_levels(spark, d):
     return G.levels(forward(spark, d))
 
 
-@query("cyclic_nodes")
+@query("cyclic_nodes", f"""WITH RECURSIVE {EVENT_RUNS_SQL}, g AS (SELECT DISTINCT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY n) AS d FROM e),
+c AS (SELECT s, d FROM g WHERE d IS NOT NULL UNION SELECT c.s, g.d FROM c JOIN g ON g.s = c.d WHERE g.d IS NOT NULL) SELECT d AS node FROM c WHERE s IN (SELECT s FROM c WHERE s = d) UNION SELECT s FROM c WHERE s = d""")
 def cyclic_nodes(spark, d):
     """Event types of all users as a cyclic graph."""
     return G.cyclic_nodes(N.edges(event_steps(spark, d), "user_id", "n", "event_type").select("src", "dst").distinct())
 
 
-@query("unary_chains")
+@query("unary_chains", f"""WITH RECURSIVE {EDGES_SQL}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), j AS (SELECT src, dst FROM e WHERE src IN (SELECT src FROM e GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM e GROUP BY dst HAVING count(*) = 1)),
+ch AS (SELECT node, node AS head, 0::BIGINT AS nth FROM n WHERE node NOT IN (SELECT dst FROM j) UNION ALL SELECT j.dst, head, nth + 1 FROM ch JOIN j ON j.src = ch.node) SELECT * FROM ch""")
 def unary_chains(spark, d):
     """R7, R8."""
     return G.unary_chains(some_edges(spark, d))
 
 
-@query("subwalk_search")
+@query("subwalk_search", f"""WITH {STEPS_SQL}, w AS (SELECT path, list(node ORDER BY step) AS h FROM steps GROUP BY path), b AS (SELECT path AS walk, h, false AS rev FROM w UNION ALL SELECT path, list_reverse(list_transform(h, lambda x: -x)), true FROM w)
+SELECT walk, w.path, (p.step - 1)::INT AS "at", rev FROM b JOIN steps p ON p.node = b.h[1] JOIN w ON w.path = p.path WHERE w.h[p.step:p.step + len(b.h) - 1] = b.h""")
 def subwalk_search(spark, d):
-    """Pairs of neighbouring parts of some orders in all others."""
+    """The whole walks of all orders in all orders."""
     w = order_steps(spark, d).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("step", "node"))).alias("s")).select("path", F.transform("s", lambda x: x["node"]).alias("handles"))
-    return G.subwalks(w.where(F.size("handles") > 1).select(F.col("path").alias("walk"), F.slice("handles", 1, 2).alias("handles")), w)
+    return G.subwalks(w.select(F.col("path").alias("walk"), "handles"), w)
 
 
 @query("multiset_difference", "SELECT l_partkey FROM lineitem EXCEPT ALL SELECT p_partkey FROM part")

@@ -132,11 +132,12 @@ def kinds_inside(spark, d):
     """Lines as records of one to three days, inside or outside their nation's span of days."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     r = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_suppkey") % 25).alias("nat"), day.alias("s"), (1 + F.col("l_linenumber") % 3).alias("nr"), (1 + F.col("l_partkey") % 2).alias("na"))
-    r = r.withColumn("e", F.col("s") + F.col("nr")).withColumn("row", F.monotonically_increasing_id())
+    r = r.withColumn("e", F.col("s") + F.col("nr"))
     k = F.col("n_nationkey")
     spans = table(spark, d, "nation").select(k.alias("n"), (9131 + k * 60).cast("long").alias("ws"), (9131 + k * 60 + 900).cast("long").alias("we"))
-    hit = I.overlap_join(r, spans, ("nat", "n"), ("s", "e"), ("ws", "we"), 900).select(F.col("row").alias("hit")).distinct()
-    marked = r.join(hit, F.col("row") == F.col("hit"), "left")
+    place = r.select("nat", "s", "e").distinct()  # lines of one place are inside alike
+    hit = I.overlap_join(place, spans, ("nat", "n"), ("s", "e"), ("ws", "we"), 900).select("nat", "s", "e").distinct().withColumn("hit", F.lit(True))
+    marked = r.join(hit, ["nat", "s", "e"], "left")
     return P.kinds_inside(marked, "l_returnflag", (F.col("nr") == 1) & (F.col("na") == 1), F.col("hit").isNotNull())
 
 

@@ -114,7 +114,9 @@ def masked_runs(spark, d):
     return names(spark, d).select("p_partkey", S.masked(F.col("seq")).alias("m")).select("p_partkey", F.col("m.seq").alias("seq"), F.size("m.runs").alias("n"))
 
 
-@query("trimmed_alleles")
+@query("trimmed_alleles", """WITH p AS (SELECT p_partkey, p_name AS r, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS a FROM part),
+t AS (SELECT *, len(list_filter(range(1, least(length(r), length(a)) + 1), lambda x: right(r, x) = right(a, x))) AS k FROM p WHERE a IS NOT NULL), h AS (SELECT p_partkey, left(r, length(r) - k) AS r1, left(a, length(a) - k) AS a1 FROM t),
+c AS (SELECT *, len(list_filter(range(1, least(length(r1), length(a1)) + 1), lambda x: left(r1, x) = left(a1, x))) AS j FROM h) SELECT p_partkey, (1 + j)::INT AS pos, substr(r1, j + 1) AS ref, substr(a1, j + 1) AS alt FROM c""")
 def trimmed_alleles(spark, d):
     """neighbouring names of a brand as reference and alternative."""
     nxt = F.lead("p_name").over(W.partitionBy("p_brand").orderBy("p_partkey"))
@@ -172,13 +174,15 @@ def gap_fragments(spark, d):
 
 
 @query("drop_gap_columns", f"""WITH {CELLS_SQL}, k AS (SELECT *, max((ch <> '-')::INT) OVER (PARTITION BY p_brand, col) AS x FROM c)
-SELECT p_brand, max(col)::INT AS last_col FROM (SELECT p_brand, dense_rank() OVER (PARTITION BY p_brand ORDER BY col) - 1 AS col FROM k WHERE x = 1) GROUP BY p_brand""")
+SELECT p_brand, row, string_agg(ch, '' ORDER BY col) AS aligned FROM k WHERE x = 1 GROUP BY p_brand, row""")
 def drop_gap_columns(spark, d):
-    """F25."""
-    return M.drop_gap_columns(cells(spark, d), "p_brand").groupBy("p_brand").agg(F.max("col").alias("last_col"))
+    """rows without the columns that hold no base."""
+    return M.rows_of(M.drop_gap_columns(cells(spark, d), "p_brand"), "p_brand")
 
 
-@query("msa_blocks")
+@query("msa_blocks", f"""WITH {CELLS_SQL}, k AS (SELECT p_brand, col, coalesce(list(row ORDER BY row) FILTER (ch <> '-'), []) AS s FROM c GROUP BY ALL), m AS (SELECT *, s IS DISTINCT FROM lag(s) OVER (PARTITION BY p_brand ORDER BY col) AS fresh FROM k),
+b AS (SELECT p_brand, col, sum(fresh::INT) OVER (PARTITION BY p_brand ORDER BY col) AS block FROM m), t AS (SELECT p_brand, block, row, string_agg(ch, '' ORDER BY col) AS seq FROM c JOIN b USING (p_brand, col) WHERE ch <> '-' GROUP BY ALL)
+SELECT p_brand, block::BIGINT AS block, seq, count(*)::INT AS n FROM t GROUP BY ALL""")
 def msa_blocks(spark, d):
     """Blocks and their distinct strings."""
     return M.block_strings(cells(spark, d), "p_brand").select("p_brand", "block", "seq", F.size("rows").alias("n"))

@@ -8,7 +8,7 @@ from braidwork.functions.sequences import cigar_operations
 from braidwork.operators import kernels as K
 from braidwork.operators import walks as V
 from braidwork.queries.base import query, table
-from braidwork.queries.paths import order_steps
+from braidwork.queries.paths import STEPS_SQL, order_steps
 
 
 @query("name_matching")
@@ -20,13 +20,16 @@ def name_matching(spark, d):
     return V.match_names(n, paths)
 
 
-@query("walk_classes")
+@query("walk_classes", f"""WITH {STEPS_SQL}, top AS (SELECT node, row_number() OVER (ORDER BY count(*) DESC, node) AS k FROM steps GROUP BY node), a AS (SELECT node FROM top WHERE k = 1), b AS (SELECT node FROM top WHERE k = 2),
+w AS (SELECT path, count(*) FILTER (node = (SELECT node FROM a)) AS n_a, count(*) FILTER (node = (SELECT node FROM b)) AS n_b, min(step) FILTER (node = (SELECT node FROM a)) AS at_a, min(step) FILTER (node = (SELECT node FROM b)) AS at_b FROM steps GROUP BY path),
+k AS (SELECT *, CASE WHEN n_a > 1 OR n_b > 1 THEN 'twice' WHEN n_a = 1 AND n_b = 1 THEN CASE WHEN at_a < at_b THEN 'spanning' ELSE 'out_of_order' END WHEN n_a = 1 THEN 'left_only' WHEN n_b = 1 THEN 'right_only' ELSE 'internal' END AS class FROM w)
+SELECT path, class, CASE WHEN class = 'spanning' THEN (SELECT string_agg(node::VARCHAR, ',' ORDER BY step) FROM steps s WHERE s.path = k.path AND s.step BETWEEN at_a AND at_b) END AS span FROM k""")
 def walk_classes(spark, d):
     """orders' walks cut at the two commonest parts."""
     steps = order_steps(spark, d)
     top = [r["node"] for r in steps.groupBy("node").count().orderBy(F.desc("count"), "node").limit(2).collect()]
     w = steps.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("step", "node"))).alias("s")).select("path", F.transform("s", lambda x: x["node"]).alias("handles"))
-    return V.cut_walks(w, top[0], top[1]).select("path", "class", "span")
+    return V.cut_walks(w, top[0], top[1]).select("path", "class", F.array_join(F.transform("span", lambda x: x.cast("string")), ",").alias("span"))
 
 
 @query("exact_occurrences", """WITH r AS (SELECT DISTINCT n_name AS read FROM nation), t AS (SELECT c_custkey AS text, n_name || c_mktsegment || n_name AS whole FROM customer JOIN nation ON n_nationkey = c_nationkey)
@@ -39,7 +42,10 @@ def exact_occurrences(spark, d):
     return V.occurrences(reads, texts, 5).where("NOT rev")
 
 
-@query("spread_places")
+@query("spread_places", f"""WITH {STEPS_SQL}, s AS (SELECT *, CASE WHEN node % 2 = 0 THEN step * 100 END AS place FROM steps), r AS (SELECT *, count(place) OVER (PARTITION BY path ORDER BY step) AS run,
+last_value(place + len IGNORE NULLS) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, first_value(place IGNORE NULLS) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM s),
+t AS (SELECT *, (sum(len) OVER (PARTITION BY path, run, place IS NULL))::DOUBLE AS whole, (sum(len) OVER (PARTITION BY path, run, place IS NULL ORDER BY step))::DOUBLE AS upto FROM r)
+SELECT path, step::INT AS step, CASE WHEN place IS NOT NULL THEN place::DOUBLE ELSE lo + (upto - len) / whole * (hi - lo) END AS low, CASE WHEN place IS NOT NULL THEN (place + len)::DOUBLE ELSE lo + upto / whole * (hi - lo) END AS high FROM t""")
 def spread_places(spark, d):
     """Steps on even parts are placed, runs of odd ones lie between."""
     s = order_steps(spark, d).withColumn("place", F.when(F.col("node") % 2 == 0, F.col("step") * 100))

@@ -2,6 +2,8 @@
 
 from itertools import product
 
+import pytest
+
 from braidwork.operators import compare as C
 from braidwork.operators import haplotypes as H
 from braidwork.operators.kernels import edit_distance
@@ -70,6 +72,9 @@ def test_more_rounds_than_tables_are_gathered(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(25)], "src long, dst long")
     assert sorted(r.node for r in G.reachable(edges, edges.limit(0).selectExpr("src AS node").union(spark.createDataFrame([(3,)], "node long"))).collect()) == list(range(3, 26))
     assert {r.node: r.level for r in G.levels(edges).collect()} == {i: i for i in range(26)}
+    with pytest.raises(RuntimeError):
+        G.levels(edges.unionByName(spark.createDataFrame([(25, 20)], edges.schema))).collect()
+    assert G.levels(edges.limit(0)).collect() == []
 
 
 def test_rules_of_features_with_nulls(spark):
