@@ -55,7 +55,7 @@ class Encoder:
         special = {x["content"]: x["id"] for x in added}
         merged = [words["".join(m.split(" ") if isinstance(m, str) else m)] for m in made["model"]["merges"]]
         plain = not any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
-        self.path, self.long_run, self.merge = path, re.compile(r"\s{1000}").search, None
+        self.path, self.long_run, self.merge, self.whole = path, re.compile(r"\s{1000}").search, None, None
         if plain and merged == sorted(merged):
             ranks = {bytes(byte[c] for c in word): i for word, i in words.items() if word not in special}
             made_of = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -65,9 +65,11 @@ class Encoder:
         return array("I", self.merge(text) if self.merge and not self.long_run(text) else self.plain(text)).tobytes()
 
     def plain(self, text: str) -> list[int]:
-        from tokenizers import Tokenizer
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
 
 
 _encoders: dict[str, Encoder] = {}
@@ -92,7 +94,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """
     import pyarrow as pa
 
-    fields = f"{key} {dict(docs.dtypes)[key]}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    plain, name = numbered(docs)
+    fields = f"key_ {dict(docs.dtypes)[key]}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -108,12 +111,12 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     for out, x in zip(rows, (row, piece, start, length, zlib.crc32(own), bytes(own) if with_ids else None), strict=True):
                         out.append(x)
             columns = [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:5])]
-            names = [key, "piece", "start", "length", "ids_crc32"]
+            names = ["key_", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 columns, names = [*columns, pa.array(rows[5], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(key, text_or_empty(text).alias("text_")).mapInArrow(run, fields)
+    return plain.select(plain[name[key]].alias("key_"), text_or_empty(name[text]).alias("text_")).mapInArrow(run, fields).withColumnRenamed("key_", key)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

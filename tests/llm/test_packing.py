@@ -86,3 +86,13 @@ def test_a_size_beyond_its_salts(spark, monkeypatch):
     assert sorted(r.doc_id for r in got) == list(range(1000)) and {r.salt_ for r in got} == {"x"}
     assert len({(r.sequence_id, r.offset) for r in got}) == 1000 and {r.offset for r in got} == {0, 700}
     assert len({r.sequence_id for r in got}) == 500
+
+
+def test_any_name_of_the_key(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, " " * 3000 + "x"), (3, " " * 3000 + "y")], "`doc id.` long, text string")
+    got = packing.pack_documents(docs, key="doc id.").collect()
+    encoder = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {}
+    for r in got:
+        sizes[r[0]] = sizes.get(r[0], 0) + r.length
+    assert sizes == {1: 3, 2: len(encoder.ids(" " * 3000 + "x")) // 4 + 1, 3: len(encoder.ids(" " * 3000 + "y")) // 4 + 1}
