@@ -184,13 +184,13 @@ def signed_rank(df: DataFrame, by: Names, diff: str) -> DataFrame:
     return counted.groupBy(*keys).applyInPandas(run, fields)
 
 
-def poisson_edges(most: int = 8) -> list[float]:
-    """Chances of at most 0, 1, ... of a Poisson number of mean 1; one that is above all of them counts as most."""
+def poisson_edges() -> list[float]:
+    """Chances of at most 0, 1, ... of a Poisson number of mean 1, as far as they grow in double precision."""
     edges, at, term = [], 0.0, math.exp(-1.0)
-    for k in range(most):
+    while at + term > at:
         at += term
         edges.append(at)
-        term /= k + 1
+        term /= len(edges)
     return edges
 
 
@@ -216,21 +216,39 @@ def bootstrap_difference(df: DataFrame, by: Names, diff: str, ident: str, draws:
     return means.join(counted, same).select(*keys, "n", *((F.col(a) * F.col("n")).alias(b) for a, b in (("ratio", "total"), ("low", "low"), ("high", "high"))))
 
 
+#: A prime of 31 bits; fifth powers permute its remainders.
+DRAW_PRIME = (1 << 31) - 1
+
+
+def uniform_by_power(key: Column, step: Column, draw: Column) -> Column:
+    """A number between 0 and 1 of each draw: the fifth power of key + draw * step modulo DRAW_PRIME. Long arithmetic only."""
+    p = F.lit(DRAW_PRIME)
+    v = (key + draw * step) % p
+    second = (v * v) % p
+    return (((second * second) % p * v) % p).cast("double") / float(DRAW_PRIME) + 0.5 / DRAW_PRIME
+
+
 def bootstrap_ratio(df: DataFrame, by: Names, num: str, den: str, ident: str, draws: int = 1000, seed: int = 7, uniform=None) -> DataFrame:
     """(by, ratio, low, high): ratio of sums and its interval over draws that weigh each row by a Poisson number.
 
-    The number comes from a hash of seed, draw and id, so it is the same wherever the row is; each row meets each draw in
-    its own task and only sums by draw are shuffled.
+    The number comes from a digest of seed and id, taken once a row, and the draw, so it is the same wherever the row is. The
+    columns needed are dealt over spark.sql.shuffle.partitions tasks first, since a row costs a thousand times what its bytes
+    tell; each meets each draw in its task, and only sums by draw are shuffled. uniform: another (seed, draw, id) to the number.
     """
     keys = _list(by)
-    if uniform:
-        u = uniform(seed, F.col("draw"), F.col(ident))
-    else:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(ident)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    weight = F.lit(0)
-    for e in poisson_edges():
-        weight = weight + F.when(u > e, 1).otherwise(0)
-    sums = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w_", weight).groupBy(*keys, "draw").agg(F.sum(F.col("w_") * F.col(num)).alias("n_"), F.sum(F.col("w_") * F.col(den)).alias("d_"))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(ident).cast("string")))
+    part = lambda at: F.conv(F.substr("m_", F.lit(at), F.lit(7)), 16, 10).cast("long")
+    df = df if uniform else df.withColumn("m_", digest).withColumns({"k_": part(1), "j_": part(8)}).drop("m_")
+    u = uniform(seed, F.col("draw"), F.col(ident)) if uniform else uniform_by_power(F.col("k_"), F.col("j_"), F.col("draw"))
+    edges = poisson_edges()
+    weight = F.when(F.col("u_") <= edges[0], 0)
+    for k, e in enumerate(edges[1:], 1):  # most draws end at the first two
+        weight = weight.when(F.col("u_") <= e, k)
+    weight = weight.otherwise(len(edges))
+    needed = dict.fromkeys([*keys, num, den, *([ident] if uniform else ["k_", "j_"])])
+    dealt = df.select(*needed).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = dealt.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u_", u).withColumn("w_", weight)
+    sums = drawn.groupBy(*keys, "draw").agg(F.sum(F.col("w_") * F.col(num)).alias("n_"), F.sum(F.col("w_") * F.col(den)).alias("d_"))
     s = F.sort_array(F.collect_list(F.try_divide("n_", "d_")))
     spread = sums.groupBy(*keys).agg(s.alias("s_")).select(*(F.col(k).alias(f"{k}__") for k in keys), F.get("s_", F.floor(F.size("s_") * 0.025).cast("int")).alias("low"), F.get("s_", (F.ceil(F.size("s_") * 0.975) - 1).cast("int")).alias("high"))
     whole = df.groupBy(*keys).agg(F.try_divide(F.sum(num).cast("double"), F.sum(den)).alias("ratio"))

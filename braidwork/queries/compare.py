@@ -153,13 +153,19 @@ def signed_rank(spark, d):
     return C.signed_rank(C.paired(results(spark, d), "region", "method", "value", "1-URGENT"), "method", "diff")
 
 
-@query("bootstrap_ratio")
-def bootstrap_ratio(spark, d):
-    """Ratio of sums with its interval over 1000 draws."""
-    return C.bootstrap_ratio(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey")
+WEIGHT_SQL = " + ".join(f"(u > {e!r}::DOUBLE)::INT" for e in C.poisson_edges())
 
 
-WEIGHT_SQL = " + ".join(f"(u > {e!r}::DOUBLE)::INT" for e in C.poisson_edges())
+@query("bootstrap_ratio", f"""WITH k AS (SELECT o_orderpriority, o_totalprice, o_custkey, md5('7/' || o_orderkey) AS m FROM orders), j AS (SELECT *, ('0x' || substr(m, 1, 7))::BIGINT AS a, ('0x' || substr(m, 8, 7))::BIGINT AS b FROM k),
+v AS (SELECT o_orderpriority, o_totalprice, o_custkey, draw, (a + draw * b) % {C.DRAW_PRIME} AS v FROM j, (SELECT unnest(generate_series(1, 1000)) AS draw)), s AS (SELECT *, v * v % {C.DRAW_PRIME} AS v2 FROM v),
+u AS (SELECT *, (v2 * v2 % {C.DRAW_PRIME} * v % {C.DRAW_PRIME})::DOUBLE / {C.DRAW_PRIME}::DOUBLE + 0.5::DOUBLE / {C.DRAW_PRIME}::DOUBLE AS u FROM s), w AS (SELECT *, {WEIGHT_SQL} AS w FROM u),
+d AS (SELECT o_orderpriority, draw, sum(w * o_totalprice) / nullif(sum(w * o_custkey), 0) AS r FROM w GROUP BY ALL), l AS (SELECT o_orderpriority, list_sort(list(r) FILTER (r IS NOT NULL)) AS r FROM d GROUP BY o_orderpriority),
+t AS (SELECT o_orderpriority, sum(o_totalprice) / nullif(sum(o_custkey), 0) AS ratio FROM orders GROUP BY o_orderpriority)
+SELECT o_orderpriority, round(ratio, 2) AS ratio, round(r[floor(len(r) * 0.025)::INT + 1], 2) AS low, round(r[ceil(len(r) * 0.975)::INT], 2) AS high FROM t JOIN l USING (o_orderpriority)""")
+def bootstrap_ratio(spark, d):
+    """Ratio of sums with its interval over 1000 draws."""
+    r = C.bootstrap_ratio(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey")
+    return r.withColumns({c: F.round(c, 2) for c in ("ratio", "low", "high")})
 
 
 @query("bootstrap_difference", f"""WITH {RESULTS_SQL}, p AS (SELECT a.method, a.region, a.value - b.value AS diff FROM r a JOIN r b ON a.region = b.region AND b.method = '1-URGENT' AND a.method <> '1-URGENT'),

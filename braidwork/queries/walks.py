@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from braidwork.functions.sequences import cigar_operations
+from braidwork.functions.sequences import COMPLEMENTS, cigar_operations, reverse_complement
 from braidwork.operators import kernels as K
 from braidwork.operators import walks as V
 from braidwork.queries.base import query, table
@@ -32,14 +32,16 @@ def walk_classes(spark, d):
     return V.cut_walks(w, top[0], top[1]).select("path", "class", F.array_join(F.transform("span", lambda x: x.cast("string")), ",").alias("span"))
 
 
-@query("exact_occurrences", """WITH r AS (SELECT DISTINCT n_name AS read FROM nation), t AS (SELECT c_custkey AS text, n_name || c_mktsegment || n_name AS whole FROM customer JOIN nation ON n_nationkey = c_nationkey)
-SELECT read, text, (i - 1)::INT AS pos, false AS rev FROM r, t, unnest(generate_series(1, length(whole) - length(read) + 1)) u(i) WHERE substr(whole, i::INT, length(read)) = read""")
+@query("exact_occurrences", f"""WITH n AS (SELECT n_nationkey, n_name, reverse(translate(n_name, '{COMPLEMENTS[0]}', '{COMPLEMENTS[1]}')) AS back FROM nation), r AS (SELECT DISTINCT n_name AS read, unnest([n_name, back]) AS seq, unnest([false, true]) AS rev FROM n),
+t AS (SELECT c_custkey AS text, n_name || c_mktsegment || back || n_name AS whole FROM customer JOIN n ON n_nationkey = c_nationkey)
+SELECT DISTINCT read, text, (i - 1)::INT AS pos, rev FROM r, t, unnest(generate_series(1, length(whole) - length(seq) + 1)) u(i) WHERE substr(whole, i::INT, length(seq)) = seq""")
 def exact_occurrences(spark, d):
-    """Nation names in texts that hold them twice."""
+    """Nation names, on both strands, in texts that hold one twice as it is and once complemented."""
     n = table(spark, d, "nation")
     reads = n.select(F.col("n_name").alias("read"), F.col("n_name").alias("seq")).distinct()
-    texts = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("text"), F.concat("n_name", "c_mktsegment", "n_name").alias("whole"))
-    return V.occurrences(reads, texts, 5).where("NOT rev")
+    whole = F.concat("n_name", "c_mktsegment", reverse_complement(F.col("n_name")), "n_name")
+    texts = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("text"), whole.alias("whole"))
+    return V.occurrences(reads, texts, 5)
 
 
 @query("spread_places", f"""WITH {STEPS_SQL}, s AS (SELECT *, CASE WHEN node % 2 = 0 THEN step * 100 END AS place FROM steps), r AS (SELECT *, count(place) OVER (PARTITION BY path ORDER BY step) AS run,

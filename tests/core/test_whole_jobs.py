@@ -24,11 +24,40 @@ def test_phase_search_takes_every_edit(spark, tmp_path):
     assert [r.distance for r in got] == [min(want)]
 
 
-def test_bootstrap_ratio_takes_a_thousand_draws(spark):
-    d = "/root/testdata/sf0.001"
-    got = sorted(registry.QUERIES["bootstrap_ratio"](spark, d).collect())
-    want = C.bootstrap_ratio(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey", 1000)
-    assert got == sorted(want.collect())
+def test_bootstrap_ratio_is_that_of_draws_with_return(spark):
+    """Each draw's sums in plain arithmetic, and the interval near that of drawing as many rows with return."""
+    import hashlib
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, rng.randint(1, 90), rng.randint(1, 9), i) for g in ("a", None) for i in range(400)] + [("zero", 5, 0, 1), ("none", None, None, 2)]
+    df = spark.createDataFrame(rows, "g string, num long, den long, ident long")
+    got = {r.g: r for r in C.bootstrap_ratio(df, "g", "num", "den", "ident").collect()}
+    assert len(got) == 4 and got["zero"].ratio is None and got["none"].low is None
+
+    def weight(ident, draw):
+        m = hashlib.md5(f"7/{ident}".encode()).hexdigest()
+        u = (pow(int(m[:7], 16) + draw * int(m[7:14], 16), 5, C.DRAW_PRIME) + 0.5) / C.DRAW_PRIME
+        k, upto = 0, math.exp(-1)
+        while u > upto:
+            k += 1
+            upto += math.exp(-1) / math.factorial(k)
+        return k
+
+    for g in ("a", None):
+        own = [r for r in rows if r[0] == g]
+        table = [[weight(r[3], d) for r in own] for d in range(1, 1001)]
+        drawn = sorted(sum(w * r[1] for w, r in zip(ws, own, strict=True)) / sum(w * r[2] for w, r in zip(ws, own, strict=True)) for ws in table)
+        assert (got[g].low, got[g].high) == pytest.approx((drawn[25], drawn[974]))
+        again = []
+        for _ in range(1000):
+            s = rng.choices(own, k=len(own))
+            again.append(sum(r[1] for r in s) / sum(r[2] for r in s))
+        again.sort()
+        assert got[g].high - got[g].low == pytest.approx(again[974] - again[25], rel=0.2)
+        flat = [w for ws in table for w in ws]
+        assert sum(flat) / len(flat) == pytest.approx(1, abs=0.01) and max(flat) > 6
 
 
 def test_merging_until_stable_is_as_defined(spark):
