@@ -218,7 +218,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", max_n:
     salted = phrases.select(F.col("lang").alias("p_lang"), F.col("phrase").alias("p_phrase"), F.col("f").alias("p_f"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("p_salt"))
     cut = candidates.select("lang", "phrase", "a", F.explode(F.expr("sequence(1, words - 1)")).alias("k"), "words").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
     sides = cut.select("lang", "phrase", "a", "k", "salt", F.posexplode(F.array(joined(F.lit(1), F.col("k")), joined(F.col("k") + 1, F.col("words") - F.col("k")))).alias("side", "part"))
-    met = sides.join(salted, (F.col("lang") == F.col("p_lang")) & (F.col("part") == F.col("p_phrase")) & (F.col("salt") == F.col("p_salt")))
+    # A table with exploded rows is larger than its plan says, and one for the driver to broadcast by that: both joins are merges.
+    met = sides.join(salted.hint("merge"), (F.col("lang") == F.col("p_lang")) & (F.col("part") == F.col("p_phrase")) & (F.col("salt") == F.col("p_salt")))
     cuts = met.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == 0, F.col("p_f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("p_f"))).alias("r"))
     scored = cuts.withColumn("score", F.expr(f"cast(cast(a as decimal(20, 0)) * {SCALE} div (cast(l as decimal(20, 0)) + r) as bigint)"))
     weakest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
@@ -227,7 +228,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", max_n:
     inner = candidates.where("words > 2").select("lang", F.col("a").alias("longer"), "words", "phrase", F.explode(F.expr("sequence(2, words - 1)")).alias("length"))
     inner = inner.select("lang", "longer", "length", words.alias("w"), F.explode(F.expr("sequence(1, words - length + 1)")).alias("first"))
     held = inner.groupBy("lang", F.array_join(F.slice("w", F.col("first"), F.col("length")), "\0").alias("phrase")).agg(F.max("longer").alias("longer"))
-    free = weakest.join(held, ["lang", "phrase"], "left").where(F.expr(f"longer is null or cast(longer as decimal(20, 0)) * 100 < cast(a as decimal(20, 0)) * {INSIDE}"))
+    free = weakest.join(held.hint("merge"), ["lang", "phrase"], "left").where(F.expr(f"longer is null or cast(longer as decimal(20, 0)) * 100 < cast(a as decimal(20, 0)) * {INSIDE}"))
 
     n = known.where("words = 0").select(F.col("key").cast("string").alias("lang"), F.col("f").alias("n"))
     named = free.select("lang", F.replace(F.col("phrase"), F.lit("\0"), F.lit(" ")).alias("shown"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
