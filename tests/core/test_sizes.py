@@ -75,3 +75,29 @@ def test_reinserted_rows_are_those_of_the_cells(spark):
     assert broadcasts(made) == 0
     whole = {tuple(x) for x in M.rows_of(C.reinserted(c, "g", r), "g").collect()}
     assert {(x.g, x.row, x.aligned) for x in made.collect()} == whole and all(len(x.aligned) == x.columns for x in made.collect())
+
+
+def test_blocks_by_rows(spark):
+    """Against sets of rows; ragged rows, a group without a name and missing columns too. Cells are not broadcast."""
+    import random
+
+    from braidwork.operators import msa as M
+
+    rng = random.Random(9)
+    rows = [(g, i, j, rng.choice("AC--" if j % 3 else "A")) for g in (1, 2, None) for i in range(4) for j in range(rng.randint(3, 9)) if j != 4]
+    c = spark.createDataFrame(rows, "g int, row int, col int, ch string")
+    want = set()
+    for g in (1, 2, None):
+        last, block = object(), 0
+        seqs = {}
+        for col in sorted({r[2] for r in rows if r[0] == g}):
+            now = {r[1] for r in rows if r[0] == g and r[2] == col and r[3] != "-"}
+            block += now != last
+            last = now
+            for r in rows:
+                if r[0] == g and r[2] == col and r[3] != "-":
+                    seqs[block, r[1]] = seqs.get((block, r[1]), "") + r[3]
+        want |= {(g, *k, s) for k, s in seqs.items()}
+    made = M.block_spellings(c, "g")
+    assert broadcasts(made) == 0
+    assert {tuple(r) for r in made.select("g", "block", "row", "seq").collect()} == want
