@@ -101,3 +101,16 @@ def test_blocks_by_rows(spark):
     made = M.block_spellings(c, "g")
     assert broadcasts(made) == 0
     assert {tuple(r) for r in made.select("g", "block", "row", "seq").collect()} == want
+
+
+def test_position_pair_sums_are_those_of_the_pairs(spark):
+    import random
+
+    from braidwork.operators import msa as M
+
+    rng = random.Random(10)
+    c = M.cells(spark.createDataFrame([(g, i, "".join(rng.choice("AC-") for _ in range(9))) for g in (1, 2, 3) for i in range(g * 2 - 1)], "g int, row int, aligned string"), "g", "row", "aligned")
+    want = M.position_pairs(c, "g").groupBy("g").agg(F.count("*").alias("n"), F.sum((F.col("pos_a") * F.col("pos_b")).cast("long")).alias("s"))
+    made = M.position_pair_sums(c, "g")
+    assert "Join" not in made._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(made.collect()) == sorted(want.collect())
