@@ -87,7 +87,7 @@ def greedy_cover(spark, d):
     x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("p_brand", "l_suppkey", "l_partkey").distinct()
 
     def run(pdf):
-        taken = V.greedy_cover({k: set(g) for k, g in pdf.groupby("l_suppkey")["l_partkey"]}, 0.95)
+        taken = V.greedy_cover(pdf["l_suppkey"], pdf["l_partkey"], 0.95)
         return pd.DataFrame({"nth": range(len(taken)), "l_suppkey": taken})
 
     return K.grouped(x, "p_brand", "nth long, l_suppkey long", run)

@@ -148,3 +148,24 @@ def test_names_of_one_stem_meet_only_where_one_begins_the_other(spark):
     made = V.match_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in paths], "path string"))
     got = {(r.name, r.path, r.how) for r in made.collect()}
     assert got == {(f"s#{i}", f"s#{i}x", "prefix") for i in range(100, 400)} | {("u#12", "u#12[4]", "subrange"), ("u#1", "u#1x2", "prefix"), ("v#a[1", "v#a[12]", "prefix")}
+
+
+def test_greedy_cover_is_that_of_sets():
+    import random
+    import time
+
+    from braidwork.operators import walks as V
+
+    rng = random.Random(12)
+    for share in (0.5, 0.95, 1.0):
+        sets = {o: set(rng.sample(range(60), rng.randint(1, 9))) for o in range(40)}
+        pairs = [(o, m) for o, own in sets.items() for m in own]
+        rng.shuffle(pairs)
+        whole, covered, want = set().union(*sets.values()), set(), []
+        while len(covered) < share * len(whole):
+            want.append(max(sorted(k for k in sets if k not in want), key=lambda k: len(sets[k] - covered)))
+            covered |= sets[want[-1]]
+        assert V.greedy_cover([o for o, _ in pairs], [m for _, m in pairs], share) == want
+    began = time.monotonic()
+    assert len(V.greedy_cover(list(range(20000)), list(range(20000)), 0.5)) == 10000 and time.monotonic() - began < 30
+    assert V.greedy_cover([], [], 0.9) == []
