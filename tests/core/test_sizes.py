@@ -169,3 +169,11 @@ def test_greedy_cover_is_that_of_sets():
     began = time.monotonic()
     assert len(V.greedy_cover(list(range(20000)), list(range(20000)), 0.5)) == 10000 and time.monotonic() - began < 30
     assert V.greedy_cover([], [], 0.9) == []
+
+
+def test_equal_alleles_are_judged_once(spark, tmp_path):
+    from braidwork.queries import registry
+
+    spark.range(1600).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), (F.col("id") % 4).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    made = registry.QUERIES["allele_conflicts"](spark, str(tmp_path))
+    assert "aggregate" not in made._jdf.queryExecution().sparkPlan().toString() and made.select("id_a", "id_b").distinct().count() == made.count() > 100_000
