@@ -176,4 +176,4 @@ def test_equal_alleles_are_judged_once(spark, tmp_path):
 
     spark.range(1600).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), (F.col("id") % 4).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
     made = registry.QUERIES["allele_conflicts"](spark, str(tmp_path))
-    assert "aggregate" not in made._jdf.queryExecution().sparkPlan().toString() and made.select("id_a", "id_b").distinct().count() == made.count() > 100_000
+    assert "bin_l" not in made._jdf.queryExecution().sparkPlan().toString() and made.select("id_a", "id_b").distinct().count() == made.count() > 100_000
