@@ -103,11 +103,10 @@ def gap_normalised(spark, d):
     return K.grouped(brand_names(spark, d), "p_brand", "before string, alone string, joint string, moves long, moved long", run)
 
 
-def matrix(pdf):
+def distances(pdf):
     import numpy as np
 
-    e = np.stack(pdf["embedding"].to_numpy()).astype(float)
-    return np.sqrt(np.maximum(((e[:, None] - e[None]) ** 2).sum(2), 0))
+    return K.Distances(np.stack(pdf["embedding"].to_numpy()))
 
 
 @query("medoid_clusters")
@@ -116,7 +115,7 @@ def medoid_clusters(spark, d):
 
     def run(pdf):
         pdf = pdf.sort_values("vec_id")
-        chosen, cluster = K.kmedoids(matrix(pdf), 4)
+        chosen, cluster = K.kmedoids(distances(pdf), 4)
         ids = pdf["vec_id"].tolist()
         return pd.DataFrame({"vec_id": ids, "medoid": [ids[chosen[c]] for c in cluster]})
 
@@ -130,7 +129,7 @@ def spanning_trees(spark, d):
     def run(pdf):
         pdf = pdf.sort_values("vec_id")
         ids = pdf["vec_id"].tolist()
-        tree = K.spanning_tree(matrix(pdf))
+        tree = K.spanning_tree(distances(pdf))
         return pd.DataFrame({"nth": range(len(tree)), "vec_id": [ids[x] for x, _ in tree], "parent": pd.array([None if p is None else ids[p] for _, p in tree], "Int64")})
 
     return K.grouped(table(spark, d, "embeddings"), "label", "nth long, vec_id long, parent long", run)
