@@ -46,19 +46,28 @@ def pair_likelihoods(distances: DataFrame, lengths: DataFrame, depths: DataFrame
     return known.select("region", "i", "j", (F.col("fit") + F.coalesce(depth, F.lit(0.0)) * depth_weight).alias("ll"), "reads")
 
 
+def mixture_fits(relative: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(region, i, j, flat, weighted, reads): the sums over reads of ln((1 - e) * mixture + e), the mixture being half and half, and by
+    the alleles' lengths. Reads are dealt by region once, which serves their alleles, the lengths (a row a region) and both sums.
+    """
+    scored = relative.repartition("region").groupBy("region", "read").agg(F.max("e").alias("e"), F.sort_array(F.collect_list(F.struct("allele", F.col("rel").cast("double").alias("s")))).alias("all"))
+    of = lengths.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("allele", "len"))).alias("lens"))
+    known = lambda x: F.map_contains_key(F.col("lens"), x["allele"])
+    one = scored.join(of.hint("merge"), "region").withColumn("all", F.transform(F.filter("all", known), lambda x: F.struct(x["allele"].alias("allele"), x["s"].alias("s"), F.col("lens")[x["allele"]].alias("len"))))
+    pair = lambda a, b: F.struct(a["allele"].alias("i"), b["allele"].alias("j"), a["s"].alias("x"), b["s"].alias("y"), F.try_divide(a["len"].cast("double"), a["len"] + b["len"]).alias("w"))
+    pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: b["allele"] >= a["allele"]), lambda b: pair(a, b))))
+    each = one.select("region", "e", F.explode(pairs).alias("p")).select("region", "e", "p.*")
+    fit = lambda w: F.sum(F.ln((1 - F.col("e")) * (w * F.col("x") + (1 - w) * F.col("y")) + F.col("e")))
+    return each.groupBy("region", "i", "j").agg(fit(F.lit(0.5)).alias("flat"), fit(F.col("w")).alias("weighted"), F.count("*").alias("reads"))
+
+
 def mixture_likelihoods(relative: DataFrame, lengths: DataFrame, by_length: bool = False, priors: DataFrame | None = None) -> DataFrame:
     """(region, i, j, ll, reads): the sum over reads of ln((1 - e) * mixture + e), the mixture being that of the two alleles' relative
     likelihoods, half and half or by their lengths, and the pair's prior (region, i, j, prior; 0 without).
 
     relative: region, read, allele, e (the read's chance of being misplaced), rel.
     """
-    errors = relative.groupBy("region", "read").agg(F.max("e").alias("e"))
-    each = allele_pairs(relative, "rel").join(errors, ["region", "read"])
-    of = lambda c: lengths.select("region", F.col("allele").alias(c), F.col("len").alias(f"len_{c}"))
-    known = each.join(of("i"), ["region", "i"]).join(of("j"), ["region", "j"])
-    w = F.try_divide(F.col("len_i").cast("double"), F.col("len_i") + F.col("len_j")) if by_length else F.lit(0.5)
-    mixed = w * F.col("x") + (1 - w) * F.col("y")
-    sums = known.groupBy("region", "i", "j").agg(F.sum(F.ln((1 - F.col("e")) * mixed + F.col("e"))).alias("fit"), F.count("*").alias("reads"))
+    sums = mixture_fits(relative, lengths).select("region", "i", "j", F.col("weighted" if by_length else "flat").alias("fit"), "reads")
     if priors is None:
         return sums.select("region", "i", "j", F.col("fit").alias("ll"), "reads")
     return sums.join(priors, ["region", "i", "j"], "left").select("region", "i", "j", (F.col("fit") + F.coalesce("prior", F.lit(0.0))).alias("ll"), "reads")

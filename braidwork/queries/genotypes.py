@@ -49,7 +49,7 @@ def mixture_pairs(spark, d):
     """The best pair under a mixture of halves and under one by lengths."""
     scores, lengths, _ = reads(spark, d)
     rel = scores.withColumn("rel", F.exp(-F.col("d")))
-    flat, weighted = (G.best_pairs(G.mixture_likelihoods(rel, lengths, by)) for by in (False, True))
-    named = lambda df, n: df.select("region", F.col("i").alias(f"{n}_i"), F.col("j").alias(f"{n}_j"))
-    both = named(flat, "flat").join(named(weighted, "weighted"), "region")
+    best = lambda ll: F.max_by(F.struct("i", "j"), F.struct(F.round(ll, 9).alias("a"), (-F.col("i")).alias("b"), (-F.col("j")).alias("c")))
+    both = G.mixture_fits(rel, lengths).groupBy("region").agg(best("flat").alias("f"), best("weighted").alias("w"))
+    both = both.select("region", F.col("f.i").alias("flat_i"), F.col("f.j").alias("flat_j"), F.col("w.i").alias("weighted_i"), F.col("w.j").alias("weighted_j"))
     return both.withColumn("differ", (F.col("flat_i") != F.col("weighted_i")) | (F.col("flat_j") != F.col("weighted_j")))

@@ -44,3 +44,20 @@ def test_pairs_with_depth_and_mixtures(spark):
         made = G.best_pairs(G.mixture_likelihoods(frame, sizes, by_length, prior)).collect()
         assert {r.region: (r.i, r.j) for r in made} == found
     assert G.best_pairs(G.mixture_likelihoods(frame.limit(0), sizes)).collect() == []
+
+
+def test_mixtures_of_both_kinds_read_the_scores_once(spark):
+    scores = spark.range(40).selectExpr("id % 3 AS region", "id AS read", "explode(array(0, 1, 2)) AS allele", "0.1D AS e").selectExpr("*", "exp(-((read * 7 + allele * 3) % 5)) AS rel")
+    lengths = spark.range(3).selectExpr("id AS region", "explode(array(0, 1)) AS allele").selectExpr("*", "100 + region * 7 + allele * 50 AS len")
+    made = G.mixture_fits(scores, lengths)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(region") == 2 and plan.count("Exchange") == 2
+    both = {(r.region, r.i, r.j): r for r in made.collect()}
+    assert len(both) == 9  # allele 2 has no length
+    at = {(r.region, r.read, r.allele): r.rel for r in scores.collect()}
+    size = {(r.region, r.allele): r.len for r in lengths.collect()}
+    for (g, i, j), r in both.items():
+        own = sorted({read for h, read, _ in at if h == g})
+        for got, w in ((r.flat, 0.5), (r.weighted, size[g, i] / (size[g, i] + size[g, j]))):
+            assert abs(got - sum(math.log(0.9 * (w * at[g, x, i] + (1 - w) * at[g, x, j]) + 0.1) for x in own)) < 1e-9
+        assert r.reads == len(own)
