@@ -63,7 +63,8 @@ def run_length_encode(spark, d):
 SELECT l_suppkey, min(l_partkey) AS lo, max(l_partkey) AS hi, count(*)::BIGINT AS n FROM k GROUP BY l_suppkey, g""")
 def gap_islands(spark, d):
     """Runs of consecutive parts of a supplier."""
-    return N.numeric_runs(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+    lines = table(spark, d, "lineitem")
+    return N.numeric_runs(lines, "l_suppkey", "l_partkey", lines.count())
 
 
 @query("conserved_runs", """WITH x AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), k AS (SELECT *, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g FROM x),
@@ -71,7 +72,8 @@ r AS (SELECT l_suppkey, min(l_partkey) AS lo, max(l_partkey) AS hi, count(*)::BI
 SELECT l_suppkey, lo, hi, n FROM (SELECT *, min(lo) OVER (PARTITION BY l_suppkey) AS a, max(hi) OVER (PARTITION BY l_suppkey) AS b FROM r) WHERE n >= 3 OR lo = a OR hi = b""")
 def conserved_runs(spark, d):
     """W7."""
-    return N.conserved_runs(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", 3)
+    lines = table(spark, d, "lineitem")
+    return N.conserved_runs(lines, "l_suppkey", "l_partkey", 3, lines.count())
 
 
 @query("lag_identity", f"""WITH {EVENT_RUNS_SQL}, m AS (SELECT user_id, n, (event_type = lead(event_type, 2) OVER (PARTITION BY user_id ORDER BY n))::INT::BIGINT AS match FROM e)

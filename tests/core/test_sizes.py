@@ -177,3 +177,16 @@ def test_equal_alleles_are_judged_once(spark, tmp_path):
     spark.range(1600).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), (F.col("id") % 4).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
     made = registry.QUERIES["allele_conflicts"](spark, str(tmp_path))
     assert "bin_l" not in made._jdf.queryExecution().sparkPlan().toString() and made.select("id_a", "id_b").distinct().count() == made.count() > 100_000
+
+
+def test_runs_are_dealt_by_their_rows(spark, monkeypatch):
+    """Few bytes a row do not bring all rows into few tasks; the exchange by keys serves the runs too."""
+    from braidwork.operators import windows as N
+
+    monkeypatch.setattr(N, "TASK_ROWS", 1000)
+    rows = spark.range(30000).select((F.col("id") % 500).alias("k"), (F.col("id") * 7 % 97).alias("x"))
+    made = N.conserved_runs(rows, "k", "x", 3, 30000)
+    assert sorted(made.collect()) == sorted(N.conserved_runs(rows, "k", "x", 3).collect())
+    assert made.rdd.getNumPartitions() == 30
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
