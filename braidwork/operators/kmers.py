@@ -70,11 +70,16 @@ def binned_distance(df: DataFrame, by: str, ident: str, seq: str, k: int, bins:
 
 
 def variable_kmers(df: DataFrame, by: Names, ident: str, seq: str, k: int) -> DataFrame:
-    """(by, kmer, carriers): k-mers that some but not all rows of a group have."""
+    """(by, kmer, carriers): k-mers that some but not all rows of a group have.
+
+    The sequences of one ident come together before their k-mers are made distinct, so no table of (k-mer, ident) is aggregated.
+    """
     keys = _list(by)
     names = [f"g{i}_" for i in range(len(keys))]
-    n = df.groupBy(*(F.col(c).alias(g) for c, g in zip(keys, names, strict=True))).agg(F.countDistinct(ident).alias("n_"))
-    have = positions(df, [*keys, ident], seq, k).groupBy(*keys, "kmer").agg(F.countDistinct(ident).alias("carriers"))
+    own = df.select(*keys, ident, seq).repartition(*keys, ident).groupBy(*keys, ident).agg(F.collect_list(seq).alias("seqs_"))
+    n = own.groupBy(*(F.col(c).alias(g) for c, g in zip(keys, names, strict=True))).agg(F.count(ident).alias("n_"))
+    each = own.select(*keys, ident, F.explode(F.array_distinct(F.flatten(F.transform("seqs_", lambda s: kmers(s, k))))).alias("kmer"))
+    have = each.groupBy(*keys, "kmer").agg(F.count(ident).alias("carriers"))
     same = F.lit(True)
     for c, g in zip(keys, names, strict=True):
         same = same & (F.col(c) == F.col(g))

@@ -190,3 +190,17 @@ def test_runs_are_dealt_by_their_rows(spark, monkeypatch):
     assert made.rdd.getNumPartitions() == 30
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+
+
+def test_variable_kmers_aggregate_no_pairs_of_kmers_and_rows(spark):
+    from braidwork.operators import kmers as K
+
+    rows = [("a", 1, "ACGTA"), ("a", 1, "CGTTT"), ("a", 2, "ACGAC"), ("a", 3, None), ("a", None, "TTTT"), ("b", 1, "AC"), ("b", 2, "ACGACG")]
+    made = K.variable_kmers(spark.createDataFrame(rows, "g string, i int, s string"), "g", "i", "s", 3)
+    have = {}
+    for g, i, s in rows:
+        for x in range(len(s or "") - 2):
+            have.setdefault((g, s[x : x + 3]), set()).update({i} - {None})
+    size = {g: len({i for h, i, _ in rows if h == g and i is not None}) for g in "ab"}
+    assert {tuple(r) for r in made.collect()} == {(*k, len(v)) for k, v in have.items() if len(v) < size[k[0]]}
+    assert "count(distinct" not in made._jdf.queryExecution().analyzed().toString()
