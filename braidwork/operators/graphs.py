@@ -37,8 +37,12 @@ def fixpoint(start: DataFrame, step) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node): seeds (node) and all nodes that walks over edges (src, dst) reach from them."""
-    return fixpoint(seeds.select("node"), lambda f: f.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")))
+    """(node): seeds (node) and all nodes that walks over edges (src, dst) reach from them. Edges are made once, not in each round."""
+    e = edges if hasattr(edges, "scratch_path") else materialize(edges.select("src", "dst"), "reach-edges")
+    found = fixpoint(seeds.select("node"), lambda f: f.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")))
+    if e is not edges:
+        discard(e)
+    return found
 
 
 def between(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:

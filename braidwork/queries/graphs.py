@@ -9,6 +9,7 @@ from braidwork.functions import sequences as S
 from braidwork.operators import graphs as G
 from braidwork.operators import windows as N
 from braidwork.operators.components import connected_components
+from braidwork.plans.scratch import materialize
 from braidwork.queries.base import query, table
 from braidwork.queries.paths import STEPS_SQL, order_steps
 
@@ -130,7 +131,7 @@ def some_edges(spark, d):
 @query("reachability", f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT min(src) AS node FROM e UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
 def reachability(spark, d):
     """From the least node."""
-    e = some_edges(spark, d)
+    e = materialize(some_edges(spark, d), "reach-edges")
     return G.reachable(e, e.agg(F.min("src").alias("node")))
 
 

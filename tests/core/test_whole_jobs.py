@@ -144,3 +144,21 @@ def test_short_reads_and_short_items(spark, tmp_path):
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(r.doc_id for r in Q.decontamination_guard(spark, str(tmp_path)).collect())
     assert got == [i for i, t in enumerate(docs) if any(w in (t or "") for w in whole)]
+
+
+def test_reachability_makes_its_edges_once(spark):
+    """A column that counts what is computed: each edge once, however many rounds there are."""
+    from pyspark.sql import functions as F
+
+    from braidwork.operators import graphs as G
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").select(F.udf(counted, "long")("a").alias("src"), F.col("b").alias("dst"))
+    found = G.reachable(edges, spark.createDataFrame([(3,)], "node long"))
+    assert sorted(r.node for r in found.collect()) == list(range(3, 13))
+    assert made.value == 12
