@@ -110,3 +110,29 @@ def test_one_strand_keeps_the_first_id_and_edges_of_flipped_handles(spark):
     assert G.spelled(O.merged_walks(w, chains).where("false"), n, "path", "step").collect() == []
     assert O.oriented_chains(n.limit(0), e.limit(0)).collect() == []
     assert [tuple(r) for r in O.oriented_chains(n.where(F.col("node") == 8), e.limit(0)).collect()] == [(8, 8, 0, False, 0)]
+
+
+def test_joins_near_each_other_are_merged_in_their_task(spark, monkeypatch):
+    """What near says never changes the chains; where all of a chain is near, no round between tasks is left."""
+    for seed in (0, 1, 5):
+        nodes, edges, paths = random_graph(seed)
+        n, e, w = frames(spark, nodes, edges, paths)
+        for near in (F.lit(7), (F.least("src", "dst") % 3).cast("int"), F.hash("src")):
+            got = {r.node: (r.head, r.nth, r.rev, r["last"]) for r in O.oriented_chains(n, e.withColumn("near", near), O.walk_ends(w)).collect()}
+            assert got == plainly(nodes, edges, paths, False)
+    made, write = [], O.materialize
+    monkeypatch.setattr(O, "materialize", lambda df, name: made.append(name) or write(df, name))
+    n = spark.range(1, 61).selectExpr("id AS node")
+    e = spark.range(1, 60).selectExpr("id AS src", "false AS src_rev", "id + 1 AS dst", "false AS dst_rev", "int(id div 100) AS near")
+    assert {(r.node, r.head, r.nth, r["last"]) for r in O.oriented_chains(n, e).collect()} == {(i, 1, i - 1, 59) for i in range(1, 61)}
+    assert made == ["runs"]
+
+
+def test_a_task_merges_some_nears_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rows = [{"near": k, "a": 10 * k + i, "a_right": True, "b": 10 * k + i + 1, "b_right": False, "a_open": False, "b_open": False} for k in range(4) for i in range(5)]
+    monkeypatch.setattr(O, "HELD", 4)
+    parts = list(O._runs(pa.Table.from_pylist(rows).to_batches(max_chunksize=3)))
+    assert len(parts) > 1
+    assert sorted((r["node"], r["head"], r["nth"], r["last"]) for p in parts for r in p.to_pylist()) == [(10 * k + i, 10 * k, i, 5) for k in range(4) for i in range(6)]
