@@ -46,3 +46,18 @@ def test_mosaics(spark):
     made = P.mosaics(spark.createDataFrame(walks, "g int, walk int, step int, node int"), spark.createDataFrame(panel, "g int, panel int, kind string, step int, node int"), KINDS, "g").collect()
     assert {(r.g, r.walk): (r.label, [tuple(p) for p in r.pieces], r.novel) for r in made} == want
     assert {x[0].split("(")[0].rstrip("0123456789") for x in want.values()} >= {"verbatim", "junction", "mosaic_", "mixed"}
+
+
+def test_single_steps_are_not_paired(spark, tmp_path):
+    """300 walks and 300 panel walks that share one node only: no row a pair of them."""
+    rows = [(w, i, 0 if i == 1 else 1000 * w + i + 1) for w in range(600) for i in range(3)]
+    steps = spark.createDataFrame(rows, "w int, step int, node int")
+    walks, panel = steps.where("w % 2 = 0").withColumnRenamed("w", "walk"), steps.where("w % 2 = 1").selectExpr("w AS panel", "IF(w = 301, 'ref_a', 'ref_b') AS kind", "step", "node")
+    made, seen = [], P.extensions
+    P.extensions = lambda *a: made.append(seen(*a)) or made[-1]
+    try:
+        got = P.mosaics(walks, panel, KINDS).collect()
+    finally:
+        P.extensions = seen
+    assert made[0].count() == 0 and len(got) == 300
+    assert {(r.label, r.novel) for r in got} == {("mixed(novel+ref_a+novel)", 2)}
