@@ -204,3 +204,16 @@ def test_variable_kmers_aggregate_no_pairs_of_kmers_and_rows(spark):
     size = {g: len({i for h, i, _ in rows if h == g and i is not None}) for g in "ab"}
     assert {tuple(r) for r in made.collect()} == {(*k, len(v)) for k, v in have.items() if len(v) < size[k[0]]}
     assert "count(distinct" not in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_coarsened_alleles_sorts_no_cells_for_letters_and_deals_rows_not_cells(spark, tmp_path):
+    from braidwork.operators import paths as P
+    from braidwork.queries import checks
+
+    rows = [(k, f"Brand#{k % 2}", "RING BOLT"[: 4 + k % 5], 1) for k in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = checks.coarsened_alleles(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # rows are dealt before they are exploded; behind that no row or column of cells is in an exchange
+    assert "REPARTITION_BY_NUM" in plan and not any("Exchange" in x and ("row#" in x or "col#" in x) for x in plan.splitlines())
+    assert {tuple(r) for r in out.collect()} == {("Brand#0", 4), ("Brand#1", 4)}
