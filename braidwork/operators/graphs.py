@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.operators.windows import Names, _list, running_sums, window
-from braidwork.plans.scratch import discard, materialize
+from braidwork.plans.scratch import discard, materialize, partitions
 
 
 #: Rounds after which the tables of a fixpoint are written as one.
@@ -63,30 +63,90 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
             return left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
 
 
-def levels(edges: DataFrame) -> DataFrame:
+#: Edges of a range of nodes whose walks one task follows.
+RANGE_EDGES = 1_000_000
+
+
+def longest_from(seeds: dict, edges: tuple[list, list]) -> tuple[dict, bool]:
+    """(the longest walk over edges that ends in each node that walks from seeds reach, whether the edges have a cycle there).
+
+    seeds: node to the length of the walk that ends in it. Each edge is followed once, when all before it have been.
+    """
+    after, waiting = {}, {}
+    for a, b in zip(*edges, strict=True):
+        after.setdefault(a, []).append(b)
+    seen, stack = set(seeds), list(seeds)
+    while stack:
+        for b in after.get(stack.pop(), ()):
+            waiting[b] = waiting.get(b, 0) + 1
+            if b not in seen:
+                seen.add(b)
+                stack.append(b)
+    best, free, taken = dict(seeds), [a for a in seen if a not in waiting], 0
+    while free:
+        a = free.pop()
+        taken += 1
+        next_ = best[a] + 1
+        for b in after.get(a, ()):
+            if best.get(b, -1) < next_:
+                best[b] = next_
+            waiting[b] -= 1
+            if not waiting[b]:
+                free.append(b)
+    return best, taken < len(seen)
+
+
+def levels(edges: DataFrame, range_edges: int = RANGE_EDGES) -> DataFrame:
     """(node, level): the longest walk that ends in each node of an acyclic graph, in edges; a topological order sorts by it.
 
-    Round by round, the nodes that the last round's lead to: those of round r end a walk of r edges. Without a cycle there are fewer
-    each round; as many as before mean that the graph has one, which is an error.
+    Nodes are dealt by ranges, each of which has about range_edges edges. A round follows all walks inside ranges, in tasks; then what
+    edges between ranges lead to starts the next, so round r has the nodes that end a walk of r edges between ranges. Without a cycle
+    there are fewer each round; as many as before mean that the graph has one, which is an error.
     """
+    import pyarrow as pa
+
     e = materialize(edges.select("src", "dst").distinct(), "levels-edges")
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    last = materialize(nodes.withColumn("level", F.lit(0)), "levels")
-    tables, n, round_ = [last], last.count(), 0
-    best = lambda: reduce(DataFrame.unionByName, tables).groupBy("node").agg(F.max("level").alias("level"))
-    while n:
-        round_ += 1
-        new = materialize(last.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(round_)), "levels")
-        found = new.count()
-        if found == n:
+    ranges = -(-e.count() // range_edges) or 1
+    placed = materialize(nodes.repartitionByRange(ranges, "node").withColumn("part", F.spark_partition_id()), "levels-nodes")
+    ends = [placed.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part")) for c in ("src", "dst")]
+    apart = materialize(e.join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "src_part", "dst_part"), "levels-parts")
+    inner = apart.where("src_part = dst_part").select(F.col("src_part").alias("part"), F.col("src").alias("node"), "dst", F.lit(None).cast("int").alias("level"))
+    outer = apart.where("src_part <> dst_part").select("src", F.col("dst").alias("node"), F.col("dst_part").alias("part"))
+    node = dict(e.dtypes)["src"]
+    tasks = max(ranges, partitions(e.sparkSession))
+
+    def run(group: pa.Table) -> pa.Table:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        given = pc.is_valid(group.column("level"))
+        seeds, links = group.filter(given), group.filter(pc.invert(given))
+        found, cyclic = longest_from(dict(zip(seeds.column("node").to_pylist(), seeds.column("level").to_pylist(), strict=True)), (links.column("node").to_pylist(), links.column("dst").to_pylist()))
+        of = group.column("part")[0].as_py()
+        cols = [pa.array(found.keys(), group.schema.field("node").type), pa.array([of] * len(found), pa.int32()), pa.array(found.values(), pa.int32()), pa.array([cyclic] * len(found), pa.bool_())]
+        return pa.table(cols, ["node", "part", "level", "cyclic"])
+
+    seeds, last, tables, n = placed.select("part", "node", F.lit(0).alias("level")), None, [], None
+    best = lambda: reduce(DataFrame.unionByName, (t.select("node", "level") for t in tables)).groupBy("node").agg(F.max("level").alias("level"))
+    while True:
+        own = inner if last is None else inner.join(seeds.select("part").distinct(), "part", "left_semi")
+        work = own.unionByName(seeds.select("part", "node", F.lit(None).cast(node).alias("dst"), "level"))
+        new = materialize(work.repartition(tasks, "part").groupBy("part").applyInArrow(run, f"node {node}, part int, level int, cyclic boolean"), "levels")
+        found = new.agg(F.count("*"), F.coalesce(F.max("cyclic"), F.lit(False))).first()
+        if found[1] or found[0] and found[0] == n and last is not None:
             raise RuntimeError("the graph has a cycle")
         tables.append(new)
-        last, n = new, found
         if len(tables) > GATHER:
             merged = materialize(best(), "levels")
             discard(*tables[:-1])
-            tables = [merged, last]
-    return best()
+            tables = [merged, new]
+        if not found[0]:
+            return best()
+        if last is not None:
+            n = found[0]
+        last = new
+        seeds = materialize(new.select(F.col("node").alias("src"), "level").join(outer, "src").groupBy("part", "node").agg((F.max("level") + 1).cast("int").alias("level")), "levels-seeds")
 
 
 def cut_points(edges: DataFrame, by: Names = ()) -> DataFrame:

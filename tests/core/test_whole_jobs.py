@@ -162,3 +162,29 @@ def test_reachability_makes_its_edges_once(spark):
     found = G.reachable(edges, spark.createDataFrame([(3,)], "node long"))
     assert sorted(r.node for r in found.collect()) == list(range(3, 13))
     assert made.value == 12
+
+
+def test_levels_follow_walks_inside_ranges(spark, monkeypatch):
+    """A chain of 300 nodes in few rounds; random graphs cut into many ranges, in the order of nodes and not; cycles in and between ranges."""
+    import random
+
+    import pytest
+
+    from braidwork.operators import graphs as G
+
+    rounds, plain = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: rounds.append(name) or plain(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "src long, dst long")
+    assert {r.node: r.level for r in G.levels(chain, 100).collect()} == {i: i for i in range(301)}
+    assert rounds.count("levels") <= 5
+    rng = random.Random(4)
+    name = rng.sample(range(60), 60)
+    for names in (list(range(60)), name):
+        edges = {(names[a], names[b]) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150)) if a < b}
+        want, at = {}, {n: i for i, n in enumerate(names)}
+        for a, b in sorted(edges, key=lambda x: at[x[0]]):
+            want[b] = max(want.get(b, 0), want.setdefault(a, 0) + 1)
+        assert {r.node: r.level for r in G.levels(spark.createDataFrame(sorted(edges), "src long, dst long"), 20).collect()} == want
+    for size, more in ((1000, (5, 3)), (10, (50, 3)), (30, (299, 0))):
+        with pytest.raises(RuntimeError, match="cycle"):
+            G.levels(chain.limit(60).unionByName(spark.createDataFrame([more, (59, 299)], chain.schema)), size).collect()
