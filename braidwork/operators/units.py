@@ -5,8 +5,9 @@ the motif's first letter (with free_entry at any) and left behind any letter tha
 opening + extend * (k - 1); a gap does not run on from a flank into the rounds or back. Letters before the first letter of
 the model have no place in it, unless free_prefix leaves them out; free_suffix leaves letters behind it out.
 
-One row is one programme of letters x model letters, a numpy vector of model letters at a time. Only every sqrt(n)-th vector is
-kept, the others are made again on the way back: memory grows with sqrt(n) x model letters. Rows are independent, so Spark
+One row is one programme of letters x model letters, a numpy vector of model letters at a time. Rows whose models have equal
+lengths go together, a letter of all of them at a time, as far as their vectors are few enough to be kept (CELLS). Of a longer row
+only every sqrt(n)-th vector is kept, the others are made again on the way back: memory grows with sqrt(n) x model letters. Rows are independent, so Spark
 spreads them; aggregates over copies are Spark's.
 """
 
@@ -61,68 +62,18 @@ def segment(seq: str, left: str, motif: str, right: str, costs: Costs = Costs(),
     """
     import numpy as np
 
-    if not motif or costs.extend < 1:
-        raise ValueError("a motif of at least one letter and a cost of at least 1 for each further letter of a gap are needed")
-    model = _codes(left + motif + right)
-    first, after, size, n = len(left), len(left) + len(motif), len(model), len(seq)
-    go, ge = costs.opening, costs.extend
-    scores: dict[str, np.ndarray] = {}
-
-    def score(c: str):
-        if c not in scores:
-            plain = np.where(model == ord(c), costs.match, -costs.mismatch)
-            scores[c] = np.full(size, costs.unknown) if c == "N" else np.where(model == ord("N"), costs.unknown, plain)
-        return scores[c]
-
-    def started(i: int) -> int:
-        return 0 if free_prefix or not i else LOW
-
-    def before_rounds(i: int, now) -> int:
-        return int(now[:, first - 1].max()) if first else started(i)
-
-    def after_rounds(i: int, now) -> int:
-        return max(before_rounds(i, now), int(now[:DELETED, first:after].max()))
-
-    def running(gaps):
-        slope = ge * np.arange(len(gaps))
-        return np.maximum.accumulate(gaps + slope) - slope
-
-    def vector(i: int, last):
-        """Best scores of (match, insertion, deletion) x model letter once i letters are read."""
-        now = np.full((3, size), LOW, np.int64)
-        if last is not None:
-            reach = np.empty(size, np.int64)
-            reach[1:] = last[:, :-1].max(0)
-            entry = before_rounds(i - 1, last)
-            if free_entry:
-                np.maximum(reach[first:after], entry, out=reach[first:after])
-            if first:
-                reach[0] = started(i - 1)
-            reach[first] = max(int(last[:, after - 1].max()), entry)
-            if after < size:
-                reach[after] = after_rounds(i - 1, last)
-            now[MATCH] = reach + score(seq[i - 1])
-            now[INSERTED] = np.maximum(np.maximum(last[MATCH], last[DELETED]) - go, last[INSERTED] - ge)
-        opened = now[:DELETED].max(0) - go
-        if first:
-            now[DELETED, :first] = running(np.r_[started(i) - go, opened[: first - 1]])
-        lap = np.r_[max(before_rounds(i, now) - go, int(opened[after - 1])), opened[first : after - 1]]
-        now[DELETED, first:after] = running(np.r_[lap, lap])[len(motif) :]  # the second lap has been all the way round
-        if after < size:
-            now[DELETED, after:] = running(np.r_[after_rounds(i, now) - go, opened[after:-1]])
-        return now
-
-    def ended(i: int, now) -> int:
-        return int(now[:, -1].max()) if after < size else after_rounds(i, now)
-
+    _checked(motif, costs)
+    model, codes, n = _codes(left + motif + right)[None], _codes(seq), len(seq)
+    cut = Cut(model, len(left), len(left) + len(motif), costs, free_prefix, free_entry)
     stride = isqrt(n) + 1
     kept, now, finish = [], None, None
     for i in range(n + 1):
-        now = vector(i, now)
+        now = cut.vector(i, now, codes[i - 1 : i])
         if not i % stride:
             kept.append(now)
-        if (free_suffix or i == n) and (finish is None or ended(i, now) >= finish[0]):
-            finish = ended(i, now), i
+        if free_suffix or i == n:
+            end = int(cut.ended(i, now)[0])
+            finish = (end, i) if finish is None or end >= finish[0] else finish
 
     made: dict[int, list] = {}
 
@@ -133,82 +84,200 @@ def segment(seq: str, left: str, motif: str, right: str, costs: Costs = Costs(),
                 del made[old]
             rows = [kept[part]]
             for k in range(part * stride + 1, min((part + 1) * stride, n + 1)):
-                rows.append(vector(k, rows[-1]))
-            made[part] = rows
+                rows.append(cut.vector(k, rows[-1], codes[k - 1 : k]))
+            made[part] = np.stack(rows)[:, 0].tolist()
         return made[part][i % stride]
 
-    total, i = finish
-    start = end = None
-    events: list[tuple[int, int, int] | None] = []  # backwards: (state, motif place, letters read), None where a round begins
-
-    def best(now, v: int) -> tuple[int, int]:
-        return v, int(now[:, v].argmax())
-
-    def enter(i: int):
-        return best(at(i), first - 1) if first else None
-
-    def leave(i: int):
-        nonlocal start, end
-        end = i
-        now = at(i)
-        inside = now[:DELETED, first:after]
-        if int(inside.max()) <= before_rounds(i, now):
-            start = i
-            return enter(i)
-        place = int(inside.max(0).argmax())
-        return first + place, int(inside[:, place].argmax())
-
-    where = best(at(i), size - 1) if after < size else leave(i)
-    while where is not None:
-        v, state = where
-        ring = first <= v < after
-        if ring:
-            events.append((state, v - first, i))
-        if state == INSERTED:
-            i -= 1
-            last = at(i)[:, v]
-            where = v, int((last - (go, ge, go)).argmax())
-            continue
-        i -= state == MATCH
-        now = at(i)
-        # what a match or a deletion at v goes on from: the letter before it, at what price
-        price = (0, 0, 0) if state == MATCH else (go, go, ge)
-        back = now[:, after - 1 if v == first else v - 1] - price
-        entry = before_rounds(i, now) - price[0]
-        entered = ring and (entry >= back.max() if v == first else free_entry and state == MATCH and entry > back.max())
-        if first and not v:
-            where = None
-        elif v == after:
-            where = leave(i)
-        elif entered:
-            events.append(None)
-            start = i
-            where = enter(i)
-        else:
-            if v == first:
+    return cut.traced(at, *finish)
+
+
+def _checked(motif: str, costs: Costs) -> None:
+    if not motif or costs.extend < 1:
+        raise ValueError("a motif of at least one letter and a cost of at least 1 for each further letter of a gap are needed")
+
+
+class Cut:
+    """The programme of rows whose flanks and motifs have equal lengths, a letter of all rows at a time. model: rows x model letters."""
+
+    def __init__(self, model, first: int, after: int, costs: Costs, free_prefix: bool, free_entry: bool):
+        self.model, self.first, self.after, self.size = model, first, after, model.shape[1]
+        self.costs, self.free_prefix, self.free_entry = costs, free_prefix, free_entry
+
+    def started(self, i: int) -> int:
+        return 0 if self.free_prefix or not i else LOW
+
+    def before_rounds(self, i: int, now):
+        import numpy as np
+
+        return now[:, :, self.first - 1].max(1) if self.first else np.full(len(now), self.started(i), np.int64)
+
+    def after_rounds(self, i: int, now):
+        import numpy as np
+
+        return np.maximum(self.before_rounds(i, now), now[:, :DELETED, self.first : self.after].max((1, 2)))
+
+    def ended(self, i: int, now):
+        return now[:, :, -1].max(1) if self.after < self.size else self.after_rounds(i, now)
+
+    def vector(self, i: int, last, letters):
+        """Best scores of rows x (match, insertion, deletion) x model letter once i letters are read; letters: the rows' i-th."""
+        import numpy as np
+
+        model, first, after, size, c = self.model, self.first, self.after, self.size, self.costs
+        go, ge = c.opening, c.extend
+
+        def running(gaps):
+            slope = ge * np.arange(gaps.shape[1])
+            return np.maximum.accumulate(gaps + slope, 1) - slope
+
+        now = np.full((len(model), 3, size), LOW, np.int64)
+        if last is not None:
+            reach = np.empty((len(model), size), np.int64)
+            reach[:, 1:] = last[:, :, :-1].max(1)
+            entry = self.before_rounds(i - 1, last)
+            if self.free_entry:
+                np.maximum(reach[:, first:after], entry[:, None], out=reach[:, first:after])
+            if first:
+                reach[:, 0] = self.started(i - 1)
+            reach[:, first] = np.maximum(last[:, :, after - 1].max(1), entry)
+            if after < size:
+                reach[:, after] = self.after_rounds(i - 1, last)
+            letters = letters[:, None]
+            unknown = (letters == ord("N")) | (model == ord("N"))
+            now[:, MATCH] = reach + np.where(unknown, c.unknown, np.where(model == letters, c.match, -c.mismatch))
+            now[:, INSERTED] = np.maximum(np.maximum(last[:, MATCH], last[:, DELETED]) - go, last[:, INSERTED] - ge)
+        opened = now[:, :DELETED].max(1) - go
+        if first:
+            head = np.full((len(model), 1), self.started(i) - go, np.int64)
+            now[:, DELETED, :first] = running(np.hstack([head, opened[:, : first - 1]]))
+        lap = np.hstack([np.maximum(self.before_rounds(i, now) - go, opened[:, after - 1])[:, None], opened[:, first : after - 1]])
+        now[:, DELETED, first:after] = running(np.hstack([lap, lap]))[:, after - first :]  # the second lap has been all the way round
+        if after < size:
+            now[:, DELETED, after:] = running(np.hstack([(self.after_rounds(i, now) - go)[:, None], opened[:, after:-1]]))
+        return now
+
+    def traced(self, at, total: int, i: int) -> Segments:
+        """The cut of one row that ends with i letters; at(i): its vector of i letters, as lists."""
+        first, after, size, free_entry = self.first, self.after, self.size, self.free_entry
+        go, ge = self.costs.opening, self.costs.extend
+        start = end = None
+        events: list[tuple[int, int, int] | None] = []  # backwards: (state, motif place, letters read), None where a round begins
+
+        def most(values) -> int:
+            return values.index(max(values))
+
+        def best(now, v: int) -> tuple[int, int]:
+            return v, most([x[v] for x in now])
+
+        def before_rounds(i: int, now) -> int:
+            return max(x[first - 1] for x in now) if first else self.started(i)
+
+        def enter(i: int):
+            return best(at(i), first - 1) if first else None
+
+        def leave(i: int):
+            nonlocal start, end
+            end = i
+            now = at(i)
+            inside = [max(m, k) for m, k in zip(now[MATCH][first:after], now[INSERTED][first:after], strict=True)]
+            if max(inside) <= before_rounds(i, now):
+                start = i
+                return enter(i)
+            place = first + most(inside)
+            return place, most([now[MATCH][place], now[INSERTED][place]])
+
+        where = best(at(i), size - 1) if after < size else leave(i)
+        while where is not None:
+            v, state = where
+            ring = first <= v < after
+            if ring:
+                events.append((state, v - first, i))
+            if state == INSERTED:
+                i -= 1
+                where = v, most([x[v] - p for x, p in zip(at(i), (go, ge, go), strict=True)])
+                continue
+            i -= state == MATCH
+            now = at(i)
+            # what a match or a deletion at v goes on from: the letter before it, at what price
+            price = (0, 0, 0) if state == MATCH else (go, go, ge)
+            behind = after - 1 if v == first else v - 1
+            back = [x[behind] - p for x, p in zip(now, price, strict=True)]
+            entry = before_rounds(i, now) - price[0]
+            entered = ring and (entry >= max(back) if v == first else free_entry and state == MATCH and entry > max(back))
+            if first and not v:
+                where = None
+            elif v == after:
+                where = leave(i)
+            elif entered:
                 events.append(None)
-            where = (after if v == first else v) - 1, int(back.argmax())
-
-    units: list[tuple[int, int, list[int], list[int]]] = []
-    slots: list[int] = []
-    gone: list[int] = []
-    place = start
-
-    def close():
-        if slots:
-            units.append((place, place + len(slots), list(slots), list(gone)))
-        return place + len(slots)
-
-    for event in reversed(events):
-        if event is None:
-            place = close()
-            slots, gone = [], []
-        elif event[0] == DELETED:
-            gone.append(event[1])
-        else:
-            slots.append(2 * event[1] + (event[0] == INSERTED))
-    close()
-    return Segments(total, start, end, units)
+                start = i
+                where = enter(i)
+            else:
+                if v == first:
+                    events.append(None)
+                where = (after if v == first else v) - 1, most(back)
+
+        units: list[tuple[int, int, list[int], list[int]]] = []
+        slots: list[int] = []
+        gone: list[int] = []
+        place = start
+
+        def close():
+            if slots:
+                units.append((place, place + len(slots), list(slots), list(gone)))
+            return place + len(slots)
+
+        for event in reversed(events):
+            if event is None:
+                place = close()
+                slots, gone = [], []
+            elif event[0] == DELETED:
+                gone.append(event[1])
+            else:
+                slots.append(2 * event[1] + (event[0] == INSERTED))
+        close()
+        return Segments(total, start, end, units)
+
+
+#: Numbers that the vectors of rows cut together may have; a row with more of its own is cut alone.
+CELLS = 1 << 21
+
+
+def segments(rows: list[tuple[str, str, str, str]], costs: Costs = Costs(), free_prefix: bool = False, free_suffix: bool = False, free_entry: bool = False) -> list[Segments]:
+    """segment of each (seq, left, motif, right): rows whose flanks and motifs have equal lengths go together, in the order of lengths."""
+    import numpy as np
+
+    out: list[Segments | None] = [None] * len(rows)
+    kinds: dict[tuple[int, ...], list[int]] = {}
+    for nth, (_, left, motif, right) in enumerate(rows):
+        _checked(motif, costs)
+        kinds.setdefault((len(left), len(motif), len(right)), []).append(nth)
+    for (a, m, b), members in kinds.items():
+        size = a + m + b
+        members.sort(key=lambda x: len(rows[x][0]))
+        at = 0
+        while at < len(members):
+            stop = at
+            while stop < len(members) and (stop + 1 - at) * (len(rows[members[stop]][0]) + 1) * 3 * size <= CELLS:
+                stop += 1
+            some, at = members[at : max(stop, at + 1)], max(stop, at + 1)
+            if stop == at - 1:  # not one fits
+                out[some[0]] = segment(*rows[some[0]], costs, free_prefix, free_suffix, free_entry)
+                continue
+            lengths = np.array([len(rows[x][0]) for x in some])
+            n = int(lengths[-1])
+            letters = _codes("".join(rows[x][0].ljust(n) for x in some)).reshape(len(some), n)
+            cut = Cut(_codes("".join("".join(rows[x][1:]) for x in some)).reshape(len(some), size), a, a + m, costs, free_prefix, free_entry)
+            table = np.empty((len(some), n + 1, 3, size), np.int64)
+            total, place, now = np.full(len(some), 4 * LOW), np.zeros(len(some), np.int64), None
+            for i in range(n + 1):
+                now = table[:, i] = cut.vector(i, now, letters[:, i - 1] if i else None)
+                ends = cut.ended(i, now)
+                better = ((lengths == i) | (free_suffix & (lengths > i))) & (ends >= total)
+                total[better], place[better] = ends[better], i
+            for k, x in enumerate(some):
+                out[x] = cut.traced(table[k].tolist().__getitem__, int(total[k]), int(place[k]))
+    return out
 
 
 UNITS = "score long, array_start long, array_end long, units array<struct<start:long,end:long,slots:array<int>,deleted:array<int>>>"
@@ -232,7 +301,10 @@ def segmented(df: DataFrame, key: Names, seq: str, motif: str, left: str | None
         kinds = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("slots", pa.list_(pa.int32())), ("deleted", pa.list_(pa.int32()))])
         for batch in batches:
             texts = [batch.column(c).to_pylist() for c in ("seq", "motif", "left_", "right_")]
-            found = [segment(s, a, m, b, costs, free_prefix, free_suffix, free_entry) if s is not None and m else None for s, m, a, b in zip(*texts, strict=True)]
+            given = [nth for nth, (s, m) in enumerate(zip(*texts[:2], strict=True)) if s is not None and m]
+            found = [None] * batch.num_rows
+            for nth, f in zip(given, segments([tuple(texts[c][nth] for c in (0, 2, 1, 3)) for nth in given], costs, free_prefix, free_suffix, free_entry), strict=True):
+                found[nth] = f
             numbers = [pa.array([f and f[k] for f in found], pa.int64()) for k in range(3)]
             units = pa.array([f and [dict(zip(("start", "end", "slots", "deleted"), u, strict=True)) for u in f.units] for f in found], pa.list_(kinds))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keys, "seq", "motif"]], *numbers, units], names=[*keys, "seq", "motif", "score", "array_start", "array_end", "units"])

@@ -211,3 +211,18 @@ def test_registered_rows(spark):
         assert (k in identity) == bool(got)
         with_units += bool(got)
     assert with_units > 10
+
+
+def test_rows_cut_together_are_those_cut_alone(monkeypatch):
+    """The same cuts for all kinds of ends, rows of unlike lengths and too long ones; each letter is one step for all rows of a kind."""
+    rng = random.Random(11)
+    word = lambda a, b: "".join(rng.choice("ACGN") for _ in range(rng.randint(a, b)))
+    rows = [(word(0, 14), word(0, 2), word(1, 4), word(0, 2)) for _ in range(300)] + [("AC" * 40, "A", "AC", "C"), ("", "", "A", "")]
+    monkeypatch.setattr(U, "CELLS", 1200)
+    for kind in [(False, False, False), (True, True, True), (False, True, False), (True, False, True)]:
+        assert U.segments(rows, C, *kind) == [U.segment(*r, C, *kind) for r in rows]
+    monkeypatch.undo()
+    steps, plain = [], U.Cut.vector
+    monkeypatch.setattr(U.Cut, "vector", lambda *a: steps.append(1) or plain(*a))
+    U.segments([("ACACGTACAC", "A", "CAC", "C")] * 500, C)
+    assert len(steps) == 11
