@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.operators import splicing as X
+from braidwork.plans.scratch import materialize
 from braidwork.queries.base import query, table
 
 CUT = 3
@@ -43,15 +44,16 @@ def customers(spark, d):
     k, region = F.col("o_orderkey"), F.col("o_custkey")
     seq = F.substr(F.lit("ACGTTGCAAC"), (1 + k % 5).cast("int"), (1 + k % 4).cast("int"))
     inner = F.col("y").between(1994, 1996) | ((F.col("y") == 1998) & (region % 9 == 0))
-    own = o.select(region.cast("long").alias("region"), (region * 1000 + F.col("nth") * 2).cast("long").alias("node"), "nth", "n", seq.alias("seq"), inner.alias("inner_"))
+    # made once: all tables below are read by several steps
+    own = materialize(o.select(region.cast("long").alias("region"), (region * 1000 + F.col("nth") * 2).cast("long").alias("node"), "nth", "n", seq.alias("seq"), inner.alias("inner_")), "splice-own")
     steps = own.select((F.col("region") * 2).alias("path"), F.col("nth").alias("step"), "node", F.lit(False).alias("rev"))
     steps = steps.unionByName(own.select((F.col("region") * 2 + 1).alias("path"), (F.col("n") + 1 - F.col("nth")).alias("step"), "node", F.lit(True).alias("rev")))
     w = W.partitionBy("path").orderBy("step")
     edges = steps.select(F.col("node").alias("src"), F.col("rev").alias("src_rev"), F.lead("node").over(w).alias("dst"), F.lead("rev").over(w).alias("dst_rev")).where("dst IS NOT NULL")
     inside = own.where("inner_").select("region", "node", "seq")
-    regions = inside.groupBy("region").agg(F.min("node").alias("left"), F.max("node").alias("right"))
+    regions = materialize(inside.groupBy("region").agg(F.min("node").alias("left"), F.max("node").alias("right")), "splice-regions")
     spelled = inside.where("region % 10 <> 3").groupBy("region").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    pieces = spelled.select("region", F.lit(1).cast("long").alias("piece"), F.concat("seq", F.when(F.col("region") % 8 == 5, "A").otherwise("")).alias("seq"))
+    pieces = materialize(spelled.select("region", F.lit(1).cast("long").alias("piece"), F.concat("seq", F.when(F.col("region") % 8 == 5, "A").otherwise("")).alias("seq")), "splice-given")
     paths = F.when(F.col("region") % 7 == 0, F.array(F.col("region") * 2)).otherwise(F.array(F.col("region") * 2, F.col("region") * 2 + 1))
     walks = pieces.select("region", F.explode(paths).alias("path"), F.lit(1).cast("long").alias("step"), "piece", F.lit(False).alias("rev"))
     return steps, own.select("node", "seq"), edges, inside.select("region", "node"), regions, pieces, walks

@@ -217,3 +217,15 @@ def test_coarsened_alleles_sorts_no_cells_for_letters_and_deals_rows_not_cells(s
     # rows are dealt before they are exploded; behind that no row or column of cells is in an exchange
     assert "REPARTITION_BY_NUM" in plan and not any("Exchange" in x and ("row#" in x or "col#" in x) for x in plan.splitlines())
     assert {tuple(r) for r in out.collect()} == {("Brand#0", 4), ("Brand#1", 4)}
+
+
+def test_spliced_edges_reads_orders_once(spark, tmp_path):
+    """Orders are read to number them, once; what follows reads the tables made of them."""
+    from braidwork.queries import splicing
+
+    rows = [(k, k % 7, f"199{3 + k % 6}-01-0{1 + k % 9}") for k in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate string").selectExpr("o_orderkey", "o_custkey", "to_timestamp(o_orderdate) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    for made in splicing.customers(spark, str(tmp_path)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan and "row_number" not in plan
+    assert splicing.spliced_edges(spark, str(tmp_path)).count() > 0
