@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -228,27 +230,132 @@ def uniform_by_power(key: Column, step: Column, draw: Column) -> Column:
     return (((second * second) % p * v) % p).cast("double") / float(DRAW_PRIME) + 0.5 / DRAW_PRIME
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+@lru_cache(1)
+def draw_weights():
+    """(thresholds, table): a draw's number is that of the thresholds below it; by its upper bits where these tell, else 255."""
+    import numpy as np
+
+    def least(edge: float) -> int:
+        """The greatest remainder whose number between 0 and 1 is not above edge."""
+        low, high = -1, DRAW_PRIME - 1
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if mid / float(DRAW_PRIME) + 0.5 / DRAW_PRIME <= edge else (low, mid - 1)
+        return low
+
+    at = np.array([least(e) for e in poisson_edges()])
+    first = np.arange(1 << 16) << 15
+    one, two = np.searchsorted(at, first), np.searchsorted(at, first + (1 << 15) - 1)
+    return at, np.where(one == two, one, 255).astype(np.uint8)
+
+
+def drawn_weights(key, step, draws: int):
+    """The Poisson numbers of rows x draws by uniform_by_power; remainders by the Mersenne prime are sums of a number's two halves."""
+    import numpy as np
+
+    fold = lambda x: (x & DRAW_PRIME) + (x >> 31)
+    v = fold(key[:, None] + step[:, None] * np.arange(1, draws + 1))
+    second = fold(fold(v * v))
+    v = fold(fold(fold(fold(second * second)) * v))
+    v[v >= DRAW_PRIME] -= DRAW_PRIME
+    at, table = draw_weights()
+    w = table[v >> 15]
+    open_ = w == 255
+    w[open_] = np.searchsorted(at, v[open_])
+    return w
+
+
+#: Rows drawn at once, and groups whose sums a task holds before it passes them on.
+DRAW_ROWS, DRAW_GROUPS = 16, 256
+
+
+def drawn_sums(rows: DataFrame, keys: list[str], num: str, den: str, draws: int) -> DataFrame:
+    """(keys, draw, n_, d_): partial sums of num and den by draw of rows (keys, num, den, k_, j_), made in tasks. Whole numbers add up exactly."""
+    kinds = dict(rows.dtypes)
+    whole = [kinds[c] in WHOLE for c in (num, den)]
+    fields = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["draw int"] + [f"{c} {'bigint' if w else 'double'}" for c, w in zip(("n_", "d_"), whole, strict=True)])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict[tuple, list] = {}
+        schema = None
+
+        def flush():
+            given, sums = list(held), list(held.values())
+            cols = [pa.array([g[i] for g in given for _ in range(draws)], schema.field(k).type) for i, k in enumerate(keys)]
+            cols.append(pa.array(np.tile(np.arange(1, draws + 1, dtype=np.int32), len(given))))
+            for c in (0, 1):
+                made = np.concatenate([s[c] for s in sums])
+                cols.append(pa.array(made, mask=np.repeat([not s[2 + c] for s in sums], draws)))
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, names=[*keys, "draw", "n_", "d_"])
+
+        for batch in batches:
+            schema = batch.schema
+            of: dict[tuple, list[int]] = {}
+            for nth, g in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * batch.num_rows):
+                of.setdefault(g, []).append(nth)
+            values, valid = [], []
+            for c, w in zip((num, den), whole, strict=True):
+                col = batch.column(c)
+                valid.append(np.asarray(col.is_valid()))
+                values.append(np.asarray(col.fill_null(0)).astype(np.int64 if w else np.float64))
+            k, j = (np.asarray(batch.column(c)) for c in ("k_", "j_"))
+            for g, members in of.items():
+                if g not in held:
+                    if len(held) >= DRAW_GROUPS:
+                        yield flush()
+                    held[g] = [np.zeros(draws, np.int64 if w else np.float64) for w in whole] + [False, False]
+                sums = held[g]
+                for at in range(0, len(members), DRAW_ROWS):
+                    some = np.array(members[at : at + DRAW_ROWS])
+                    w = drawn_weights(k[some], j[some], draws).astype(np.float64).T
+                    for c in (0, 1):
+                        x = values[c][some]
+                        if whole[c]:  # three parts of 22 bits, whose sums a double holds exactly
+                            low = (1 << 22) - 1
+                            for shift, p in ((0, x & low), (22, (x >> 22) & low), (44, x >> 44)):
+                                if p.any():
+                                    sums[c] += (w @ p.astype(np.float64)).astype(np.int64) << shift
+                        else:
+                            sums[c] += w @ x
+                        sums[2 + c] |= bool(valid[c][some].any())
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, fields)
+
+
 def bootstrap_ratio(df: DataFrame, by: Names, num: str, den: str, ident: str, draws: int = 1000, seed: int = 7, uniform=None) -> DataFrame:
     """(by, ratio, low, high): ratio of sums and its interval over draws that weigh each row by a Poisson number.
 
     The number comes from a digest of seed and id, taken once a row, and the draw, so it is the same wherever the row is. The
     columns needed are dealt over spark.sql.shuffle.partitions tasks first, since a row costs a thousand times what its bytes
-    tell; each meets each draw in its task, and only sums by draw are shuffled. uniform: another (seed, draw, id) to the number.
+    tell; each meets each draw in its task, a block of rows and all draws at a time, and only sums by draw are shuffled. uniform: another (seed, draw, id) to the number.
     """
     keys = _list(by)
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(ident).cast("string")))
     part = lambda at: F.conv(F.substr("m_", F.lit(at), F.lit(7)), 16, 10).cast("long")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = uniform or any(dict(df.dtypes)[c] not in (*WHOLE, "float", "double") for c in (num, den))
     df = df if uniform else df.withColumn("m_", digest).withColumns({"k_": part(1), "j_": part(8)}).drop("m_")
-    u = uniform(seed, F.col("draw"), F.col(ident)) if uniform else uniform_by_power(F.col("k_"), F.col("j_"), F.col("draw"))
-    edges = poisson_edges()
-    weight = F.when(F.col("u_") <= edges[0], 0)
-    for k, e in enumerate(edges[1:], 1):  # most draws end at the first two
-        weight = weight.when(F.col("u_") <= e, k)
-    weight = weight.otherwise(len(edges))
-    needed = dict.fromkeys([*keys, num, den, *([ident] if uniform else ["k_", "j_"])])
-    dealt = df.select(*needed).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    drawn = dealt.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u_", u).withColumn("w_", weight)
-    sums = drawn.groupBy(*keys, "draw").agg(F.sum(F.col("w_") * F.col(num)).alias("n_"), F.sum(F.col("w_") * F.col(den)).alias("d_"))
+    dealt = df.select(*dict.fromkeys([*keys, num, den, *([ident] if uniform else ["k_", "j_"])])).repartition(parts)
+    if plain:
+        u = uniform(seed, F.col("draw"), F.col(ident)) if uniform else uniform_by_power(F.col("k_"), F.col("j_"), F.col("draw"))
+        edges = poisson_edges()
+        weight = F.when(F.col("u_") <= edges[0], 0)
+        for k, e in enumerate(edges[1:], 1):  # most draws end at the first two
+            weight = weight.when(F.col("u_") <= e, k)
+        weight = weight.otherwise(len(edges))
+        drawn = dealt.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u_", u).withColumn("w_", weight)
+        sums = drawn.groupBy(*keys, "draw").agg(F.sum(F.col("w_") * F.col(num)).alias("n_"), F.sum(F.col("w_") * F.col(den)).alias("d_"))
+    else:
+        sums = drawn_sums(dealt, keys, num, den, draws).groupBy(*keys, "draw").agg(F.sum("n_").alias("n_"), F.sum("d_").alias("d_"))
     s = F.sort_array(F.collect_list(F.try_divide("n_", "d_")))
     spread = sums.groupBy(*keys).agg(s.alias("s_")).select(*(F.col(k).alias(f"{k}__") for k in keys), F.get("s_", F.floor(F.size("s_") * 0.025).cast("int")).alias("low"), F.get("s_", (F.ceil(F.size("s_") * 0.975) - 1).cast("int")).alias("high"))
     whole = df.groupBy(*keys).agg(F.try_divide(F.sum(num).cast("double"), F.sum(den)).alias("ratio"))

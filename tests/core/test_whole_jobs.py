@@ -188,3 +188,25 @@ def test_levels_follow_walks_inside_ranges(spark, monkeypatch):
     for size, more in ((1000, (5, 3)), (10, (50, 3)), (30, (299, 0))):
         with pytest.raises(RuntimeError, match="cycle"):
             G.levels(chain.limit(60).unionByName(spark.createDataFrame([more, (59, 299)], chain.schema)), size).collect()
+
+
+def test_bootstrap_draws_are_not_exploded(spark):
+    """Numbers of draws by plain arithmetic, sums of great whole numbers exact; rows are not multiplied by draws."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    key, step = ([rng.choice((0, 1, (1 << 28) - 1, rng.randrange(1 << 28))) for _ in range(300)] for _ in range(2))
+    edges = C.poisson_edges()
+    plain = lambda k, j, d: sum((pow(k + d * j, 5, C.DRAW_PRIME) / float(C.DRAW_PRIME) + 0.5 / C.DRAW_PRIME) > e for e in edges)
+    made = C.drawn_weights(np.array(key), np.array(step), 500)
+    assert made.tolist() == [[plain(k, j, d) for d in range(1, 501)] for k, j in zip(key, step, strict=True)]
+    rows = [(i % 3, rng.randrange(-(1 << 55), 1 << 55), rng.random(), k, j) for i, (k, j) in enumerate(zip(key, step, strict=True))]
+    got = C.drawn_sums(spark.createDataFrame(rows, "g int, num long, den double, k_ long, j_ long").coalesce(1), ["g"], "num", "den", 40).collect()
+    assert len(got) == 120
+    for r in got:
+        own = [(x[1], x[2], int(made[i, r.draw - 1])) for i, x in enumerate(rows) if x[0] == r.g]
+        assert r.n_ == sum(n * w for n, _, w in own) and abs(r.d_ - sum(d * w for _, d, w in own)) < 1e-9
+    df = spark.createDataFrame([("a", 1, 2, 3)], "g string, num long, den long, ident long")
+    assert "Generate" not in C.bootstrap_ratio(df, "g", "num", "den", "ident")._jdf.queryExecution().optimizedPlan().toString()
