@@ -229,3 +229,12 @@ def test_spliced_edges_reads_orders_once(spark, tmp_path):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "o_orderkey" not in plan and "row_number" not in plan
     assert splicing.spliced_edges(spark, str(tmp_path)).count() > 0
+
+
+def test_chosen_truth_seeks_neighbours_once(spark):
+    """Which records of the second source meet the first's is written once: what comes out sorts and seeks nothing again."""
+    from braidwork.operators import records as R
+
+    rows = [(1, i, ("stvar", "smvar")[i % 2], i // 2, i // 2 + 1, "AA", ["C"], [1, 1], True) for i in range(12)]
+    made = R.chosen_truth(spark.createDataFrame(rows, "region int, id int, source string, pos int, end int, ref string, alts array<string>, gt array<int>, within boolean"), "region")
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 24
