@@ -314,16 +314,16 @@ def drawn_sums(rows: DataFrame, keys: list[str], num: str, den: str, draws: int)
                 sums = held[g]
                 for at in range(0, len(members), DRAW_ROWS):
                     some = np.array(members[at : at + DRAW_ROWS])
-                    w = drawn_weights(k[some], j[some], draws).astype(np.float64).T
+                    w = drawn_weights(k[some], j[some], draws).astype(np.float64)
                     for c in (0, 1):
                         x = values[c][some]
                         if whole[c]:  # three parts of 22 bits, whose sums a double holds exactly
                             low = (1 << 22) - 1
                             for shift, p in ((0, x & low), (22, (x >> 22) & low), (44, x >> 44)):
                                 if p.any():
-                                    sums[c] += (w @ p.astype(np.float64)).astype(np.int64) << shift
+                                    sums[c] += np.einsum("rd,r->d", w, p.astype(np.float64)).astype(np.int64) << shift
                         else:
-                            sums[c] += w @ x
+                            sums[c] += np.einsum("rd,r->d", w, x)
                         sums[2 + c] |= bool(valid[c][some].any())
         if held:
             yield flush()
