@@ -7,12 +7,13 @@ equi-joins, whose skewed keys adaptive execution splits. Each round is written t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.plans.scratch import discard, materialize
+from braidwork.plans.scratch import discard, materialize, partitions
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,6 +28,57 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+#: Edges that a task joins up before it passes on what holds their nodes together.
+CHUNK = 500_000
+
+
+def forest(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """(u, v): edges with the same nodes and components, fewer where edges of a range of nodes hold each other together.
+
+    Edges are dealt by ranges of u. A task joins up CHUNK of them at a time and passes on an edge from each node to the first of its part.
+    Self-loops stay where a node has no other edge there; rows with a null end are left out.
+    """
+    import pyarrow as pa
+
+    ends = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+
+    def joined(pairs: list[tuple]) -> dict:
+        root = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in pairs:
+            a, b = find(root.setdefault(a, a) if a not in root else a), find(root.setdefault(b, b) if b not in root else b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        held, schema = [], None
+
+        def passed_on():
+            of = joined(held)
+            held.clear()
+            single = set(of).difference(x for x, r in of.items() if x != r).difference(r for x, r in of.items() if x != r)
+            kept = [(x, r) for x, r in of.items() if x != r or x in single]
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            if len(held) >= CHUNK:
+                yield passed_on()
+        if held:
+            yield passed_on()
+
+    return ends.repartitionByRange(partitions(edges.sparkSession), "u").mapInArrow(run, ends.schema)
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int | None = None) -> DataFrame:
     """(node, component): the least node of each node's component, for every node that an edge names.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import sequences as S
 from braidwork.operators import graphs as G
 from braidwork.operators import windows as N
-from braidwork.operators.components import connected_components
+from braidwork.operators.components import connected_components, forest
 from braidwork.plans.scratch import materialize
 from braidwork.queries.base import query, table
 from braidwork.queries.paths import STEPS_SQL, order_steps
@@ -139,7 +139,7 @@ def reachability(spark, d):
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def components(spark, d):
     """R4."""
-    return connected_components(some_edges(spark, d), "src", "dst")
+    return connected_components(forest(some_edges(spark, d), "src", "dst"))
 
 
 FORWARD_SQL = f"{STEPS_SQL}, e AS (SELECT DISTINCT src, dst FROM (SELECT node AS src, lead(node) OVER (PARTITION BY path ORDER BY step) AS dst FROM steps) WHERE dst > src)"

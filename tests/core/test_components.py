@@ -32,3 +32,12 @@ def test_random_graphs_chains_and_stars(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_forest_keeps_components_with_fewer_edges(spark):
+    from braidwork.operators.components import forest
+
+    rng = random.Random(9)
+    edges = [(100 * g + rng.randrange(40), 100 * g + rng.randrange(40)) for g in range(12) for _ in range(300)] + [(5000, 5000), (None, 3), (7, None)]
+    made = [tuple(r) for r in forest(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert brute(made) == brute(edges) and len(made) < len(edges) / 3
