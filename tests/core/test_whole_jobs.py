@@ -210,3 +210,32 @@ def test_bootstrap_draws_are_not_exploded(spark):
         assert r.n_ == sum(n * w for n, _, w in own) and abs(r.d_ - sum(d * w for _, d, w in own)) < 1e-9
     df = spark.createDataFrame([("a", 1, 2, 3)], "g string, num long, den long, ident long")
     assert "Generate" not in C.bootstrap_ratio(df, "g", "num", "den", "ident")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def long_names(spark, folder):
+    """Two brands of names of up to 40 letters, some of them empty or null; and DuckDB with them as part."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(k, f"b{k % 2}", "".join(rng.choice("acgt") for _ in range(rng.choice((0, 3, 14, 15, 29, 40))))) for k in range(24)] + [(24, "b0", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(f"{folder}/part.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    return [(k, b, n.upper()) for k, b, n in rows if n], duck
+
+
+def test_blocks_reach_the_ends_of_names(spark, tmp_path):
+    from collections import Counter
+
+    rows, duck = long_names(spark, tmp_path)
+    want = Counter()
+    for b in ("b0", "b1"):
+        own = [n for _, x, n in rows if x == b]
+        ends = sorted({len(n) for n in own})
+        for block, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False), 1):
+            want.update((b, block, n[lo:hi]) for n in own if len(n) >= hi)
+    made = registry.QUERIES["msa_blocks"](spark, str(tmp_path)).select("p_brand", "block", "seq", "n").collect()
+    assert sorted(map(tuple, made)) == sorted((*k, n) for k, n in want.items())
+    assert sorted(map(tuple, made)) == sorted(duck.sql(registry.ORACLES["msa_blocks"]).fetchall())
