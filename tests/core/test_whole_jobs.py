@@ -239,3 +239,14 @@ def test_blocks_reach_the_ends_of_names(spark, tmp_path):
     made = registry.QUERIES["msa_blocks"](spark, str(tmp_path)).select("p_brand", "block", "seq", "n").collect()
     assert sorted(map(tuple, made)) == sorted((*k, n) for k, n in want.items())
     assert sorted(map(tuple, made)) == sorted(duck.sql(registry.ORACLES["msa_blocks"]).fetchall())
+
+
+def test_position_pairs_reach_the_ends_of_names(spark, tmp_path):
+    rows, duck = long_names(spark, tmp_path)
+    want = []
+    for b in ("b0", "b1"):
+        own = [len(n) for _, x, n in rows if x == b]
+        shared = [min(m, n) for i, m in enumerate(own) for n in own[:i]]  # names without gaps: position and column are one
+        want.append((b, sum(shared), sum(i * i for n in shared for i in range(n))))
+    made = registry.QUERIES["position_pairs"](spark, str(tmp_path)).select("p_brand", "n", "s").collect()
+    assert sorted(map(tuple, made)) == want == sorted(duck.sql(registry.ORACLES["position_pairs"]).fetchall())
