@@ -10,6 +10,7 @@ from braidwork.functions.sequences import pair_cost
 from braidwork.operators import align as A
 from braidwork.operators import haplotypes as H
 from braidwork.operators import kernels as K
+from braidwork.operators import trees as T
 from braidwork.queries.base import query, table
 
 
@@ -125,14 +126,7 @@ def medoid_clusters(spark, d):
 @query("spanning_trees")
 def spanning_trees(spark, d):
     """Nearest-first trees of the vectors of each label."""
-
-    def run(pdf):
-        pdf = pdf.sort_values("vec_id")
-        ids = pdf["vec_id"].tolist()
-        tree = K.spanning_tree(distances(pdf))
-        return pd.DataFrame({"nth": range(len(tree)), "vec_id": [ids[x] for x, _ in tree], "parent": pd.array([None if p is None else ids[p] for _, p in tree], "Int64")})
-
-    return K.grouped(table(spark, d, "embeddings"), "label", "nth long, vec_id long, parent long", run)
+    return T.spanning_trees(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query("average_linkage")
