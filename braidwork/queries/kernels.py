@@ -10,6 +10,7 @@ from braidwork.functions.sequences import pair_cost
 from braidwork.operators import align as A
 from braidwork.operators import haplotypes as H
 from braidwork.operators import kernels as K
+from braidwork.operators import medoids as D
 from braidwork.operators import trees as T
 from braidwork.queries.base import query, table
 
@@ -104,23 +105,10 @@ def gap_normalised(spark, d):
     return K.grouped(brand_names(spark, d), "p_brand", "before string, alone string, joint string, moves long, moved long", run)
 
 
-def distances(pdf):
-    import numpy as np
-
-    return K.Distances(np.stack(pdf["embedding"].to_numpy()))
-
-
 @query("medoid_clusters")
 def medoid_clusters(spark, d):
     """K-medoids of the vectors of each label."""
-
-    def run(pdf):
-        pdf = pdf.sort_values("vec_id")
-        chosen, cluster = K.kmedoids(distances(pdf), 4)
-        ids = pdf["vec_id"].tolist()
-        return pd.DataFrame({"vec_id": ids, "medoid": [ids[chosen[c]] for c in cluster]})
-
-    return K.grouped(table(spark, d, "embeddings"), "label", "vec_id long, medoid long", run)
+    return D.kmedoids(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 4)
 
 
 @query("spanning_trees")
