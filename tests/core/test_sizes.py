@@ -238,3 +238,20 @@ def test_chosen_truth_seeks_neighbours_once(spark):
     rows = [(1, i, ("stvar", "smvar")[i % 2], i // 2, i // 2 + 1, "AA", ["C"], [1, 1], True) for i in range(12)]
     made = R.chosen_truth(spark.createDataFrame(rows, "region int, id int, source string, pos int, end int, ref string, alts array<string>, gt array<int>, within boolean"), "region")
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 24
+
+
+def test_allele_conflicts_joins_two_kinds_once_and_deals_pairs_over_all_tasks(spark, tmp_path):
+    import duckdb
+
+    from braidwork.queries import registry
+
+    rows = [(k, f"b{k % 2}", None if k % 41 == 0 else k * 7 % 5) for k in [*range(900), 8, 9, 16, 33]] + [(901, None, 3)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    made = registry.QUERIES["allele_conflicts"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # the few ids that make many pairs are not brought into few tasks, and of two kinds one stands first
+    assert sum("Exchange hashpartitioning(b_kind" in x and "REPARTITION_BY_NUM" in x for x in plan.splitlines()) == 2 and "a_kind" in plan.split("Join")[1].split("\n")[0]
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = duck.sql(f"SELECT id_a, id_b, conflict FROM ({registry.ORACLES['allele_conflicts']})").fetchall()
+    assert len(want) > 10_000 and sorted(map(tuple, made.collect())) == sorted(want)
