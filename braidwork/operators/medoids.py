@@ -275,10 +275,14 @@ def kmedoids(df: DataFrame, by: str, ident: str, vector: str, k: int, small: int
             chosen, cluster = s.chosen, apart(s.vectors, x).argmin(0)
         return pd.DataFrame({ident: ids, "medoid": [ids[chosen[c]] for c in cluster]})
 
-    fields = f"`{ident}` long, medoid long"
+    spark, fields = df.sparkSession, f"`{ident}` long, medoid long"
+
+    def apiece(rows):
+        # few bytes make much work: groups are dealt over all tasks, whatever they weigh
+        return K.grouped(rows.select(F.col("by").alias(by), "id", "vector").repartition(partitions(spark), by), by, fields, alone)
+
     if not large:
-        return K.grouped(rows.withColumnRenamed("by", by), by, fields, alone)
-    spark = df.sparkSession
+        return apiece(rows)
     numbers = spark.createDataFrame([(r.by, g) for g, r in enumerate(large)], f"by_ {kinds[by]}, g int")
     dealt = rows.join(numbers, F.col("by").eqNullSafe(F.col("by_")), "left")
     n = F.row_number().over(W.partitionBy("g").orderBy("id", "vector")).cast("long") - 1
@@ -302,4 +306,4 @@ def kmedoids(df: DataFrame, by: str, ident: str, vector: str, k: int, small: int
         return {by: [keys[g]] * len(x), ident: ids.values, "medoid": [medoids[i] for i in apart(vectors, x).argmin(0)]}
 
     made = points.run(nearest, f"`{by}` {kinds[by]}, {fields}")
-    return made.unionByName(K.grouped(dealt.where("g IS NULL").select(F.col("by").alias(by), "id", "vector"), by, fields, alone))
+    return made.unionByName(apiece(dealt.where("g IS NULL")))
